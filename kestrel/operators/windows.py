@@ -26,27 +26,37 @@ def ranked(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
     """Global rank over (by, order) plus, with ``value``, a per-group running sum.
 
     Adds ``_g0`` (rank of the group's first row minus one) and ``_gn`` (group
-    size) so that within-group positions are ``rn - _g0``.
+    size) so that within-group positions are ``rn - _g0``.  The running sum
+    restarts per group inside the range scan (no subtraction of large sums).
     """
     by = list(by)
-    running = {value: "_gcum"} if value else None
-    r = global_rank(df, [*_cols(by), *_cols(order)], out=rn, running=running)
-    if value:
-        r = r.withColumn("_v0", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    running = {value: cum} if value else None
+    r = global_rank(df, [*_cols(by), *_cols(order)], out=rn, running=running, groups=by)
     aggs = [(F.min(rn) - 1).alias("_g0"), F.count(F.lit(1)).alias("_gn")]
-    if value:
-        aggs.append(F.min_by(F.col("_gcum") - F.col("_v0"), F.col(rn)).alias("_goff"))
     if by:
         g = r.groupBy(*by).agg(*aggs)
         r = r.join(g, by)
     else:
         s = stats_scalar(r.agg(*aggs))
-        r = r.withColumns({"_g0": s["_g0"], "_gn": s["_gn"]} | ({"_goff": s["_goff"]} if value else {}))
-    if value:
-        r = r.withColumn(cum, F.col("_gcum") - F.col("_goff")).drop("_gcum", "_goff", "_v0")
+        r = r.withColumns({"_g0": s["_g0"], "_gn": s["_gn"]})
     return r
 
 
+def window_sum(r: DataFrame, value: str, window: int, rn: str = "_rn", block: int = 1 << 20) -> DataFrame:
+    """Exact sum of the last ``window`` rows (by global rank ``rn``), computed in
+    blocks of ``block`` ranks: every block also receives the ``window - 1``
+    rows before it, so an ordinary sliding window per block sees whole frames
+    and no task holds more than ``block + window`` rows."""
+    blk = F.floor((F.col(rn) - 1) / block).cast("long")
+    own = r.withColumn("_blk", blk).withColumn("_own", F.lit(True))
+    tail = r.where(F.pmod(F.col(rn) - 1, F.lit(block)) >= block - (window - 1)).withColumn(
+        "_blk", blk + 1).withColumn("_own", F.lit(False))
+    u = own.unionByName(tail)
+    w = Window.partitionBy("_blk").orderBy(rn).rowsBetween(-(window - 1), 0)
+    u = u.withColumn("_wsum", F.sum(F.col(value)).over(w))
+    return u.where("_own").drop("_blk", "_own")
+
+
 def lag_join(r: DataFrame, k: int, cols: Sequence[str], by: Sequence[str] = (), rn: str = "_rn",
              suffix: str | None = None) -> DataFrame:
     """Attach the values ``k`` rows earlier in the same group (null at the start)."""
@@ -146,14 +156,12 @@ def tier_summary(tiers: DataFrame) -> DataFrame:
 def moving_average(df: DataFrame, value: str, order: Sequence[str | Column], window: int = 7,
                    by: Sequence[str] = (), out: str = "moving_avg") -> DataFrame:
     """Trailing mean over ``window`` rows; null until ``window`` rows exist
-    (pandas ``rolling(w).mean()``).  Moving sum = running sum - running sum
-    ``window`` rows earlier (an equi-join on rank)."""
+    (pandas ``rolling(w).mean()``).  Frames never cross a group because a row
+    only gets a value when it has ``window`` predecessors in its group."""
     by = list(by)
-    r = ranked(df, order, by, value=value, cum="_c")
-    r = lag_join(r, window, ["_c"], by)
+    r = window_sum(ranked(df, order, by), value, window)
     pos = F.col("_rn") - F.col("_g0")
-    ma = F.when(pos >= window, (F.col("_c") - F.coalesce(F.col(f"_c_lag{window}"), F.lit(0.0))) / window)
-    return r.withColumn(out, ma).drop("_c", f"_c_lag{window}", "_rn", "_g0", "_gn")
+    return r.withColumn(out, F.when(pos >= window, F.col("_wsum") / window)).drop("_wsum", "_rn", "_g0", "_gn")
 
 
 def pct_change(df: DataFrame, value: str, order: Sequence[str | Column], by: Sequence[str] = (),
@@ -240,14 +248,13 @@ def segments(df: DataFrame, value: str, order: Sequence[str | Column], n_segment
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[str | Column], points: int = 30) -> DataFrame:
-    """The rows at ``linspace(0, n-1, points)`` positions (rounded half-even
-    like numpy's ``astype(int)`` after linspace: truncation)."""
+    """The rows at ``linspace(0, n-1, points)`` positions (truncated)."""
     r = ranked(df, order)
     n = r.agg(F.max("_gn")).scalar()
-    idx = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                                                 lambda i: F.floor(i * (n - 1) / F.lit(max(points - 1, 1))).cast("long") + 1)))
-    targets = r.select(F.lit(1).alias("_one")).limit(1).select(idx.alias("_rn"))
-    return r.join(F.broadcast(targets), "_rn").drop("_g0", "_gn")
+    spark = df.sparkSession
+    targets = spark.range(points).select(
+        (F.floor(F.col("id") * (n - 1) / F.lit(max(points - 1, 1))).cast("long") + 1).alias("_rn")).distinct()
+    return r.join(F.broadcast(targets), "_rn").drop("_g0", "_gn")  # <= points rows broadcast
 
 
 def latest_vs_baseline(df: DataFrame, value: str, order: Sequence[str | Column], window: int = 7,

@@ -42,16 +42,33 @@ def _as_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _local_running(values: list[str], kinds: dict[str, str]):
+def _local_running(values: list[str], kinds: dict[str, str], groups: list[str]):
     """mapInPandas body: per-task running sums (or maxima), carried across
-    Arrow batches of the same task."""
+    Arrow batches of the same task; with ``groups`` the sums restart at every
+    group change (rows arrive sorted by group first)."""
 
     def run(batches):
         carry: dict[str, float | None] = {v: None for v in values}
+        last_key = None
         for pdf in batches:
+            if groups and len(pdf):
+                gid = (pdf[groups].ne(pdf[groups].shift()).any(axis=1)).cumsum()
+                first_key = tuple(pdf[groups].iloc[0].tolist())
+                continues = last_key is not None and first_key == last_key
+                if not continues:
+                    gid = gid + 1  # the first group of the batch is new
             for v in values:
                 x = pdf[v].astype("float64")
-                if kinds.get(v, "sum") == "max":
+                mx = kinds.get(v, "sum") == "max"
+                if groups and len(pdf):
+                    if mx:
+                        cs = x.groupby(gid.values).cummax()
+                    else:
+                        cs = x.fillna(0.0).groupby(gid.values).cumsum()
+                    if continues and carry[v] is not None:
+                        m = (gid == gid.iloc[0]).values
+                        cs[m] = (cs[m].fillna(carry[v]).clip(lower=carry[v]) if mx else cs[m] + carry[v])
+                elif mx:
                     cs = x.cummax()
                     if carry[v] is not None:
                         cs = cs.fillna(carry[v]).clip(lower=carry[v])
@@ -59,14 +76,19 @@ def _local_running(values: list[str], kinds: dict[str, str]):
                     cs = x.fillna(0.0).cumsum() + (carry[v] or 0.0)
                 if len(cs) and not pd.isna(cs.iloc[-1]):
                     carry[v] = float(cs.iloc[-1])
+                elif len(cs) and groups:
+                    carry[v] = None
                 pdf["_cum_" + v] = cs
+            if groups and len(pdf):
+                last_key = tuple(pdf[groups].iloc[-1].tolist())
             yield pdf
 
     return run
 
 
 def range_scan(df: DataFrame, order: Sequence[str | Column], running: Sequence[str] = (),
-               partitions: int | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+               partitions: int | None = None, kinds: dict[str, str] | None = None,
+               groups: Sequence[str] = ()) -> DataFrame:
     """Range-partition + sort + per-task position/running sums, checkpointed.
 
     Returns ``df`` plus ``_pid`` (task), ``_loc`` (0-based position in task) and
@@ -81,7 +103,7 @@ def range_scan(df: DataFrame, order: Sequence[str | Column], running: Sequence[s
     if running:
         schema = T.StructType(ranged.schema.fields + [
             T.StructField("_cum_" + v, T.DoubleType()) for v in running])
-        ranged = ranged.mapInPandas(_local_running(list(running), kinds or {}), schema)
+        ranged = ranged.mapInPandas(_local_running(list(running), kinds or {}, list(groups)), schema)
     return ranged.checkpoint(eager=True)
 
 
@@ -105,22 +127,42 @@ def _offsets(scan: DataFrame, running: Sequence[str], kinds: dict[str, str]) ->
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "rn",
                 running: dict[str, str] | None = None, partitions: int | None = None,
-                kinds: dict[str, str] | None = None) -> DataFrame:
+                kinds: dict[str, str] | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """1-based position of each row in ``order`` over the whole table.
 
-    ``running`` maps value column -> output column for global running sums
-    (rows unbounded preceding .. current row) in the same order; ``kinds``
-    may mark a value column ``"max"`` for a running maximum instead.
+    ``running`` maps value column -> output column for running sums (rows
+    unbounded preceding .. current row) in the same order; ``kinds`` may mark
+    a value column ``"max"`` for a running maximum.  With ``groups`` (which
+    must lead ``order``) the running values restart for every group: a group
+    split over several tasks gets the totals of its earlier tasks from a table
+    with at most one row per task (a proven bound, broadcast).
     """
     running = running or {}
     kinds = kinds or {}
-    scan = range_scan(df, order, list(running), partitions, kinds)
+    groups = list(groups)
+    scan = range_scan(df, order, list(running), partitions, kinds, groups)
     # one row per task: a proven bound, so broadcasting it is safe
-    offs = F.broadcast(_offsets(scan, list(running), kinds))
+    offs = F.broadcast(_offsets(scan, [] if groups else list(running), kinds))
     res = scan.join(offs, "_pid").withColumn(out, F.col("_off_n") + F.col("_loc") + 1)
+    if groups and running:
+        aggs = [(F.max if kinds.get(v, "sum") == "max" else F.sum)(v).cast("double").alias("_t_" + v) for v in running]
+        per = scan.groupBy("_pid", *groups).agg(*aggs)
+        w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per.select("_pid", *[F.col(g).alias("_k_" + g) for g in groups],
+                             F.count(F.lit(1)).over(w).alias("_prev"),
+                             *[(F.max if kinds.get(v, "sum") == "max" else F.sum)("_t_" + v).over(w).alias("_off_" + v)
+                               for v in running])
+        carried = F.broadcast(carried.where(F.col("_prev") > 0).drop("_prev"))  # <= one row per task
+        cond = F.col("_pid") == F.col("_c_pid")
+        for g in groups:
+            cond = cond & F.col(g).eqNullSafe(F.col("_k_" + g))
+        res = res.join(carried.withColumnRenamed("_pid", "_c_pid"), cond, "left").drop(
+            "_c_pid", *["_k_" + g for g in groups])
     for v, name in running.items():
         if kinds.get(v, "sum") == "max":
             res = res.withColumn(name, F.greatest(F.col("_off_" + v), F.col("_cum_" + v)))
+        elif groups:
+            res = res.withColumn(name, F.coalesce(F.col("_off_" + v), F.lit(0.0)) + F.col("_cum_" + v))
         else:
             res = res.withColumn(name, F.col("_off_" + v) + F.col("_cum_" + v))
     drop = ["_pid", "_loc", "_off_n"] + [f"_off_{v}" for v in running] + [f"_cum_{v}" for v in running]
