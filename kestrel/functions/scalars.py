@@ -250,7 +250,7 @@ def fiscal_quarter(c, fiscal_year_end_month: int = 12) -> Column:
 
 def clean_whitespace(c) -> Column:
     """Collapse runs of spaces/tabs, at most two newlines, trim."""
-    s = F.regexp_replace(_c(c), r"[ \t\f\v]+", " ")
+    s = F.regexp_replace(_c(c), r"[ \t]+", " ")
     s = F.regexp_replace(s, r" ?\n ?", "\n")
     s = F.regexp_replace(s, r"\n{3,}", "\n\n")
     return F.trim(s)
