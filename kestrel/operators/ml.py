@@ -108,6 +108,7 @@ def leaderboard(df: DataFrame, features: Sequence[str], label: str, task: str =
     """Fit each model on the train split, score the test split;
     leaderboard (model, metric, value) sorted by F1 (classification) or R²."""
     spark = df.sparkSession
+    df = df.persist()  # many fits and evaluations read the same (derived) features
     tr, te = df.where(~F.col("is_test")), df.where(F.col("is_test"))
     fam = classifiers(label) if task == "classification" else regressors(label)
     names = [m for m in (models or fam) if fam.get(m) is not None]
@@ -118,7 +119,7 @@ def leaderboard(df: DataFrame, features: Sequence[str], label: str, task: str =
         if task == "classification" and name in ("gbt", "linear_svc") and n_cls > 2:
             est = C.OneVsRest(classifier=est, labelCol=label)
         model = Pipeline(stages=assembler(features, scale) + [est]).fit(tr)
-        pred = model.transform(te)
+        pred = model.transform(te).persist()
         fitted[name] = model
         if task == "classification":
             for m in ("f1", "accuracy", "weightedPrecision", "weightedRecall"):
@@ -126,6 +127,8 @@ def leaderboard(df: DataFrame, features: Sequence[str], label: str, task: str =
         else:
             for m in ("r2", "rmse", "mae"):
                 rows.append((name, m, float(RegressionEvaluator(labelCol=label, metricName=m).evaluate(pred))))
+        pred.unpersist()
+    df.unpersist()
     return spark.createDataFrame(rows, "model string, metric string, value double"), fitted
 
 
