@@ -39,8 +39,8 @@ from kestrel.llm.shingles import mix
 
 LENGTH = 200
 GRAM = 32
-HOT = 2000  # different stretches of one anchor that are sorted in one task
-BLOCK = 1 << 21  # bytes of stretches that a task sorts at once, or one bucket
+HOT = 8000  # different stretches of one anchor, 3 MB at most, that are sorted in one task
+BLOCK = 1 << 19  # bytes of stretches that a task sorts at once (cache-sized), or one bucket
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -92,33 +92,66 @@ def stretches_of(raw: bytes, places: np.ndarray, length: int = LENGTH) -> tuple[
 
 # ---- suffix sorting in one task ------------------------------------------------------------------
 
+def span_hashes(code: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4, ... up to ``depth`` symbols from each place on, with
+    zeros beyond the end."""
+    h = np.zeros(len(code) + 2 * depth, np.uint64)
+    h[:len(code)] = code
+    out, factor = [h + np.uint64(1)], _BASE
+    while 2 << len(out) - 1 <= depth:
+        span, last = 1 << len(out) - 1, out[-1]
+        h = last.copy()
+        h[:-span] = last[:-span] * np.uint64(factor) + last[span:]
+        out.append(h)
+        factor = factor * factor & (1 << 64) - 1
+    return out
+
+
 def suffix_order(code: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``code`` sorted by their first ``depth`` symbols at least;
-    ``key`` has the seven symbols from each place on, padded with zeros."""
+    ``key`` has the seven symbols from each place on, padded with zeros.  Of
+    suffixes that are equal to that depth, by hash, one is sorted for all."""
     n = len(code)
     step = np.sign(np.diff(code.astype(np.int32), append=-1))  # the end is smaller than all
     known = np.where(step != 0, np.arange(n), n)
     known = np.minimum.accumulate(known[::-1])[::-1]
     smaller = step[known] > 0  # than the successor: sorted directly
-    order = np.flatnonzero(smaller)
-    first = key[order]
-    by = np.argsort(first, kind="stable")
-    order, first = order[by], first[by]
-    begin = np.concatenate([[True], first[1:] != first[:-1]]) if len(order) else np.zeros(0, bool)
+    chosen = np.flatnonzero(smaller)
+    spans = span_hashes(code, depth)
+    longest = 1 << len(spans) - 1
+    whole = mix(mix(spans[-1][chosen]) + spans[-1][chosen + depth - longest])
+    _, one, kin = np.unique(whole, return_index=True, return_inverse=True)
+    order = chosen[one]
+    kind_at = np.arange(len(order))  # which distinct suffix is at each slot of ``order``
     slots = np.arange(len(order))
-    group = np.maximum.accumulate(np.where(begin, slots, 0)) if len(order) else slots
-    for at in range(7, depth, 7):
-        size = np.bincount(group, minlength=len(order) + 1)[group] if len(group) else group
-        tied = size > 1
-        slots, group = slots[tied], group[tied]
-        if not len(slots):
-            break
+    group, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    while len(slots):
         k = key[order[slots] + at]
-        by = np.lexsort((k, group))
-        order[slots] = order[slots][by]
+        by = np.lexsort((k, group)) if group.any() else np.argsort(k, kind="stable")
+        order[slots], kind_at[slots] = order[slots][by], kind_at[slots][by]
         k = k[by]
-        begin = np.concatenate([[True], (np.diff(group) != 0) | (k[1:] != k[:-1])])
+        begin = np.concatenate([[True], (group[1:] != group[:-1]) | (k[1:] != k[:-1])])
         group = np.maximum.accumulate(np.where(begin, slots, 0))
+        alone = begin & np.concatenate([begin[1:], [True]])
+        slots, group, at, begin = slots[~alone], group[~alone], at[~alone] + 7, begin[~alone]
+        if not len(slots):
+            break
+        # what a tied group has in common beyond is skipped: the least common prefix of its neighbours
+        here = order[slots] + at
+        common = np.zeros(len(slots) - 1, np.int64)
+        for j in range(len(spans) - 1, -1, -1):
+            common += (spans[j][here[:-1] + common] == spans[j][here[1:] + common]) << j
+            np.minimum(common, depth - at[:-1], out=common)
+        common = np.append(common, depth)
+        common[np.append(begin[1:], True)] = depth  # the last of a group has no neighbour in it
+        first = np.flatnonzero(begin)
+        skip = np.minimum.reduceat(common, first)
+        at = at + np.repeat(skip, np.diff(np.append(first, len(slots))))
+        going = at < depth
+        slots, group, at = slots[going], group[going], at[going]
+    rank = np.empty(len(order), np.int64)
+    rank[kind_at] = np.arange(len(order))
+    order = chosen[np.argsort(rank[kin], kind="stable")]
     # the rest follow from their successors, bucket by bucket of the first symbol
     direct = np.split(order, np.searchsorted(code[order], np.arange(1, 257)))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -152,9 +185,9 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndar
     code = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     code[ends - 1] = 0  # closes a string, below all bytes
     n = len(code)
-    wide = np.zeros(n + length + 14, np.uint64)
+    wide = np.zeros(n + 2 * length + 14, np.uint64)
     wide[:n] = code
-    key = np.zeros(n + length + 7, np.uint64)
+    key = np.zeros(n + 2 * length + 7, np.uint64)
     for j in range(7):
         key = (key << np.uint64(9)) | wide[j:j + len(key)]
     order = suffix_order(code, key, length)
