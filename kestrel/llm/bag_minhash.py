@@ -10,9 +10,9 @@ points to look at are about m (ln m + 4) for a document of any length.
 
 Signatures are banded.  In every bucket, members are verified against few pivots
 by exact multiset overlap, and members already connected are not compared again;
-further rounds take as pivots what is not yet connected to the rest of its
-bucket, until every pair of a bucket that could join two classes has been
-verified.  Pairs in a bucket are never all emitted.
+further rounds take as pivots what is not yet connected to the first one's class,
+until every pair of a bucket that could join two classes has been verified or is
+ruled out by the triangle inequality.
 
 Defined cases: a null text is the empty text; texts without words are copies of
 each other if equal and are like nothing else; equal texts are one node, so
@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.llm.common import components, cut
+from kestrel.llm.common import boxed, components, cut, unboxed
 from kestrel.llm.shingles import blocks, mix, shingle_hashes
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares a band with probability 1 - 3e-6
-PIVOTS = 32  # per bucket and round after the first
+PIVOTS = 64  # per bucket and round at most
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -156,39 +156,71 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root`` after more ``links``: the components of the old components."""
+    ends = links
+    for end in ("a", "b"):
+        at = root.select(F.col("node").alias(end), F.col("root").alias("r"))
+        ends = ends.join(at, end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    merged = cut(components(ends.select("a", "b").distinct()), "merged").select(F.col("node").alias("root"), F.col("root").alias("new"))
+    fresh = merged.select(F.col("root").alias("node")).join(root, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return root.unionByName(fresh).join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows doc_id, content, class_id; links a, b, similarity between nodes)."""
     members, node = nodes(docs, bands, rows)
     buckets = cut(node.select("node", F.explode("keys").alias("bucket")), "buckets")
-    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
-    shared = cut(buckets.join(pivots.where(F.col("pivot") != F.col("other")).select("bucket", "pivot"), "bucket"), "shared")
-    pairs = shared.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = shared.select("node").distinct().join(node.select("node", "content"), "node")
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where(F.col("size") > 1)
+    sized = cut(buckets.join(size, "bucket"), "sized")
+    # the pivot is the member that meets most others over all bands: the source of a group of edited copies
+    crowd = sized.where(F.col("size") > 2).select("bucket", "node", "size")
+    met = crowd.groupBy("node").agg(F.sum("size").alias("met"))
+    ranked = cut(crowd.join(met, "node"), "ranked")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("top"))
+    shared = cut(ranked.join(pivots.select("bucket", (-F.col("top.node")).alias("pivot")), "bucket").select(
+        "bucket", "node", "pivot", "met"), "shared")
+    two = sized.where((F.col("size") == 2) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = two.unionByName(shared.where(F.col("node") != F.col("pivot")).select(
+        F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
+    wanted = sized.select("node").distinct().join(node.select("node", "content"), "node")
     bodies = docs.select(content(F.col("text")).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
     texts = cut(bodies.join(wanted, "content").groupBy("node").agg(F.first("text").alias("text")), "texts")
     tested = cut(verify(pairs, texts, threshold), "tested")
     root = cut(components(tested.where(F.col("similarity") >= threshold)), "roots")
-    served = None
+    # every member has been compared with its bucket's pivot
+    close = tested.select(F.col("a").alias("low"), F.col("b").alias("high"), "similarity")
+    ends = (F.least("pivot", "node") == F.col("low")) & (F.greatest("pivot", "node") == F.col("high"))
+    open_ = shared.join(close, ends, "left").select(
+        "bucket", "pivot", "node", "met", F.coalesce("similarity", F.lit(1.0)).alias("to_pivot"))
+    open_ = cut(open_, "open")
+    served, turns = None, 2
     while True:
-        # what may still join two classes: members not of the class of their bucket's first pivot
+        # strangers are members that are not of the class of their bucket's pivot
         home = root.select(F.col("node").alias("pivot"), F.col("root").alias("home"))
-        seats = cut(shared.join(root, "node", "left").join(home, "pivot", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("home", "pivot").alias("home")), "seats")
-        strange = seats.where(F.col("root") != F.col("home")).select("bucket", "node", "root")
+        seats = cut(open_.join(root, "node", "left").join(home, "pivot", "left").select(
+            "bucket", "pivot", "node", "met", "to_pivot", F.coalesce("root", "node").alias("root"), F.coalesce("home", "pivot").alias("home")), "seats")
+        strange = seats.where(F.col("root") != F.col("home"))
         if served is not None:
             strange = strange.join(served, ["bucket", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        chosen = cut(strange.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).drop("turn"), "pivots")
+        # few pivots at first: one of them mostly joins a large group, and the rest is no stranger then
+        order = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
+        chosen = cut(strange.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= turns).select(
+            "bucket", F.col("node").alias("p"), F.col("root").alias("of"), F.col("to_pivot").alias("p_to_pivot")), "pivots")
         if chosen.isEmpty():
             break
-        more = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("of")).join(seats, "bucket").where(
-            F.col("of") != F.col("root")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        # 1 - similarity is a metric: members whose similarity to the pivot differs by more cannot be near
+        more = chosen.join(seats, "bucket").where(
+            (F.col("of") != F.col("root")) & (F.abs(F.col("to_pivot") - F.col("p_to_pivot")) <= 1 - threshold + 1e-9)).select(
+            F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         fresh = cut(verify(more.join(tested, ["a", "b"], "left_anti"), texts, threshold), "tested")
         tested = tested.unionByName(fresh)
-        chosen = chosen.select("bucket", "node")
+        chosen = chosen.select("bucket", F.col("p").alias("node"))
         served = chosen if served is None else served.unionByName(chosen)
-        if not fresh.where(F.col("similarity") >= threshold).isEmpty():
-            root = cut(components(tested.where(F.col("similarity") >= threshold)), "roots")
+        turns = min(8 * turns, PIVOTS)
+        alive = seats.where(F.col("root") != F.col("home")).select("bucket").distinct()
+        open_ = cut(seats.join(alive, "bucket", "left_semi").select("bucket", "pivot", "node", "met", "to_pivot"), "open")
+        root = cut(_joined(root, fresh.where(F.col("similarity") >= threshold)), "roots")
     links = tested.where(F.col("similarity") >= threshold)
     named = members.join(node.select("content", "node"), "content").join(root, "node", "left").select(
         "doc_id", "content", F.coalesce("root", "node").alias("root"))
@@ -209,7 +241,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest id of every class; of rows with equal id and
     text one stays, and a class without any id keeps one of each text."""
     rows, _ = classes(docs)
-    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(
-        F.min("content").alias("_content")).withColumnRenamed("class_id", "_id")
-    return docs.withColumn("_content", content(F.col("text"))).dropDuplicates(["doc_id", "_content"]).alias("d").join(
-        stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s._id")) & (F.col("d._content") == F.col("s._content")), "left_semi").select(*docs.columns)
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = first.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("content")).alias("apart")).agg(F.min("content").alias("content"))
+    stay = cut(stay.select(_who(F.col("class_id"), F.col("content")).alias("_who")), "stay")
+    named = boxed(docs).select(_who(F.col("_row.doc_id"), content(F.col("_row.text"))).alias("_who"), "_row")
+    return unboxed(named.join(stay, "_who", "left_semi").groupBy("_who").agg(F.first("_row").alias("_row")))
+
+
+def _who(doc_id: Column, have: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), have)
