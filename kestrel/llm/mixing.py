@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut
+from kestrel.llm.common import boxed, cut, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3
@@ -56,27 +56,29 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / float(1 << 52)
 
 
-def with_copies(sized: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``sized`` has source and _size; adds _source_size, _target and _copies."""
-    sums = sized.groupBy("source").agg(F.sum("_size").cast("long").alias("source_size"))
+def with_copies(sized: DataFrame) -> DataFrame:
+    """``sized``: _doc_id, _source, _size and others; adds _source_size, _target and _copies."""
+    sums = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").cast("long").alias("source_size"))
     rates = cut(targets(sums), "rates")
     few = rates.count() <= BROADCAST_SOURCES
     right = rates.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"),
                          F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    joined = sized.join(F.broadcast(right) if few else right, sized["source"].eqNullSafe(right["_src"]))
+    joined = sized.join(F.broadcast(right) if few else right, F.col("_source").eqNullSafe(F.col("_src")))
     whole = F.floor("_rate")
-    extra = F.when(uniform(F.col(doc_id)) < F.col("_rate") - whole, 1).otherwise(0)
+    extra = F.when(uniform(F.col("_doc_id")) < F.col("_rate") - whole, 1).otherwise(0)
     return joined.withColumn("_copies", (whole + extra).cast("long")).drop("_src", "_rate")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"))
-    return with_copies(sized).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                                     F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    sized = docs.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"))
+    return with_copies(sized).select(F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"),
+                                     F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                                     (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as it is taken."""
-    out = with_copies(docs.withColumn("_size", n_words(F.col("text"))))
-    out = out.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*docs.columns)
+    sized = boxed(docs).select("_row", F.col("_row.doc_id").alias("_doc_id"), F.col("_row.source").alias("_source"),
+                               n_words(F.col("_row.text")).alias("_size"))
+    out = with_copies(sized).where(F.col("_copies") > 0)
+    return unboxed(out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut
+from kestrel.llm.common import boxed, cut, unboxed
 
 
 @dataclass(frozen=True)
@@ -146,17 +146,18 @@ def redact(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``[rule]``; other rows and
     columns stay.  Overlapping spans are replaced as one, named by the first."""
     ledger = cut(scan_unseen(docs, rules=rules, text=text), "ledger").where(F.size("found") > 0)
-    hit = docs.withColumn("_blob", content_address(F.col(text))).join(
+    body = F.col(f"_row.`{text}`")
+    hit = boxed(docs).withColumn("_blob", content_address(body)).join(
         ledger.select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "_blob", "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.col(text).substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+        piece = F.concat(acc["out"], body.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                          F.concat(F.lit("["), s["rule"], F.lit("]")))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
                         F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
-    rest = F.aggregate("_found", zero, step, lambda a: F.concat(
-        a["out"], F.col(text).substr((a["at"] + 1).cast("int"), F.length(text))))
-    return hit.withColumn(text, F.when(F.col("_found").isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
+    rest = F.aggregate("_found", zero, step, lambda a: F.concat(a["out"], body.substr((a["at"] + 1).cast("int"), F.length(body))))
+    changed = F.when(F.col("_found").isNotNull(), F.col("_row").withField(f"`{text}`", rest)).otherwise(F.col("_row"))
+    return unboxed(hit.select(changed.alias("_row")))
