@@ -249,11 +249,10 @@ def fiscal_quarter(c, fiscal_year_end_month: int = 12) -> Column:
 
 
 def clean_whitespace(c) -> Column:
-    """Collapse runs of spaces/tabs, at most two newlines, trim."""
+    """Collapse runs of spaces/tabs, at most two newlines, strip white space."""
     s = F.regexp_replace(_c(c), r"[ \t]+", " ")
-    s = F.regexp_replace(s, r" ?\n ?", "\n")
     s = F.regexp_replace(s, r"\n{3,}", "\n\n")
-    return F.trim(s)
+    return F.regexp_replace(s, r"\A\s+|\s+\z", "")
 
 
 def analysis_text(c) -> Column:
@@ -268,10 +267,10 @@ def analysis_text(c) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def sanitize(c, max_chars: int = 10000) -> Column:
-    """Drop control characters (keeping tab/newline) and truncate."""
+def sanitize(c, max_chars: int | None = None) -> Column:
+    """Drop control characters (keeping tab/newline); cut only when asked to."""
     s = F.regexp_replace(_c(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return F.substring(s, 1, max_chars)
+    return s if max_chars is None else F.substring(s, 1, max_chars)
 
 
 def any_of(conds: Sequence[Column]) -> Column:

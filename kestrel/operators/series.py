@@ -207,17 +207,21 @@ def sufficiency(p: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def sma_signal(p: DataFrame, window: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """Last value vs its trailing SMA: > +5 % bullish, < -5 % bearish;
-    next value extrapolated as SMA + (last - SMA)."""
+    """Last value vs its trailing SMA: > +5 % bullish, < -5 % bearish; the
+    next value extends the SMA by its mean step, (last SMA - first SMA) / number
+    of SMA points.  A series shorter than two windows uses half its length."""
     by = list(by)
-    tmax = p.groupBy(*by).agg(F.max("t").alias("_tmax"))
-    j = p.join(tmax, by) if by else p.withColumn("_tmax", tmax.select("_tmax").scalar())
-    g = j.where(F.col("t") > F.col("_tmax") - window).groupBy(*by).agg(
-        F.avg("y").alias("sma"), F.max_by("y", "t").alias("last"))
-    dev = (F.col("last") - F.col("sma")) / F.abs(F.col("sma")) * 100
+    ends = p.groupBy(*by).agg(F.min("t").alias("_tmin"), F.max("t").alias("_tmax"))
+    ends = ends.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(window), F.floor((F.col("_tmax") - F.col("_tmin") + 1) / 2))))
+    j = p.join(ends, by) if by else p.withColumns({c: ends.select(c).scalar() for c in ("_tmin", "_tmax", "_w")})
+    head, tail = F.col("t") < F.col("_tmin") + F.col("_w"), F.col("t") > F.col("_tmax") - F.col("_w")
+    g = j.groupBy(*by).agg(F.avg(F.when(tail, F.col("y"))).alias("sma"), F.avg(F.when(head, F.col("y"))).alias("_first"),
+                           F.max_by("y", "t").alias("last"),
+                           F.max(F.col("_tmax") - F.col("_tmin") + 2 - F.col("_w")).alias("_points"))
+    dev = (F.col("last") - F.col("sma")) / F.col("sma") * 100
     return g.select(*by, "last", "sma", dev.alias("deviation_pct"),
                     F.when(dev > 5, "bullish").when(dev < -5, "bearish").otherwise("neutral").alias("signal"),
-                    (F.col("sma") + (F.col("last") - F.col("sma"))).alias("next_value"))
+                    (F.col("sma") + (F.col("sma") - F.col("_first")) / F.col("_points")).alias("next_value"))
 
 
 def quadratic_forecast(p: DataFrame, last_n: int = 30, horizon: int = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -226,12 +230,12 @@ def quadratic_forecast(p: DataFrame, last_n: int = 30, horizon: int = 3, by: Seq
     by = list(by)
     tmax = p.groupBy(*by).agg(F.max("t").alias("_tmax"))
     j = p.join(tmax, by) if by else p.withColumn("_tmax", tmax.select("_tmax").scalar())
-    w = j.where(F.col("t") > F.col("_tmax") - last_n).withColumn("x", (F.col("t") - F.col("_tmax") + last_n - 1).cast("double"))
-    w = w.withColumn("x", F.col("x") - F.least(F.lit(0.0), F.lit(0.0)))
+    first = F.greatest(F.col("_tmax") - last_n + 1, F.lit(0))  # a shorter series starts at its own first point
+    w = j.where(F.col("t") > F.col("_tmax") - last_n).withColumn("x", (F.col("t") - first).cast("double"))
     x, y = F.col("x"), F.col("y")
     s = w.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("s0"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"),
                            F.sum(x * x * x).alias("s3"), F.sum(x * x * x * x).alias("s4"), F.sum(y).alias("t0"),
-                           F.sum(x * y).alias("t1"), F.sum(x * x * y).alias("t2"), F.min("x").alias("x0"))
+                           F.sum(x * y).alias("t1"), F.sum(x * x * y).alias("t2"))
     c = {k: F.col(k) for k in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")}
 
     def det3(a, b, cc, d, e, f, g, h, i):
@@ -242,7 +246,7 @@ def quadratic_forecast(p: DataFrame, last_n: int = 30, horizon: int = 3, by: Seq
     C = det3(c["s0"], c["s1"], c["t0"], c["s1"], c["s2"], c["t1"], c["s2"], c["s3"], c["t2"]) / D
     coef = s.select(*by, A.alias("a"), B.alias("b"), C.alias("c"), F.col("s0").alias("k"))
     res = w.join(coef, by) if by else w.withColumns({k: coef.select(k).scalar() for k in ("a", "b", "c", "k")})
-    sig = res.groupBy(*by).agg(F.stddev_samp(F.col("y") - (F.col("a") + F.col("b") * x + F.col("c") * x * x)).alias("sigma"))
+    sig = res.groupBy(*by).agg(F.stddev_pop(F.col("y") - (F.col("a") + F.col("b") * x + F.col("c") * x * x)).alias("sigma"))
     coef = coef.join(sig, by) if by else coef.withColumn("sigma", sig.select("sigma").scalar())
     h = coef.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     xf = F.col("k") - 1 + F.col("step")

@@ -94,7 +94,8 @@ def fixed_chunks(df: DataFrame, text: str, key: str, size: int = CHUNK_SIZE, ove
                     F.expr(f"substring({text}, char_start + 1, {size})").alias("text"))
 
 
-_SENT_SPLIT = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ])|\n\s*\n|\n")
+# fixed values: sentence bounds (end mark before a capital, end mark before a line break, paragraph break)
+_SENT_SPLIT = re.compile(r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s*\n|\n\n+")
 _TABLE_LINE = re.compile(r"^\s*(\+|.*\|)|^([^,]*,){2,}")
 
 
@@ -243,31 +244,38 @@ def row_chunks(df: DataFrame, order: Sequence[str], rows_per_chunk: int = 25, so
 
 
 def text_statistics(c) -> dict[str, Column]:
-    """Chars, words, sentences, average word / sentence length, lexical
-    diversity, upper-case, digit and punctuation counts, Flesch reading ease
-    (syllables = vowel groups)."""
-    c = F.col(c) if isinstance(c, str) else c
-    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    n_words = F.size(words)
-    n_sent = F.greatest(F.size(F.filter(F.split(c, r"[.!?]+"), lambda s: F.trim(s) != "")), F.lit(1))
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    syll = F.size(F.filter(F.split(F.lower(c), r"[^aeiouyàâäéèêëîïôöùûüáíóú]+"), lambda s: s != ""))
+    """Characters, words, sentences (parts between full stops that are not
+    blank, one at least), average word length, words per sentence, share of
+    distinct words, shares of upper-case letters and digits, count of ``.,!?;:``
+    and a reading score between 0 and 100.  An empty or null text has zeros (and
+    one sentence)."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    n_chars, n_words = F.length(c), F.size(words)
+    n_sent = F.greatest(F.size(F.filter(F.split(c, r"\."), lambda s: F.regexp_replace(s, r"\s+", "") != "")), F.lit(1))
+    letters = F.length(F.regexp_replace(c, r"\s+", ""))
+    word_len = F.when(n_words > 0, letters / n_words).otherwise(F.lit(0.0))
+    per_sent = n_words / n_sent
+    reading = 206.835 - 1.015 * per_sent - 84.6 * (word_len / F.greatest(n_words, F.lit(1)))
+
+    def share(pattern: str) -> Column:
+        return F.when(n_chars > 0, F.length(F.regexp_replace(c, pattern, "")) / n_chars).otherwise(F.lit(0.0))
+
     return {
-        "chars": F.length(c), "words": n_words, "sentences": n_sent,
-        "avg_word_len": F.when(n_words > 0, letters / n_words),
-        "avg_sentence_len": n_words / n_sent,
-        "lexical_diversity": F.when(n_words > 0, F.size(F.array_distinct(F.transform(words, F.lower))) / n_words),
-        "upper": F.length(F.regexp_replace(c, r"[^A-Z]", "")), "digits": F.length(F.regexp_replace(c, r"[^0-9]", "")),
-        "punct": F.length(F.regexp_replace(c, r"[^!-/:-@\[-`{-~]", "")),
-        "readability": F.when(n_words > 0, 206.835 - 1.015 * (n_words / n_sent) - 84.6 * (syll / n_words)),
+        "chars": n_chars, "words": n_words, "sentences": n_sent, "avg_word_len": word_len, "avg_sentence_len": per_sent,
+        "lexical_diversity": F.when(n_words > 0, F.size(F.array_distinct(words)) / n_words).otherwise(F.lit(0.0)),
+        "upper_ratio": share(r"[^\p{Lu}]+"), "digit_ratio": share(r"[^\p{Nd}]+"),
+        "punct": F.length(F.regexp_replace(c, r"[^.,!?;:]+", "")),
+        "readability": F.greatest(F.lit(0.0), F.least(F.lit(100.0), reading)),
     }
 
 
 def sentiment(c) -> dict[str, Column]:
-    """Lexicon overlap: positive and negative word counts, score
-    (p - n) / (p + n + 1), ratios to word count, intensity and a ±0.2 label."""
+    """Lexicon overlap of the set of lower-case words: positive and negative
+    words (a repeated word counts once), score (p - n) / (p + n + 1), ratios to
+    the number of distinct words, intensity and a ±0.2 label."""
     c = F.col(c) if isinstance(c, str) else c
-    toks = F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
+    toks = F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     pos = F.size(F.filter(toks, lambda w: w.isin(POSITIVE_WORDS)))
     neg = F.size(F.filter(toks, lambda w: w.isin(NEGATIVE_WORDS)))
     n = F.greatest(F.size(toks), F.lit(1))
@@ -362,14 +370,12 @@ def injection_flag(c) -> dict[str, Column]:
 def tag_text(df: DataFrame, text: str, key: Sequence[str], rules: Sequence[tuple[str, str, float]]) -> DataFrame:
     """Rules (tag, regex, weight) scored over a text column; the tag with
     the highest total weight wins (ties: tag name), else 'general'."""
-    arr = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(w).alias("w"), F.col(text).rlike("(?i)" + r).alias("hit"))
-                    for t, r, w in rules])
-    x = df.select(*key, F.explode(arr).alias("r")).select(*key, "r.*").where("hit")
-    s = x.groupBy(*key, "tag").agg(F.sum("w").alias("score"))
-    best = s.groupBy(*key).agg(F.max_by("tag", F.struct("score", F.lit(0) - F.hash("tag"))).alias("tag"),
-                               F.max("score").alias("score"))
-    return df.select(*key).join(best, list(key), "left").select(*key, F.coalesce("tag", F.lit("general")).alias("tag"),
-                                                              F.coalesce("score", F.lit(0.0)).alias("score"))
+    scores = {tag: reduce(lambda a, b: a + b, [F.when(F.col(text).rlike("(?i)" + r), F.lit(float(w))).otherwise(F.lit(0.0))
+                                               for t, r, w in rules if t == tag]) for tag in sorted({t for t, _, _ in rules})}
+    scored = df.select(*key, F.array(*[F.struct((-s).alias("minus"), F.lit(t).alias("tag")) for t, s in scores.items()]).alias("_s"))
+    best = F.array_min("_s")  # the highest score, then the first name
+    return scored.select(*key, F.when(best["minus"] < 0, best["tag"]).otherwise("general").alias("tag"),
+                         F.coalesce(-best["minus"], F.lit(0.0)).alias("score"))
 
 
 def user_facts(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
@@ -475,11 +481,11 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))])
 
 
-def parse_page(html: str | None, url: str | None, max_text: int = 10000, max_tables: int = 5,
-               max_links: int = 20) -> dict | None:
+def parse_page(html: str | None, url: str | None, max_text: int | None = None, max_tables: int | None = None,
+               max_links: int | None = None) -> dict | None:
     """N9 for one page (stdlib parser): title, description, visible text
-    (script/style/nav/footer/header dropped, whitespace collapsed, <= 10 000
-    chars), <= 5 tables and <= 20 absolute links — the reference's output caps."""
+    (script/style/nav/footer/header dropped, whitespace collapsed), tables and
+    absolute links.  All of them are returned unless a caller asks for fewer."""
     if html is None:
         return None
     p = _PageParser()

@@ -1,7 +1,7 @@
 """Vectors and retrieval.
 
-Exact search never materialises query x corpus pairs: the (bounded, size
-checked) query block is broadcast to a ``mapInPandas`` over the corpus, each
+Exact search never materialises query x corpus pairs: blocks of queries of a
+fixed size are sent to a ``mapInPandas`` over the corpus, each
 task keeps its own top-k per query with a NumPy matmul, and a salted top-k
 merges the per-task candidates.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kestrel.plans.distributed import top_k_per_group
 
-MAX_QUERY_BLOCK = 10_000  # rows of the broadcast query block
+QUERY_BLOCK = 2_000  # queries that go to the tasks at once
 
 
 def _c(x) -> Column:
@@ -77,12 +77,13 @@ def _topk_task(queries: pd.DataFrame, qkey: str, qvec: str, ckey: str, cvec: str
                 den = qn[:, None] * cn[None, :]
                 score = np.where(den > 0, (Q @ C.T) / np.where(den > 0, den, 1.0), 0.0)
             kk = min(k, score.shape[1])
-            part = np.argpartition(-score, kk - 1, axis=1)[:, :kk]
-            rows = []
-            for qi in range(len(qids)):
-                for j in part[qi]:
-                    rows.append((qids[qi], ids[j], float(score[qi, j])))
-            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
+            least = np.partition(score, score.shape[1] - kk, axis=1)[:, score.shape[1] - kk]
+            qi, ci = np.nonzero(score >= least[:, None])  # ties at rank k included, then cut by id
+            by = np.lexsort((ids[ci], -score[qi, ci], qi))
+            qi, ci = qi[by], ci[by]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
+            qi, ci = qi[place < kk], ci[place < kk]
+            yield pd.DataFrame({"query_id": qids[qi], "doc_id": ids[ci], "score": score[qi, ci]})
     return run
 
 
@@ -90,17 +91,23 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine
         ckey: str = "vec_id", cvec: str = "embedding", qkey: str = "query_id", qvec: str = "embedding") -> DataFrame:
     """O2/O3: exact top-k per query over the whole corpus.  ``metric`` cosine
     (O2), dot, or l2 (O3: score 1 / (1 + squared distance), as the flat L2
-    index).  The query block is collected once (checked <= MAX_QUERY_BLOCK
-    rows) and shipped with the task closure; corpus partitions are scanned in
-    parallel; per-task candidates (k per query per task) are merged."""
-    n_q = queries.count()
-    if n_q > MAX_QUERY_BLOCK:
-        raise ValueError(f"query block of {n_q} rows exceeds {MAX_QUERY_BLOCK}; split the queries")
-    qpdf = queries.select(qkey, qvec).toPandas()  # bounded above
+    index).  Queries go to the tasks in blocks of about QUERY_BLOCK rows, one
+    scan of the corpus each; per-task candidates (k per query per task) are
+    merged."""
+    asked = queries.select(qkey, qvec)
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kt = corpus.schema[ckey].dataType.simpleString()
     qt = queries.schema[qkey].dataType.simpleString()
     schema = f"query_id {qt}, doc_id {kt}, score double"
-    cand = corpus.select(ckey, cvec).mapInPandas(_topk_task(qpdf, qkey, qvec, ckey, cvec, k, metric), schema)
+    cand = None
+    for block in range(n_blocks):
+        own = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64(qkey), F.lit(n_blocks)) == block)
+        qpdf = own.toPandas()
+        if len(qpdf):
+            part = corpus.select(ckey, cvec).mapInPandas(_topk_task(qpdf, qkey, qvec, ckey, cvec, k, metric), schema)
+            cand = part if cand is None else cand.unionByName(part)
+    if cand is None:
+        cand = corpus.sparkSession.createDataFrame([], schema)
     top = top_k_per_group(cand, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, out="rank")
     if threshold is not None:
         top = top.where(F.col("score") >= threshold)

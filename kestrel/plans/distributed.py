@@ -178,32 +178,40 @@ def global_running_sum(df: DataFrame, value: str, order: Sequence[str | Column],
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / DuckDB
-    ``quantile_cont``) of ``value`` per group ``by``, without holding a group in
-    one task: rows are ranked by (by, value) on a range scan; per-group start and
-    size come from a partial aggregate; the two neighbouring ranks of every
-    target are fetched with an equi-join on the (unique) global rank.
+    ``quantile_cont``) of ``value`` per group ``by``, without holding a group or
+    a frequent value in one task: rows are first counted per (group, value), a
+    partial aggregate; the counts, one row per distinct value, get running sums
+    on the range scan; the value whose run covers a target position is picked by
+    a second partial aggregate.
 
     Returns one row per group with one column per probability (``names``).
     """
     names = list(names or [f"p{int(round(p * 100)):02d}" for p in probs])
     by = list(by)
     base = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    ranked = global_rank(base, [*by, "_x"], out="_r")
-    groups = ranked.groupBy(*by).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    targets = groups.select(*by, "_start", "_cnt", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-    targets = targets.withColumn("_pos", F.col("_p") * (F.col("_cnt") - 1))
-    targets = targets.withColumn("_lo", F.col("_start") + F.floor("_pos")).withColumn(
-        "_hi", F.col("_start") + F.ceil("_pos")).withColumn("_frac", F.col("_pos") - F.floor("_pos"))
-    vals = ranked.select("_r", "_x")
-    lo = vals.withColumnsRenamed({"_r": "_lo", "_x": "_xlo"})
-    hi = vals.withColumnsRenamed({"_r": "_hi", "_x": "_xhi"})
-    joined = targets.join(lo, "_lo").join(hi, "_hi")
-    joined = joined.withColumn("_q", F.col("_xlo") + F.col("_frac") * (F.col("_xhi") - F.col("_xlo")))
+    counts = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    runs = global_rank(counts, [*by, "_x"], out="_r", running={"_c": "_to"}).drop("_r")
+    runs = runs.withColumn("_from", F.col("_to") - F.col("_c"))
+    groups = runs.groupBy(*by).agg(F.min("_from").alias("_start"), F.sum("_c").alias("_cnt"))
     if by:
-        wide = joined.groupBy(*by).pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
+        groups = groups.withColumnsRenamed({c: "_g_" + c for c in by})
+        cond = None
+        for c in by:
+            same = F.col(c).eqNullSafe(F.col("_g_" + c))
+            cond = same if cond is None else cond & same
+        runs = runs.join(groups, cond).drop(*["_g_" + c for c in by])
     else:
-        wide = joined.groupBy().pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
-    return wide.withColumnsRenamed({str(i): n for i, n in enumerate(names)})
+        runs = runs.withColumns({c: groups.select(c).scalar() for c in ("_start", "_cnt")})
+    picks = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_cnt") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            inside = (F.col("_from") - F.col("_start") <= place) & (place < F.col("_to") - F.col("_start"))
+            picks.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{end}{i}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_part{i}"))
+    found = runs.groupBy(*by).agg(*picks)
+    return found.select(*by, *[(F.col(f"_lo{i}") + F.col(f"_part{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n)
+                               for i, n in enumerate(names)])
 
 
 def stats_scalar(stats: DataFrame) -> Column:

@@ -10,7 +10,7 @@ from kestrel.operators.text import text_statistics
 from kestrel.plans.registry import query
 from kestrel.session import Tables
 
-FEATS = ["n_chars", "words", "digits", "upper", "sentences"]
+FEATS = ["n_chars", "words", "digit_ratio", "upper_ratio", "sentences"]
 
 
 def labelled_docs(t: Tables):
@@ -69,7 +69,7 @@ def p06_rare_grouping(spark, sf):
 def p07_polynomial(spark, sf):
     from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
     d = labelled_docs(Tables(spark, sf))
-    v = VectorAssembler(inputCols=["words", "digits"], outputCol="v").transform(d)
+    v = VectorAssembler(inputCols=["words", "digit_ratio"], outputCol="v").transform(d)
     return PolynomialExpansion(degree=2, inputCol="v", outputCol="poly").transform(v).select(
         "doc_id", vector_to_array("poly").alias("poly"))
 

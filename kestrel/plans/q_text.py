@@ -10,8 +10,8 @@ from kestrel.plans.registry import query
 from kestrel.session import Tables
 
 
-@query("n01_clean_whitespace", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'),
-  ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents""")
+@query("n01_clean_whitespace", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'),
+  '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') AS text FROM documents""")
 def n01_clean_whitespace(spark, sf):
     d = Tables(spark, sf).documents
     return d.select("doc_id", S.clean_whitespace("text").alias("text"))
@@ -85,15 +85,26 @@ def n10_markdown_tables(spark, sf):
     return X.markdown_tables(Tables(spark, sf).documents, "text", "doc_id")
 
 
-@query("n11_text_statistics", r"""SELECT doc_id, length(text) AS chars,
-  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits
-FROM documents""")
+_N11 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS c FROM documents),
+w AS (SELECT doc_id, c, length(c) AS chars, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') AS ws,
+  greatest(len(list_filter(string_split(c, '.'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')), 1) AS sentences FROM t),
+m AS (SELECT *, len(ws) AS words, CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE / len(ws) ELSE 0 END AS avg_word_len FROM w)
+SELECT doc_id, chars, words, sentences, avg_word_len, words / sentences AS avg_sentence_len,
+  CASE WHEN words > 0 THEN len(list_distinct(ws)) / words ELSE 0 END AS lexical_diversity,
+  CASE WHEN chars > 0 THEN length(regexp_replace(c, '[^\p{Lu}]+', '', 'g')) / chars ELSE 0 END AS upper_ratio,
+  CASE WHEN chars > 0 THEN length(regexp_replace(c, '[^\p{Nd}]+', '', 'g')) / chars ELSE 0 END AS digit_ratio,
+  length(regexp_replace(c, '[^.,!?;:]+', '', 'g')) AS punct,
+  greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / sentences)
+    - 84.6::DOUBLE * (avg_word_len / greatest(words, 1)))) AS readability FROM m"""
+
+
+@query("n11_text_statistics", f"SELECT doc_id, chars, upper_ratio, digit_ratio FROM ({_N11})")
 def n11_text_statistics(spark, sf):
     st = X.text_statistics("text")
-    return Tables(spark, sf).documents.select("doc_id", *[st[k].alias(k) for k in ("chars", "upper", "digits")])
+    return Tables(spark, sf).documents.select("doc_id", *[st[k].alias(k) for k in ("chars", "upper_ratio", "digit_ratio")])
 
 
-@query("n11b_text_statistics_full")
+@query("n11b_text_statistics_full", _N11)
 def n11b_text_statistics_full(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", *[v.alias(k) for k, v in X.text_statistics("text").items()])
 
@@ -102,10 +113,10 @@ _POS = "[" + ", ".join(f"'{w}'" for w in X.POSITIVE_WORDS) + "]"
 _NEG = "[" + ", ".join(f"'{w}'" for w in X.NEGATIVE_WORDS) + "]"
 
 
-@query("n12_sentiment", f"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'),
-  lambda w: w <> '') AS toks FROM conversations),
+@query("n12_sentiment", f"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'),
+  lambda w: w <> '')) AS toks FROM conversations),
 c AS (SELECT conv_id, turn, len(list_filter(toks, lambda w: list_contains({_POS}, w))) AS positive,
-  len(list_filter(toks, lambda w: list_contains({_NEG}, w))) AS negative, greatest(len(toks), 1) AS n FROM t)
+  len(list_filter(toks, lambda w: list_contains({_NEG}, w))) AS negative FROM t)
 SELECT conv_id, turn, positive, negative, (positive - negative) / (positive + negative + 1) AS sentiment FROM c""")
 def n12_sentiment(spark, sf):
     c = Tables(spark, sf).conversations
@@ -148,8 +159,7 @@ def n18_injection_flag(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", f["unsafe"].alias("unsafe"), f["matched_pattern"].alias("matched_pattern"))
 
 
-@query("n19_sanitize", r"""SELECT doc_id, substr(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), 1, 10000) AS text
-FROM documents""")
+@query("n19_sanitize", r"""SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS text FROM documents""")
 def n19_sanitize(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", S.sanitize("text").alias("text"))
 
@@ -158,7 +168,16 @@ TAG_RULES = [("question", r"\?", 1.0), ("greeting", r"\b(hello|hi|bonjour|hola|h
              ("numbers", r"\d", 0.5), ("english", r"\b(the|and|of)\b", 1.5), ("french", r"\b(le|la|les|des)\b", 1.5)]
 
 
-@query("n20_rule_tagging")
+def _tag_sql() -> str:
+    tags = sorted({t for t, _, _ in TAG_RULES})
+    score = {tag: " + ".join(f"CASE WHEN regexp_matches(text, '{r}', 'i') THEN {w}::DOUBLE ELSE 0 END" for t, r, w in TAG_RULES if t == tag) for tag in tags}
+    best = "greatest(" + ", ".join(f"s_{t}" for t in tags) + ")"
+    first = " ".join(f"WHEN s_{t} = {best} THEN '{t}'" for t in tags)
+    return (f"SELECT conv_id, turn, CASE WHEN {best} = 0 THEN 'general' {first} END AS tag, {best} AS score FROM "
+            f"(SELECT conv_id, turn, {', '.join(f'{e} AS s_{t}' for t, e in score.items())} FROM conversations)")
+
+
+@query("n20_rule_tagging", _tag_sql())
 def n20_rule_tagging(spark, sf):
     return X.tag_text(Tables(spark, sf).conversations, "text", ["conv_id", "turn"], TAG_RULES)
 

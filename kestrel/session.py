@@ -30,9 +30,11 @@ def get_spark(master: str | None = None, app: str = "kestrel",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
-        "spark.driver.memory": "16g",
     }
+    if shuffle_partitions or (master or "").startswith("local"):  # a cluster's own settings stand
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
+    if (master or "").startswith("local"):
+        conf["spark.driver.memory"] = "16g"
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

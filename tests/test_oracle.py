@@ -24,6 +24,18 @@ def _norm(v):
     return v
 
 
+def _order(row):
+    return repr(tuple(f"{v:.4g}" if isinstance(v, float) else repr(v) for v in row))
+
+
+def _same(x, y):
+    if isinstance(x, tuple) and isinstance(y, tuple):
+        return len(x) == len(y) and all(_same(i, j) for i, j in zip(x, y))
+    if isinstance(x, (int, float)) and isinstance(y, (int, float)):
+        return math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)
+    return x == y or (x is None and y is None) or (str(x) == str(y))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_duckdb(spark, name):
     con = duckdb.connect()
@@ -33,9 +45,11 @@ def test_query_matches_duckdb(spark, name):
     dd = con.execute(E.oracle_sql()[name]).df()
     assert sorted(sp.columns) == sorted(dd.columns)
     cols = sorted(sp.columns)
-    a = sorted(repr(tuple(_norm(r[c]) for c in cols)) for r in sp.to_dict("records"))
-    b = sorted(repr(tuple(_norm(r[c]) for c in cols)) for r in dd.to_dict("records"))
-    assert len(a) == len(b)
+    a = sorted((tuple(_norm(r[c]) for c in cols) for r in sp.to_dict("records")), key=_order)
+    b = sorted((tuple(_norm(r[c]) for c in cols) for r in dd.to_dict("records")), key=_order)
+    assert len(a) == len(b) > 0
+    for x, y in zip(a, b):
+        assert _same(x, y), (x, y)
 
 
 def test_entry_runs(spark):
