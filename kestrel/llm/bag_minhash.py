@@ -8,11 +8,14 @@ weight reaches and drops points above its weight.  Two documents share a
 component with probability equal to their weighted Jaccard similarity, and the
 points to look at are about m (ln m + 4) for a document of any length.
 
-Signatures are banded.  In every bucket, members are verified against few pivots
-by exact multiset overlap, and members already connected are not compared again;
-further rounds take as pivots what is not yet connected to the first one's class,
-until every pair of a bucket that could join two classes has been verified or is
-ruled out by the triangle inequality.
+Signatures are banded.  In every bucket, members are verified by exact multiset
+overlap against one pivot (a second one for those that are not of the first one's
+class), and members already connected are not compared again.  What is still a
+stranger to its bucket's class then meets all members of other classes there.
+Pairs that cannot be near are ruled out inside that join by a bitmap: a text's
+bitmap holds the parity of its shingle counts by residue, so the bits in which two
+bitmaps differ never outnumber the shingles in which the texts differ.  The bound
+is exact; what it leaves is verified.
 
 Defined cases: a null text is the empty text; texts without words are copies of
 each other if equal and are like nothing else; equal texts are one node, so
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +40,8 @@ from kestrel.llm.shingles import blocks, mix, shingle_hashes
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares a band with probability 1 - 3e-6
-PIVOTS = 64  # per bucket and round at most
+BITS = 1024  # of a text's bitmap
+PIVOTS = 1024  # strangers of a bucket that one task holds against the bucket's members
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,11 +58,22 @@ def bags(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[new], hashes[new], np.diff(np.concatenate([new, [len(doc)]]))
 
 
-def signatures(hashes: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
+def bitmaps(doc: np.ndarray, item: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(n, BITS / 64) words; bit r is the parity of the counts of items equal to r modulo BITS."""
+    words = BITS // 64
+    out = np.zeros(n * words, np.uint64)
+    odd = count % 2 == 1
+    bit = item[odd] % np.uint64(BITS)
+    place = doc[odd] * words + (bit // np.uint64(64)).astype(np.int64)
+    np.bitwise_xor.at(out, place, np.uint64(1) << (bit % np.uint64(64)))
+    return out.reshape(n, words)
+
+
+def signatures(hashes: np.ndarray, begin: np.ndarray, m: int, bag: tuple | None = None) -> np.ndarray:
     """(documents, m) first-arrival times as float32; infinite without shingles."""
     n = len(begin) - 1
     out = np.full((n, m), np.inf)
-    doc, item, weight = bags(hashes, begin)
+    doc, item, weight = bag or bags(hashes, begin)
     total = np.bincount(doc, weights=weight, minlength=n)
     horizon = (math.log(m) + 4) / np.maximum(total, 1)
     todo = np.flatnonzero(total > 0)
@@ -112,30 +127,49 @@ def content(text: Column) -> Column:
 
 
 def nodes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, content; nodes: node, content, keys), both written.
-    A node is a distinct text; ``keys`` is empty for a text without words."""
+    """(members: doc_id, content; nodes: node, content, keys, total, bits), both written.
+    A node is a distinct text with its number of shingles and its bitmap; ``keys`` is
+    empty for a text without words."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("content", T.StringType()),
-                           T.StructField("keys", T.ArrayType(T.LongType()))])
+                           T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("total", T.LongType()),
+                           T.StructField("bits", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list = []
+            total: list = []
+            bits: list = []
             for _, part in blocks(batch.column(1).to_pylist()):
                 h, begin = shingle_hashes(part)
-                made = band_keys(signatures(h, begin, bands * rows), bands, rows)
+                bag = bags(h, begin)
+                made = band_keys(signatures(h, begin, bands * rows, bag), bands, rows)
                 keys += [k if hi > lo else [] for k, lo, hi in zip(made, begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                total += np.diff(begin).tolist()
+                bits += list(bitmaps(*bag, len(part)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())),
+                                              pa.array(total, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=schema.names)
 
     signed = cut(docs.select("doc_id", "text", content(F.col("text")).alias("content")).mapInArrow(run, schema), "signed")
-    distinct = signed.groupBy("content").agg(F.first("keys").alias("keys"))
+    distinct = signed.groupBy("content").agg(F.first(F.struct("keys", "total", "bits")).alias("made")).select("content", "made.*")
     return signed.select("doc_id", "content"), cut(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
+def may_be_near(left: str, right: str, threshold: float) -> Column:
+    """Whether two nodes (structs with total and bits) can reach ``threshold``: similarity
+    (S - D) / (S + D), with S shingles in both and D in which they differ, asks for
+    D <= S (1 - threshold) / (1 + threshold), and bitmaps differ in D bits at most."""
+    differ = sum((F.bit_count(F.col(f"{left}.bits")[i].bitwiseXOR(F.col(f"{right}.bits")[i])) for i in range(1, BITS // 64)),
+                 F.bit_count(F.col(f"{left}.bits")[0].bitwiseXOR(F.col(f"{right}.bits")[0])))
+    most = (F.col(f"{left}.total") + F.col(f"{right}.total")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(F.col(f"{left}.total") - F.col(f"{right}.total")) <= most) & (differ <= most)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``pairs`` (a, b) with their exact similarity; ``texts`` is (node, text).
-    Work is by pair, so a pivot in many pairs is not one task's load."""
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """``pairs`` (a, b) that may be near with their exact similarity; ``texts`` is
+    (node, text, sketch).  Work is by pair, so a pivot in many pairs is not one task's load."""
+    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("sketch").alias("sketch_b")), "b")
+    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("sketch").alias("sketch_a")), "a")
+    both = both.where(may_be_near("sketch_a", "sketch_b", threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bag_a = None, None
@@ -167,60 +201,65 @@ def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
     return root.unionByName(fresh).join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _strangers(seats: DataFrame, root: DataFrame) -> DataFrame:
+    """``seats`` (bucket, node, met, home) with ``of``, the class of the node, where it
+    is not the class of the bucket's first pivot (``home``)."""
+    home = root.select(F.col("node").alias("home"), F.col("root").alias("home_of"))
+    at = seats.join(root, "node", "left").join(home, "home", "left")
+    return at.select("bucket", "node", "met", "home", F.coalesce("root", "node").alias("of"),
+                     F.coalesce("home_of", "home").alias("home_of")).where(F.col("of") != F.col("home_of"))
+
+
+def _top(seats: DataFrame) -> DataFrame:
+    """Of every bucket, the member that meets most others over all bands: the source of a group of edited copies."""
+    top = seats.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("top"))
+    return top.select("bucket", (-F.col("top.node")).alias("pivot"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows doc_id, content, class_id; links a, b, similarity between nodes)."""
     members, node = nodes(docs, bands, rows)
-    buckets = cut(node.select("node", F.explode("keys").alias("bucket")), "buckets")
+    buckets = node.select("node", F.explode("keys").alias("bucket"))
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where(F.col("size") > 1)
     sized = cut(buckets.join(size, "bucket"), "sized")
-    # the pivot is the member that meets most others over all bands: the source of a group of edited copies
+    wanted = sized.select("node").distinct().join(node.select("node", "content", F.struct("total", "bits").alias("sketch")), "node")
+    bodies = docs.select(content(F.col("text")).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = cut(bodies.join(wanted, "content").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "texts")
+
+    # every member against its bucket's pivot
     crowd = sized.where(F.col("size") > 2).select("bucket", "node", "size")
-    met = crowd.groupBy("node").agg(F.sum("size").alias("met"))
-    ranked = cut(crowd.join(met, "node"), "ranked")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("top"))
-    shared = cut(ranked.join(pivots.select("bucket", (-F.col("top.node")).alias("pivot")), "bucket").select(
-        "bucket", "node", "pivot", "met"), "shared")
+    seats = crowd.join(crowd.groupBy("node").agg(F.sum("size").alias("met")), "node")
+    seats = cut(seats.join(_top(seats), "bucket").select("bucket", "node", "met", F.col("pivot").alias("home")), "seats")
     two = sized.where((F.col("size") == 2) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
-    pairs = two.unionByName(shared.where(F.col("node") != F.col("pivot")).select(
-        F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
-    wanted = sized.select("node").distinct().join(node.select("node", "content"), "node")
-    bodies = docs.select(content(F.col("text")).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = cut(bodies.join(wanted, "content").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    pairs = two.unionByName(seats.where(F.col("node") != F.col("home")).select(*_pair("home", "node"))).distinct()
     tested = cut(verify(pairs, texts, threshold), "tested")
     root = cut(components(tested.where(F.col("similarity") >= threshold)), "roots")
-    # every member has been compared with its bucket's pivot
-    close = tested.select(F.col("a").alias("low"), F.col("b").alias("high"), "similarity")
-    ends = (F.least("pivot", "node") == F.col("low")) & (F.greatest("pivot", "node") == F.col("high"))
-    open_ = shared.join(close, ends, "left").select(
-        "bucket", "pivot", "node", "met", F.coalesce("similarity", F.lit(1.0)).alias("to_pivot"))
-    open_ = cut(open_, "open")
-    served, turns = None, 2
-    while True:
-        # strangers are members that are not of the class of their bucket's pivot
-        home = root.select(F.col("node").alias("pivot"), F.col("root").alias("home"))
-        seats = cut(open_.join(root, "node", "left").join(home, "pivot", "left").select(
-            "bucket", "pivot", "node", "met", "to_pivot", F.coalesce("root", "node").alias("root"), F.coalesce("home", "pivot").alias("home")), "seats")
-        strange = seats.where(F.col("root") != F.col("home"))
-        if served is not None:
-            strange = strange.join(served, ["bucket", "node"], "left_anti")
-        # few pivots at first: one of them mostly joins a large group, and the rest is no stranger then
-        order = Window.partitionBy("bucket").orderBy(F.desc("met"), "node")
-        chosen = cut(strange.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= turns).select(
-            "bucket", F.col("node").alias("p"), F.col("root").alias("of"), F.col("to_pivot").alias("p_to_pivot")), "pivots")
-        if chosen.isEmpty():
-            break
-        # 1 - similarity is a metric: members whose similarity to the pivot differs by more cannot be near
-        more = chosen.join(seats, "bucket").where(
-            (F.col("of") != F.col("root")) & (F.abs(F.col("to_pivot") - F.col("p_to_pivot")) <= 1 - threshold + 1e-9)).select(
-            F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        fresh = cut(verify(more.join(tested, ["a", "b"], "left_anti"), texts, threshold), "tested")
-        tested = tested.unionByName(fresh)
-        chosen = chosen.select("bucket", F.col("p").alias("node"))
-        served = chosen if served is None else served.unionByName(chosen)
-        turns = min(8 * turns, PIVOTS)
-        alive = seats.where(F.col("root") != F.col("home")).select("bucket").distinct()
-        open_ = cut(seats.join(alive, "bucket", "left_semi").select("bucket", "pivot", "node", "met", "to_pivot"), "open")
-        root = cut(_joined(root, fresh.where(F.col("similarity") >= threshold)), "roots")
+
+    # strangers to that pivot's class against one of them
+    strange = cut(_strangers(seats, root), "strange")
+    pairs = strange.join(_top(strange), "bucket").where(F.col("pivot") != F.col("node")).select(*_pair("pivot", "node")).distinct()
+    fresh = cut(verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, threshold), "tested")
+    tested = tested.unionByName(fresh)
+    root = cut(_joined(root, fresh.where(F.col("similarity") >= threshold)), "roots")
+
+    # what is still a stranger against all members of other classes that may be near, PIVOTS strangers at a time
+    strange = cut(_strangers(seats, root), "strange")
+    held = strange.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).cast("int").alias("parts"))
+    sketch = texts.select("node", "sketch")
+    chosen = strange.join(held, "bucket").join(sketch, "node").select(
+        "bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("p"), "of", F.col("sketch").alias("p_sketch"))
+    others = seats.join(held, "bucket").join(root, "node", "left").join(sketch, "node").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.coalesce("root", "node").alias("root"), "sketch")
+    pairs = chosen.join(others, ["bucket", "part"]).where((F.col("of") != F.col("root")) & may_be_near("p_sketch", "sketch", threshold))
+    pairs = cut(pairs.select(*_pair("p", "node")).distinct(), "pairs").join(tested, ["a", "b"], "left_anti")
+    fresh = cut(verify(pairs, texts, threshold), "tested")
+    tested = tested.unionByName(fresh)
+    root = cut(_joined(root, fresh.where(F.col("similarity") >= threshold)), "roots")
+
     links = tested.where(F.col("similarity") >= threshold)
     named = members.join(node.select("content", "node"), "content").join(root, "node", "left").select(
         "doc_id", "content", F.coalesce("root", "node").alias("root"))

@@ -57,11 +57,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = cut(both.join(least, "a").where(F.col("b") > F.col("a")).select(
             F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
         # small star: a node and its neighbours below go to the least of them
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))
         edges = cut(moved.unionByName(own).where(F.col("a") != F.col("b")).distinct(), "edges")

@@ -167,6 +167,45 @@ def test_large_group_of_near_copies_and_strangers(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_strangers_of_a_bucket_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bag_minhash, "PIVOTS", 3)
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for group in range(6):  # sources too far from each other, with near copies of each
+        source = list(base)
+        for k in random.sample(range(150), 7):
+            source[k] = word()
+        for _ in range(12):
+            w = list(source)
+            for k in random.sample(range(150), random.choice([1, 2])):
+                w[k] = word()
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bag_minhash.digest(d).collect()}
+    assert got == brute_classes(dict(rows))
+
+
+def test_bitmaps_never_differ_in_more_bits_than_shingles():
+    random.seed(7)
+    base = random.choices("a b c d e f g h i j".split(), k=4000)
+    texts = ["", "a", " ".join(base)]
+    for n in (1, 5, 40, 400):
+        w = list(base)
+        for k in random.sample(range(len(w)), n):
+            w[k] = random.choice("xyz")
+        texts.append(" ".join(w[: len(w) - n]))
+    h, begin = shingles.shingle_hashes([t.encode() for t in texts])
+    doc, item, count = bag_minhash.bags(h, begin)
+    bits = bag_minhash.bitmaps(doc, item, count, len(texts))
+    bag = [Counter(h[lo:hi].tolist()) for lo, hi in zip(begin[:-1], begin[1:])]
+    for i in range(len(texts)):
+        for j in range(i):
+            differ = sum((bag[i] - bag[j]).values()) + sum((bag[j] - bag[i]).values())
+            assert sum(int(x).bit_count() for x in bits[i] ^ bits[j]) <= differ
+
+
 def test_signature_agrees_with_weighted_jaccard():
     random.seed(2)
     a = " ".join(random.choices("a b c d e f g h".split(), k=3000))  # shingles of many weights
