@@ -249,12 +249,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # what is still a stranger against all members of other classes that may be near, PIVOTS strangers at a time
     strange = cut(_strangers(seats, root), "strange")
     held = strange.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).cast("int").alias("parts"))
-    sketch = texts.select("node", "sketch")
+    sketch = node.select("node", F.struct("total", "bits").alias("sketch"), "keys")
     chosen = strange.join(held, "bucket").join(sketch, "node").select(
-        "bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("p"), "of", F.col("sketch").alias("p_sketch"))
+        "bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("p"), "of", F.col("sketch").alias("p_sketch"), F.col("keys").alias("p_keys"))
     others = seats.join(held, "bucket").join(root, "node", "left").join(sketch, "node").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.coalesce("root", "node").alias("root"), "sketch")
-    pairs = chosen.join(others, ["bucket", "part"]).where((F.col("of") != F.col("root")) & may_be_near("p_sketch", "sketch", threshold))
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.coalesce("root", "node").alias("root"), "sketch", "keys")
+    # a pair comes out of the least bucket that it shares only: one end is a stranger there too, or a bucket of two has tested it
+    once = F.array_min(F.array_intersect("p_keys", "keys")) == F.col("bucket")
+    pairs = chosen.join(others, ["bucket", "part"]).where((F.col("of") != F.col("root")) & may_be_near("p_sketch", "sketch", threshold) & once)
     pairs = cut(pairs.select(*_pair("p", "node")).distinct(), "pairs").join(tested, ["a", "b"], "left_anti")
     fresh = cut(verify(pairs, texts, threshold), "tested")
     tested = tested.unionByName(fresh)
