@@ -3,7 +3,7 @@
 ``nodes(id, type, label)`` and ``edges(src, dst, relation, weight)``; an
 undirected graph stores each edge in both directions.  Traversals are
 iterative joins; lineage is cut with ``checkpoint()`` into the shared
-checkpoint folder every few rounds (never a local checkpoint).
+checkpoint folder every round (never a local checkpoint).
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from kestrel.functions import scalars
 from kestrel.session import checkpoint_dir
 
-CHECKPOINT_EVERY = 4
-
 
 def node_id(kind: str, value) -> F.Column:
     return F.concat(F.lit(kind + ":"), F.col(value).cast("string") if isinstance(value, str) else value.cast("string"))
@@ -126,36 +124,42 @@ def match_nodes(nodes: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return nodes.where(cond)
 
 
-def _ckpt(df: DataFrame, i: int) -> DataFrame:
-    if (i + 1) % CHECKPOINT_EVERY == 0:
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` after a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30,
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_iterations: int = 100,
              weighted: bool = True) -> DataFrame:
-    """M8: weighted PageRank (networkx semantics on the given directed edge
-    list): rank mass of dangling nodes is spread uniformly; ranks sum to 1.
-    Each round is one join + aggregate; lineage is checkpointed."""
-    n = nodes.agg(F.count(F.lit(1))).scalar()
+    """M8: weighted PageRank on the given directed edge list: the mass of nodes
+    without out-edges is spread evenly, ranks sum to 1.  Rounds run until the ranks
+    change by less than ``tolerance`` a node in all; not reaching that within
+    ``max_iterations`` is an error.  A round is one join and aggregate, written,
+    and one aggregate (change and dangling mass, one row) to the driver."""
     w = F.col("weight") if weighted else F.lit(1.0)
     e = edges.select("src", "dst", w.cast("double").alias("w"))
     out_w = e.groupBy("src").agg(F.sum("w").alias("_ow"))
-    e = e.join(out_w, "src").select("src", "dst", (F.col("w") / F.col("_ow")).alias("p"))
-    checkpoint_dir(nodes.sparkSession)
-    e = e.checkpoint(eager=True)
-    has_out = out_w.select(F.col("src").alias("id"), F.lit(True).alias("_has_out"))
-    ranks = nodes.select("id").join(has_out, "id", "left").select(
-        "id", F.coalesce("_has_out", F.lit(False)).alias("_has_out"), (F.lit(1.0) / n).alias("rank"))
-    for i in range(iterations):
-        dangling = ranks.where(~F.col("_has_out")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
-        contrib = ranks.select(F.col("id").alias("src"), "rank").join(e, "src").groupBy("dst").agg(
+    e = _written(e.join(out_w, "src").groupBy("src", "dst").agg(F.sum(F.col("w") / F.col("_ow")).alias("p")))
+    ids = nodes.select("id").distinct()
+    start = ids.join(e.select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").select(
+        "id", F.coalesce("_out", F.lit(False)).alias("_out"))
+    start = _written(start)
+    n, idle = start.agg(F.count(F.lit(1)), F.count_if(~F.col("_out"))).first()
+    ranks = start.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    dangling = idle / max(n, 1)
+    for _ in range(max_iterations):
+        contrib = ranks.select(F.col("id").alias("src"), "rank").join(e, "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("p")).alias("_in"))
-        ranks = ranks.select("id", "_has_out").join(contrib.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id", "_has_out", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + dangling / n)).alias("rank"))
-        ranks = _ckpt(ranks, i)
-    return ranks.select("id", "rank")
+        base = (1 - damping + damping * dangling) / max(n, 1)
+        ranks = _written(ranks.join(contrib, "id", "left").select(
+            "id", "_out", F.col("rank").alias("_before"), (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank")))
+        change, dangling = ranks.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("_before"))), F.lit(0.0)),
+                                     F.coalesce(F.sum(F.when(~F.col("_out"), F.col("rank"))), F.lit(0.0))).first()
+        ranks = ranks.drop("_before")
+        if change < tolerance * n or n == 0:
+            return ranks.select("id", "rank")
+    raise ValueError(f"ranks still change by {change} after {max_iterations} rounds")
 
 
 def top_neighbours(edges: DataFrame, ranks: DataFrame, node: str, n: int = 10) -> DataFrame:
@@ -169,7 +173,7 @@ def bfs(edges: DataFrame, source: str, max_hops: int = 3, targets: Sequence[str]
     (id, hops, parent, path).  The parent of a node is the smallest parent id
     at its discovery hop.  With ``targets`` only those nodes are returned."""
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
+    e = _written(edges.select("src", "dst").distinct())
     visited = spark.createDataFrame([(source, 0, None, [source])], "id string, hops int, parent string, path array<string>")
     frontier = visited
     for h in range(1, max_hops + 1):
@@ -202,25 +206,28 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_hops: int = 3)
     return reduce(DataFrame.unionByName, found)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str | None = None, max_hops: int | None = None,
-                  max_rounds: int = 10) -> DataFrame:
-    """Minimum-weight paths from ``source`` (Bellman-Ford rounds of join +
-    ``min_by``; weight default 1).  Paths longer than ``max_hops`` edges are
-    dropped *after* the search, as in the reference."""
+def shortest_path(edges: DataFrame, source: str, target: str | None = None, max_hops: int | None = None) -> DataFrame:
+    """Minimum-weight paths from ``source`` (weight default 1): rounds of a
+    join from the nodes that the last round improved, until none improves.  A
+    negative weight is an error, so rounds end.  Paths longer than ``max_hops``
+    edges are dropped *after* the search."""
     spark = edges.sparkSession
     e = edges.select("src", "dst", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"))
-    dist = spark.createDataFrame([(source, 0.0, [source])], "id string, dist double, path array<string>")
-    for i in range(max_rounds):
-        cand = dist.select(F.col("id").alias("src"), "dist", "path").join(e, "src").select(
-            F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("dst")).alias("path"))
-        allc = dist.unionByName(cand)
-        best = allc.groupBy("id").agg(F.min_by(F.struct("dist", "path"), F.struct("dist", F.size("path"), "path")).alias("b"))
-        new = best.select("id", "b.dist", "b.path").checkpoint(eager=True)
-        changed = new.join(dist, ["id", "dist"], "left_anti").limit(1).count()
-        dist = new
-        if changed == 0:
+    e = _written(e.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    if e.where(F.col("w") < 0).limit(1).count():
+        raise ValueError("shortest_path needs weights of 0 or more")
+    best = spark.createDataFrame([(source, 0.0, [source], True)], "id string, dist double, path array<string>, fresh boolean")
+    while True:
+        step = best.where("fresh").select(F.col("id").alias("src"), "dist", "path").join(e, "src").select(
+            F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"),
+            F.concat("path", F.array("dst")).alias("path"), F.lit(True).alias("fresh"))
+        known = best.withColumn("fresh", F.lit(False))
+        order = F.struct("dist", F.size("path"), "path", "fresh")  # an equal path keeps its known row
+        best = _written(known.unionByName(step).groupBy("id").agg(F.min_by(F.struct("dist", "path", "fresh"), order).alias("b"))
+                        .select("id", "b.*"))
+        if not best.where("fresh").limit(1).count():
             break
-    out = dist.withColumn("hops", F.size("path") - 1)
+    out = best.drop("fresh").withColumn("hops", F.size("path") - 1)
     if target is not None:
         out = out.where(F.col("id") == target)
     if max_hops is not None:
@@ -229,30 +236,29 @@ def shortest_path(edges: DataFrame, source: str, target: str | None = None, max_
 
 
 def importance_walk(edges: DataFrame, ranks: DataFrame, start: str, steps: int = 5) -> DataFrame:
-    """From ``start`` repeatedly move to the highest-PageRank unvisited
-    neighbour; returns (step, id, rank)."""
+    """From ``start`` move ``steps`` times to the unvisited neighbour of the
+    highest PageRank (ties: smallest id); returns (step, id, rank).  The walk is a
+    one-row frame extended by a join and an aggregate a step."""
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
-    walk = [start]
-    out = [(0, start)]
-    for s in range(1, steps + 1):
-        nb = e.where(F.col("src") == walk[-1]).select(F.col("dst").alias("id")).where(~F.col("id").isin(walk))
-        nxt = nb.join(ranks, "id").orderBy(F.desc("rank"), "id").limit(1).collect()  # one row
-        if not nxt:
-            break
-        walk.append(nxt[0]["id"])
-        out.append((s, nxt[0]["id"]))
-    return spark.createDataFrame(out, "step int, id string").join(ranks, "id", "left").orderBy("step")
-
-
-def subgraph(nodes: DataFrame, edges: DataFrame, types: Sequence[str], limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Up to ``limit`` nodes of the given types (by id) and the edges
-    among them (semi joins against the bounded node list)."""
-    keep = nodes.where(F.col("type").isin(list(types))).orderBy("id").limit(limit)
-    ids = F.broadcast(keep.select("id"))
+    e = _written(edges.select("src", "dst").distinct().join(ranks.select(F.col("id").alias("dst"), "rank"), "dst"))
+    at = spark.createDataFrame([(start, [start])], "src string, path array<string>")
+    walk = [at]
+    for _ in range(steps):
+        ways = at.join(e, "src").where(~F.array_contains("path", F.col("dst")))
+        pick = ways.groupBy("path").agg(F.min_by("dst", F.struct(-F.col("rank"), F.col("dst"))).alias("src"))
+        at = _written(pick.select("src", F.concat("path", F.array("src")).alias("path")))
+        walk.append(at)
+    rows = reduce(DataFrame.unionByName, walk).select((F.size("path") - 1).alias("step"), F.col("src").alias("id"))
+    return rows.join(ranks, "id", "left").select("step", "id", "rank").orderBy("step")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """All nodes of the given types and all edges among them."""
+    keep = nodes.where(F.col("type").isin(list(types)))
+    ids = keep.select("id").distinct()
     e = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return keep, e.orderBy("src", "dst", "relation").limit(limit)
+    return keep, e
 
 
 def correlation_graph(corr_pairs: DataFrame, threshold: float = 0.3) -> DataFrame:

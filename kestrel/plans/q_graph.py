@@ -30,6 +30,12 @@ def trade_graph(t: Tables):
     return nodes, edges
 
 
+TRADE_SQL = """trade AS (SELECT 'nation:' || c_nationkey AS src, 'nation:' || s_nationkey AS dst,
+    1e6::DOUBLE / sum(l_extendedprice * (1 - l_discount))::DOUBLE AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"""
+
+
 STAR_EDGES_SQL = f"""{SALES_SQL},
 r AS (SELECT CAST(invoice AS VARCHAR) AS inv, coalesce(customer, 'Unknown') AS cust,
   coalesce(CAST(product AS VARCHAR), 'General') AS prod, strftime(date, '%Y-%m-%d') AS day, amount FROM sales),
@@ -113,14 +119,26 @@ def m09_top_neighbours(spark, sf):
     return G.top_neighbours(und, G.pagerank(nodes, und), "nation:0", 5)
 
 
-@query("m10_bfs_paths")
+@query("m10_bfs_paths", f"""WITH {STAR_EDGES_SQL},
+u AS (SELECT DISTINCT src, dst FROM edges UNION SELECT dst, src FROM edges),
+z AS (SELECT 'customer:' || min(c_name) AS id FROM customer),
+h1 AS (SELECT dst AS id, z.id AS parent FROM u, z WHERE src = z.id AND dst <> z.id),
+h2 AS (SELECT u.dst AS id, min(h1.id) AS parent FROM h1 JOIN u ON u.src = h1.id
+  WHERE u.dst NOT IN (SELECT id FROM h1) AND u.dst NOT IN (SELECT id FROM z) GROUP BY u.dst)
+SELECT id, 0 AS hops, NULL AS parent, [id] AS path FROM z
+UNION ALL SELECT id, 1, parent, [parent, id] FROM h1
+UNION ALL SELECT h2.id, 2, h2.parent, [z.id, h2.parent, h2.id] FROM h2, z""")
 def m10_bfs_paths(spark, sf):
-    nodes, edges = _star(Tables(spark, sf))
-    first = nodes.where(F.col("type") == "customer").agg(F.min("id")).first()[0]
+    t = Tables(spark, sf)
+    _, edges = _star(t)
+    first = t.customer.agg(F.concat(F.lit("customer:"), F.min("c_name"))).first()[0]
     return G.bfs(G.undirected(edges), first, max_hops=2)
 
 
-@query("m11_simple_paths")
+@query("m11_simple_paths", f"""WITH {TRADE_SQL}
+SELECT [src, dst] AS path, 1 AS hops FROM trade WHERE src = 'nation:0' AND dst = 'nation:1'
+UNION ALL SELECT [a.src, a.dst, b.dst], 2 FROM trade a JOIN trade b ON a.dst = b.src
+  WHERE a.src = 'nation:0' AND b.dst = 'nation:1' AND a.dst <> 'nation:1'""")
 def m11_simple_paths(spark, sf):
     _, edges = trade_graph(Tables(spark, sf))
     return G.simple_paths(edges.drop("revenue"), "nation:0", "nation:1", max_hops=2)
@@ -136,10 +154,10 @@ def m12_shortest_path(spark, sf):
 def m13_importance_walk(spark, sf):
     nodes, edges = trade_graph(Tables(spark, sf))
     und = G.undirected(edges.withColumn("weight", F.col("revenue")).drop("revenue"))
-    return G.importance_walk(und, G.pagerank(nodes, und, iterations=10), "nation:0", 5)
+    return G.importance_walk(und, G.pagerank(nodes, und), "nation:0", 5)
 
 
-@query("m15_type_subgraph")
+@query("m15_type_subgraph", f"WITH {STAR_EDGES_SQL} SELECT * FROM edges WHERE relation = 'purchased'")
 def m15_type_subgraph(spark, sf):
     nodes, edges = _star(Tables(spark, sf))
     return G.subgraph(nodes, edges, ["customer", "product"])[1]
@@ -152,7 +170,11 @@ def m16_cooccurrence_graph(spark, sf):
     return G.cooccurrence_graph(cooccurrence(j, ["o_orderstatus", "o_orderpriority", "c_mktsegment"]))
 
 
-@query("m17_correlation_graph")
+@query("m17_correlation_graph", """WITH l AS (SELECT l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p, (l_extendedprice * (1 - l_discount))::DOUBLE AS amount
+  FROM lineitem), c AS (SELECT corr(q, p) AS qp, corr(q, amount) AS qa, corr(p, amount) AS pa FROM l),
+r AS (SELECT 'l_quantity' AS src, 'l_extendedprice' AS dst, qp AS r FROM c UNION ALL SELECT 'l_quantity', 'amount', qa FROM c
+  UNION ALL SELECT 'l_extendedprice', 'amount', pa FROM c)
+SELECT src, dst, 'correlated' AS relation, abs(r) AS weight FROM r WHERE abs(r) > 0.3""")
 def m17_correlation_graph(spark, sf):
-    li = Tables(spark, sf).lineitem
-    return G.correlation_graph(correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 0.1)
+    li = Tables(spark, sf).lineitem.withColumn("amount", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return G.correlation_graph(correlation_matrix(li, ["l_quantity", "l_extendedprice", "amount"]), 0.3)

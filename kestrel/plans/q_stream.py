@@ -11,21 +11,44 @@ from kestrel.session import Tables
 from kestrel.streaming import ops as S
 
 
-@query("r01_sliding_rate_batch", """SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, user_id, n, n >= 3 AS over_limit
+def _closed(spark, sf):
+    return S.closed(S.event_stream(spark, sf), Tables(spark, sf).events)
+
+
+def _plain(df):
+    """Times without a zone, as the given tables have them."""
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name
+                       for f in df.schema.fields])
+
+
+RATE_SQL = """SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, user_id, n, n >= 3 AS over_limit
 FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * k) MINUTE AS window_start, user_id, count(*) AS n
-  FROM events, range(0, 4) t(k) GROUP BY ALL)""")
+  FROM events, range(0, 4) t(k) GROUP BY ALL)"""
+
+
+@query("r01_sliding_rate_batch", RATE_SQL)
 def r01_sliding_rate_batch(spark, sf):
     return S.sliding_rate_batch(Tables(spark, sf).events, "user_id", limit=3)
 
 
-@query("r01b_sliding_rate_stream")
+@query("r01b_sliding_rate_stream", RATE_SQL)
 def r01b_sliding_rate_stream(spark, sf):
-    return S.run_available_now(S.sliding_rate(S.event_stream(spark, sf), "user_id", limit=3), "rate")
+    return _plain(S.run_available_now(S.sliding_rate(_closed(spark, sf), "user_id", limit=3), "rate"))
+
+
+@query("r01c_per_event_rate", """SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000
+  RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS events_in_window FROM events""")
+def r01c_per_event_rate(spark, sf):
+    return S.per_event_rate(Tables(spark, sf).events, "user_id")
 
 
-@query("r02_sessions_stream")
+@query("r02_sessions_stream", """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+    THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events, sum(value) AS value
+FROM s GROUP BY user_id, k""")
 def r02_sessions_stream(spark, sf):
-    return S.run_available_now(S.sessions(S.event_stream(spark, sf), "user_id"), "sessions")
+    return _plain(S.run_available_now(S.sessions(_closed(spark, sf), "user_id"), "sessions"))
 
 
 @query("r03_running_counters", "SELECT conv_id, count(*) AS message_count, max(turn) AS last_message FROM conversations GROUP BY ALL")
@@ -33,9 +56,10 @@ def r03_running_counters(spark, sf):
     return S.running_counters(Tables(spark, sf).conversations)
 
 
-@query("r04_tumbling_kpis_stream")
+@query("r04_tumbling_kpis_stream", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events,
+  sum(value) AS value FROM events GROUP BY ALL""")
 def r04_tumbling_kpis_stream(spark, sf):
-    return S.run_available_now(S.tumbling_kpis(S.event_stream(spark, sf)), "kpis")
+    return _plain(S.run_available_now(S.tumbling_kpis(_closed(spark, sf)), "kpis")).drop("approx_users")
 
 
 @query("r05_stateful_alerts_stream")
@@ -43,10 +67,10 @@ def r05_stateful_alerts_stream(spark, sf):
     return S.run_available_now(S.stateful_alerts(S.event_stream(spark, sf)), "alerts")
 
 
-@query("r06_dedupe_stream")
+@query("r06_dedupe_stream", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, event_type, min(ts) AS first_ts,
+  count(*) AS n FROM events GROUP BY ALL""")
 def r06_dedupe_stream(spark, sf):
-    ev = S.event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return S.run_available_now(S.dedupe_stream(ev, ["user_id", "event_type"]), "dedupe")
+    return _plain(S.run_available_now(S.sent_once(_closed(spark, sf), ["user_id", "event_type"]), "sent"))
 
 
 @query("r07_retention_filter", "SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
@@ -54,8 +78,9 @@ def r07_retention_filter(spark, sf):
     return S.retention_filter(Tables(spark, sf).events, "ts", 7)
 
 
-@query("r08_stream_static_enrich")
+@query("r08_stream_static_enrich", """SELECT e.*, w.weight FROM events e LEFT JOIN (VALUES ('purchase', 1.0::DOUBLE), ('click', 0.1::DOUBLE),
+  ('view', 0.05::DOUBLE), ('signup', 2.0::DOUBLE), ('error', 0.0::DOUBLE)) w(event_type, weight) ON e.event_type = w.event_type""")
 def r08_stream_static_enrich(spark, sf):
     static = spark.createDataFrame([("purchase", 1.0), ("click", 0.1), ("view", 0.05), ("signup", 2.0), ("error", 0.0)],
                                    "event_type string, weight double")
-    return S.run_available_now(S.enrich(S.event_stream(spark, sf), static, "event_type"), "enrich")
+    return _plain(S.run_available_now(S.enrich(S.event_stream(spark, sf), static, "event_type"), "enrich"))

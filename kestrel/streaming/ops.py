@@ -27,6 +27,20 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_fi
                           if isinstance(f.dataType, T.TimestampNTZType)})
 
 
+def closed(stream: DataFrame, events: DataFrame, ts: str = "ts", after: str = "30 days") -> DataFrame:
+    """``stream`` and one closing row, ``after`` beyond the latest time of the
+    static ``events`` and null elsewhere.  It moves the watermark past every
+    window of the data, so an ``availableNow`` run emits them all; the closing
+    row's own windows stay open and never come out."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, "closing")
+    end = F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {after}")
+    row = events.agg(F.max(ts).alias(ts)).select(*[
+        (end if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields])
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(row.schema).parquet(path))
+
+
 def sliding_rate(events: DataFrame, key: str, ts: str = "ts", size: str = "1 hour", slide: str = "15 minutes",
                  watermark: str = "10 minutes", limit: int = 60) -> DataFrame:
     """Events per key in sliding windows; ``over_limit`` when count >= limit."""
@@ -49,11 +63,12 @@ def running_counters(msgs: DataFrame, key: str = "conv_id", ts: str = "turn") ->
 
 
 def tumbling_kpis(events: DataFrame, ts: str = "ts", size: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Per tumbling window and event type: events, users, value."""
+    """Per tumbling window and event type: events, users (approximate: streams
+    have no exact distinct in bounded state), value."""
     g = events.withWatermark(ts, watermark).groupBy(F.window(ts, size), "event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.approx_count_distinct("user_id").alias("users"),
+        F.count(F.lit(1)).alias("events"), F.approx_count_distinct("user_id").alias("approx_users"),
         F.sum("value").alias("value"))
-    return g.select(F.col("window.start").alias("window_start"), "event_type", "events", "users", "value")
+    return g.select(F.col("window.start").alias("window_start"), "event_type", "events", "approx_users", "value")
 
 
 ALERT_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
@@ -94,9 +109,13 @@ def stateful_alerts(events: DataFrame, z_high: float = 3.0, jump_pct: float = 50
         _alert_fn(z_high, jump_pct), ALERT_OUT, ALERT_STATE.simpleString(), "append", "NoTimeout")
 
 
-def dedupe_stream(events: DataFrame, keys: Sequence[str], ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """Sent-once tracking: duplicates of ``keys`` within the watermark dropped."""
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
+def sent_once(events: DataFrame, keys: Sequence[str], ts: str = "ts", size: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """One row per ``keys`` and window: the time of the first event, which is
+    sent, and the number of events, of which the others are held back.  State of
+    a window goes once the watermark has passed it."""
+    g = events.withWatermark(ts, watermark).groupBy(F.window(ts, size), *keys).agg(
+        F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("window.start").alias("window_start"), *keys, "first_ts", "n")
 
 
 def retention_filter(df: DataFrame, ts: str, days: int = 30, reference=None) -> DataFrame:
@@ -107,8 +126,8 @@ def retention_filter(df: DataFrame, ts: str, days: int = 30, reference=None) ->
 
 
 def enrich(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
-    """Stream-static join against a small fixed table (broadcast)."""
-    return stream.join(F.broadcast(static), key, "left")
+    """Stream-static left join; Spark broadcasts ``static`` if its size allows."""
+    return stream.join(static, key, "left")
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
