@@ -7,8 +7,8 @@ anywhere else.  Which strings repeat is read off sorted suffixes:
    least hash is its anchor, so equal windows have equal anchors at equal places.
    Anchors whose hash comes at one place only cannot be part of a repeat.
 2. For every other anchor, the stretch of text whose windows it anchors goes to
-   the anchor's bucket.  Equal stretches are kept twice with the number of places
-   (two are as good as all), so common passages shrink before any sort.
+   the anchor's bucket.  Equal stretches are kept once with the number of places
+   (at two or more all their windows repeat), so common passages shrink before any sort.
 3. Tasks sort the suffixes of their buckets in two stages: suffixes smaller than
    their successors are sorted directly, the rest are induced by scanning the
    buckets of first bytes, and common prefixes of neighbours follow.  A window
@@ -218,13 +218,11 @@ def _sorted_buckets(length: int, block: int):
     """mapInArrow body over rows (route, sid, n, body) sorted by route."""
 
     def work(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        strings = [body for _, n, body in rows for _ in range(2 if n > 1 else 1)]
-        flags = iter(repeated_windows(strings, length))
+        # a stretch at several places stands once in the sort: all its windows repeat, others find theirs in it
         sids, runs = [], []
-        for sid, n, _ in rows:
-            found = next(flags)
+        for (sid, n, _), found in zip(rows, repeated_windows([body for _, _, body in rows], length)):
             if n > 1:
-                next(flags)
+                found[:] = True
             if found.any():
                 sids.append(sid)
                 runs.append(_runs(found))
@@ -239,7 +237,7 @@ def _sorted_buckets(length: int, block: int):
                     rows, size = [], 0
                 last = route
                 rows.append((sid, n, body))
-                size += len(body) * (2 if n > 1 else 1)
+                size += len(body)
         if rows:
             yield work(rows)
 
