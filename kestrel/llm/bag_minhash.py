@@ -19,9 +19,9 @@ is exact; what it leaves is verified.
 
 Defined cases: a null text is the empty text; texts without words are copies of
 each other if equal and are like nothing else; equal texts are one node, so
-groups of copies of any size cost one row each; ids may repeat, a class id is
-the smallest id in the class (null if it has none); an empty table gives an
-empty result; other columns are not read.
+groups of copies of any size cost one row each; ids may repeat or be null, a class
+id is the smallest id in the class (null if it has none), and classes with the same
+id stay apart; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -221,7 +221,9 @@ def _top(seats: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows doc_id, content, class_id; links a, b, similarity between nodes)."""
+    """(rows doc_id, content, class_id, class_content; links a, b, similarity between
+    nodes).  A class is a component of the links; ``class_id`` and ``class_content`` are
+    the id and MD5 of the row that stands for it: smallest id, nulls last, then MD5."""
     members, node = nodes(docs, bands, rows)
     buckets = node.select("node", F.explode("keys").alias("bucket"))
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where(F.col("size") > 1)
@@ -266,25 +268,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     named = members.join(node.select("content", "node"), "content").join(root, "node", "left").select(
         "doc_id", "content", F.coalesce("root", "node").alias("root"))
     named = cut(named, "named")
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return named.join(cut(ids, "ids"), "root").select("doc_id", "content", "class_id"), links
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("stay")
+    stay = named.groupBy("root").agg(least).select("root", F.col("stay.doc_id").alias("class_id"), F.col("stay.content").alias("class_content"))
+    return named.join(cut(stay, "stay"), "root").select("doc_id", "content", "class_id", "class_content"), links
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its class (the smallest id in it) and whether it stays."""
+    """One row per document: its class (the smallest id in it, and the MD5 of the text
+    that stays, which no other class has) and whether it stays."""
     rows, _ = classes(docs)
     first = rows.groupBy("content").agg(F.min("doc_id").alias("copy_of"))
-    return rows.join(cut(first, "copies"), "content").select(
-        "doc_id", "class_id", "copy_of", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("content") == F.col("class_content"))
+    return rows.join(cut(first, "copies"), "content").select("doc_id", "class_id", "class_content", "copy_of", stays.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of every class; of rows with equal id and
-    text one stays, and a class without any id keeps one of each text."""
+    """One row of every class: the one with the smallest id, of rows with that id
+    the one with the smallest MD5; a class without any id goes by the MD5 alone."""
     rows, _ = classes(docs)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = first.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("content")).alias("apart")).agg(F.min("content").alias("content"))
-    stay = cut(stay.select(_who(F.col("class_id"), F.col("content")).alias("_who")), "stay")
+    stay = cut(rows.select(_who(F.col("class_id"), F.col("class_content")).alias("_who")).distinct(), "stay")
     named = boxed(docs).select(_who(F.col("_row.doc_id"), content(F.col("_row.text"))).alias("_who"), "_row")
     return unboxed(named.join(stay, "_who", "left_semi").groupBy("_who").agg(F.first("_row").alias("_row")))
 

@@ -225,6 +225,18 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "7", "None"]
 
 
+def test_near_duplicates_without_an_id_or_with_one_id_on_two_texts(spark):
+    near = [f"word{i}" for i in range(60)]
+    other, third = ([f"{x}{i}" for i in range(40)] for x in ("other", "third"))
+    rows = [(None, " ".join(near)), (None, " ".join(near[:-1])), (None, " ".join(other)),  # two near copies and a stranger
+            (7, " ".join(third)), (7, "a text that is unlike all of the others"), (9, " ".join(third[:-1]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in bag_minhash.keep_one(d).collect()}
+    assert len(kept) == 4 and {rows[2], rows[3], rows[4]} < kept and len(kept & {rows[0], rows[1]}) == 1
+    got = bag_minhash.digest(d).collect()
+    assert len(got) == 6 and sum(r.kept for r in got) == 4 == len({r.class_content for r in got})
+
+
 # ---- 4 mixing ------------------------------------------------------------------------------------
 
 def test_mix_targets_and_copies(spark):
