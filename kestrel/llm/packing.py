@@ -55,24 +55,25 @@ def encoder(tokenizer: str = TOKENIZER):
     """text -> little-endian uint32 ids, as ``tokenizers`` gives for the file.
 
     The file's vocabulary runs in tiktoken, several times as fast with the same
-    ids (tested against tokenizers); special strings are ordinary text."""
+    ids (tested against tokenizers).  A text that holds the content of one of the
+    file's added tokens goes to tokenizers, which gives that token's id."""
     if tokenizer not in _READY:
         import tiktoken
         from tokenizers import Tokenizer
 
         place = _place(tokenizer)
         with open(place, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            made = json.load(f)
+        model, added = made["model"], [t["content"] for t in made.get("added_tokens", [])]
         byte = _byte_of_char()
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         slow = Tokenizer.from_file(place)
-        slow.encode_special_tokens = True
         odd = re.compile(r"\s{2000}|\S{2000}")  # long runs: slow or too deep for the fast one
 
         def encode(text: str) -> np.ndarray:
-            if len(text) >= LONG_TEXT or (len(text) >= 2000 and odd.search(text)):
+            if len(text) >= LONG_TEXT or any(t in text for t in added) or (len(text) >= 2000 and odd.search(text)):
                 return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
             return np.array(fast.encode_ordinary(text), dtype="<u4")
 

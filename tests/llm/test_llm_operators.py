@@ -449,6 +449,16 @@ def test_ids_equal_the_tokenizer(texts):
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens_equal_the_unmodified_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    slow = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    fast = packing.encoder()
+    assert fast("end <|endoftext|> next").tolist() == [437, 220, 50256, 1306]
+    for t in ["<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b", "<|endoftext| >", "<|endoftext|>" + "x" * 3000, "日本語<|endoftext|>🙂"]:
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
 def check_packed(rows, cap):
     by = defaultdict(list)
     for r in rows:
