@@ -34,12 +34,21 @@ class Rule:
     version: int = 1
 
 
+# a private key whole: from its header to its END line where single hyphens at most stand between
+# (as in Proc-Type); without an END line, the base64 that follows, up to its last run of 16 characters
+# and a shorter last line; a header that no key follows is taken alone.  Patterns are for Java and RE2.
+PEM_HEAD, PEM_GAP = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"[ \t\r\n\\\"']"
+PEM = (PEM_HEAD + r"(?:[^-]*(?:-[^-]+){0,300}-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
+       r"|(?:[\r\n]+-[A-Za-z0-9+/=]+){1,300}"  # lines taken out in a diff
+       r"|(?:[ \t\r\n]+[A-Z][A-Za-z-]{0,40}: [^\r\n]*){0,9}" + PEM_GAP + r"[A-Za-z0-9+/= \t\r\n\\\"'#>*|,]*[A-Za-z0-9+/=]{16}"
+       r"(?:(?:[ \t\r\n]|\\[nr])+[A-Za-z0-9+/=]{1,15}(?:[ \t]*[\r\n\\\"']|[ \t]*\z))?)?")
+
 # fixed values: the kinds and patterns of the contract, in its order, then added ones
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # a run of 32 or more is what [0-9a-f]+ takes whole
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    Rule("pem", PEM, 0, 1, version=2),
 )
 BASE_KINDS = ("assign", "access", "hex")
 

@@ -94,6 +94,27 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert [r.text for r in got] == ['[assign]" und [access]'] * 2 and got[0]._row == "mine-_row"
 
 
+def test_a_private_key_goes_whole(spark):
+    random.seed(9)
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = ["".join(random.choices("ABCdefXYZ0189+/", k=64)) for _ in range(25)] + ["Qw8x/w=="]
+    key, cut_off = "\n".join([head, *body, end]), "\n".join([head, *body])
+    texts = {f"before\n{key}\nafter": "before\n[pem]\nafter", f"k {key.replace(chr(10), chr(92) + 'n')} v": "k [pem] v",
+             f"{key}\nsome prose\n{key}": "[pem]\nsome prose\n[pem]", f"{cut_off}\nprose, kept": "[pem]prose, kept",
+             "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,AB", "", *body, end]): "[pem]", cut_off: "[pem]",
+             "\n".join("# " + x for x in [head, *body[:-1]]) + "\nprose, kept": "# [pem]\nprose, kept",
+             "\n".join("-" + x for x in [head, *body]) + "\nprose": "-[pem]\nprose",
+             f"keys begin with {head} and end so": "keys begin with [pem] and end so",
+             f"{head} " + "well-known words " * 20_000: "[pem] " + "well-known words " * 20_000}
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.text for r in secret_ledger.redact(d).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    want = dict(con.execute(f"SELECT doc_id, spans FROM ({ORACLE['op1_secret_ledger']})").fetchall())
+    assert {r.doc_id: r.spans for r in secret_ledger.digest(d).collect()} == want
+
+
 # ---- 2 language ----------------------------------------------------------------------------------
 
 def test_language_held_out(docs):
