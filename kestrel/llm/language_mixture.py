@@ -3,7 +3,9 @@
 Each language has a distribution over hashed letter trigrams of its words.  A
 document is a mixture: every word is drawn from one of the languages, and
 expectation-maximisation estimates the proportions.  The language set is the one
-with the best penalised likelihood; the predicted language is its largest part.
+with the best penalised likelihood, of sets of any size that take the languages by
+their share and whose last one has a word's worth; the predicted language is its
+largest part.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0, so
 is every text when there is nothing to learn from; repeated rows get equal
@@ -28,7 +30,6 @@ BITS = 14  # hashed trigrams
 SMOOTH = 0.5
 BLOCK = 500_000  # characters worked on at once; a longer document is a block of its own
 ROUNDS = 10
-MOST_PARTS = 3  # languages in one document's set
 MAX_LANGUAGES = 1000  # distinct values of ``lang``; more is an error, not a cut
 
 
@@ -140,7 +141,7 @@ def infer(part: list[str], model: np.ndarray, penalty: float = 1.0) -> tuple[np.
     chosen[np.arange(len(which)), top] = 1
     full, _ = _mixture(like, of, starts, n, np.full((len(which), k), 1 / k))
     rank = np.argsort(-full, axis=1, kind="stable")
-    for size in range(2, min(MOST_PARTS, k) + 1):
+    for size in range(2, k + 1):
         rows = np.flatnonzero(full[np.arange(len(which)), rank[:, size - 1]] * n >= 1)  # at least a word's worth
         if not len(rows):
             break

@@ -140,6 +140,14 @@ def test_mixture_of_two_languages(docs):
     assert found == {"en", "de"}
 
 
+def test_mixture_of_four_languages(docs):
+    names, model = language_mixture.learn(docs)
+    by = {r.lang: r.text for r in docs.where("n_chars > 2000").dropDuplicates(["lang"]).collect()}
+    assert len(by) == 4
+    _, _, shares = language_mixture.infer([" ".join(t[:1500] for t in by.values())], model)
+    assert {names[i] for i in np.flatnonzero(shares[0] > 0.15)} == set(by)
+
+
 # ---- 3 near duplicates ---------------------------------------------------------------------------
 
 def brute_classes(texts: dict) -> dict:
