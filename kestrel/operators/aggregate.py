@@ -318,18 +318,21 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float =
         "direction", F.when(F.col("r") > 0, "positive").otherwise("negative"))
 
 
-def concentration(df: DataFrame, entity: str, value: str) -> DataFrame:
-    """CR4, CR8, HHI over the top 50 shares (in %), leader and market
-    structure (< 1500 competitive, < 2500 moderate, else concentrated)."""
+def concentration(df: DataFrame, entity: str, value: str, hhi_top: int | None = None) -> DataFrame:
+    """CR4, CR8, HHI over all shares (in %; over the ``hhi_top`` largest if
+    given), leader and market structure (< 1500 competitive, < 2500 moderate, else
+    concentrated)."""
     totals = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.sum(value).alias("_t"))
     grand = totals.agg(F.sum("_t")).scalar()
-    top = totals.orderBy(F.desc("_t"), F.asc(entity)).limit(50)
-    ranked = top.withColumn("_share", F.col("_t") / grand * 100).withColumn(
-        "_rk", F.row_number().over(Window.orderBy(F.desc("_t"), F.asc(entity))))  # <= 50 rows
+    shares = totals.withColumn("_share", F.col("_t") / grand * 100)
+    order = [F.desc("_t"), F.asc(entity)]
+    counted = shares if hhi_top is None else shares.orderBy(*order).limit(hhi_top)
+    hhi = counted.agg(F.sum(F.col("_share") * F.col("_share"))).scalar()
+    ranked = shares.orderBy(*order).limit(8).withColumn("_rk", F.row_number().over(Window.orderBy(*order)))  # <= 8 rows
     out = ranked.agg(
         F.sum(F.when(F.col("_rk") <= 4, F.col("_share")).otherwise(0.0)).alias("cr4"),
         F.sum(F.when(F.col("_rk") <= 8, F.col("_share")).otherwise(0.0)).alias("cr8"),
-        F.sum(F.col("_share") * F.col("_share")).alias("hhi"),
+        hhi.alias("hhi"),
         F.max_by(F.col(entity).cast("string"), -F.col("_rk")).alias("leader"),
         F.max_by(F.col("_share"), -F.col("_rk")).alias("leader_share"))
     return out.withColumn("structure", F.when(F.col("hhi") < 1500, "competitive")

@@ -70,9 +70,10 @@ def root_cause_periods(df: DataFrame, date: str, value: str, threshold_pct: floa
 
 
 def root_cause_segments(df: DataFrame, value: str, categoricals: Sequence[str], min_count: int = 5,
-                        threshold: float = 0.2, top: int = 10) -> DataFrame:
+                        threshold: float = 0.2, top: int | None = 10) -> DataFrame:
     """K4: for every value of each categorical column, (mean - overall) /
-    overall; kept when |.| > 20 % and count >= 5; confidence min(0.8, n/50)."""
+    overall; kept when |.| > 20 % and count >= 5; confidence min(0.8, n/50).
+    The ``top`` largest, all for None."""
     overall = df.agg(F.avg(value)).scalar()
     long = df.select(F.col(value).cast("double").alias("x"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in categoricals])).alias("d")
@@ -82,7 +83,7 @@ def root_cause_segments(df: DataFrame, value: str, categoricals: Sequence[str],
     g = g.where((F.abs("impact") > threshold) & (F.col("n") >= min_count))
     out = g.select(F.lit("segment").alias("kind"), F.concat_ws("=", "column", "category").alias("factor"), "impact",
                    F.least(F.lit(0.8), F.col("n") / 50.0).alias("confidence"))
-    return out.orderBy(F.desc(F.abs("impact")), "factor").limit(top)
+    return out if top is None else out.orderBy(F.desc(F.abs("impact")), "factor").limit(top)
 
 
 def root_cause(parts: Sequence[DataFrame], keep: int = 5) -> DataFrame:

@@ -153,9 +153,9 @@ def metric_dimension_ranking(df: DataFrame, max_dim_ratio: float = 0.5) -> DataF
 
 
 def cooccurrence(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
-    """For each pair of (at most 4) categorical columns the ``top``
+    """For each pair of the categorical columns the ``top``
     most frequent value pairs."""
-    cols = list(columns)[:4]
+    cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     long = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                                                   F.col(a).cast("string").alias("value_a"),

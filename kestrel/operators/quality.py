@@ -300,7 +300,7 @@ def issue_report(df: DataFrame, target: str | None = None) -> DataFrame:
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = [F.count(F.lit(1)).alias("__n"), F.count_distinct(F.struct(*df.columns)).alias("__dr")]
     for i, c in enumerate(n_cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"m{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"m{i}"), F.count_distinct(c).alias(f"d{i}")]
     for i, c in enumerate(strs):
         aggs.append(F.avg(F.when(F.col(c).isNotNull(), scalars.clean_numeric(F.col(c)).isNotNull().cast("double")))
                     .alias(f"s{i}"))

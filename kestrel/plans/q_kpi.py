@@ -67,7 +67,7 @@ def k05_root_cause_merged(spark, sf):
     s = sales(t)
     parts = [kpi.root_cause_drivers(s, "amount", ["quantity"], 0.3),
              kpi.root_cause_periods(t.orders, "o_orderdate", "o_totalprice"),
-             kpi.root_cause_segments(s, "amount", ["segment", "priority"], threshold=0.01)]
+             kpi.root_cause_segments(s, "amount", ["segment", "priority"], threshold=0.01, top=None)]
     return kpi.root_cause(parts)
 
 

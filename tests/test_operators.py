@@ -68,3 +68,33 @@ def test_markdown_tables():
     md = "intro\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n"
     cells = X.markdown_tables_doc(md)
     assert {(c["row_index"], c["column"], c["value"]) for c in cells} == {(0, "a", "1"), (0, "b", "2"), (1, "a", "3"), (1, "b", "4")}
+
+
+def test_concentration_counts_every_entity(spark):
+    from kestrel.operators.aggregate import concentration
+    df = spark.createDataFrame([(f"c{i:03d}", float(1 + i % 7)) for i in range(200)], "c string, v double")
+    total = sum(1 + i % 7 for i in range(200))
+    shares = sorted(((1 + i % 7) / total * 100 for i in range(200)), reverse=True)
+    got = concentration(df, "c", "v").first()
+    assert math.isclose(got["hhi"], sum(x * x for x in shares)) and math.isclose(got["cr8"], sum(shares[:8]))
+    assert got["leader"] == "c006" and math.isclose(got["leader_share"], shares[0])
+    assert math.isclose(concentration(df, "c", "v", hhi_top=50).first()["hhi"], sum(x * x for x in shares[:50]))
+
+
+def test_cooccurrence_takes_every_column(spark):
+    from kestrel.operators.profile import cooccurrence
+    df = spark.createDataFrame([tuple("abcde")] * 3, "v string, w string, x string, y string, z string")
+    assert cooccurrence(df, list("vwxyz")).count() == 10
+
+
+def test_segments_are_all_there_for_a_merge(spark):
+    from kestrel.operators.kpi import root_cause_segments
+    df = spark.createDataFrame([(f"s{i % 20}", float(i % 20)) for i in range(200)], "s string, v double")
+    assert root_cause_segments(df, "v", ["s"], threshold=0.01, top=None).count() == 20
+
+
+def test_issue_report_counts_distinct_values_exactly(spark):
+    from kestrel.operators.quality import issue_report
+    df = spark.range(5000).select(F.concat(F.lit("v"), (F.col("id") % 4760).cast("string")).alias("s"))
+    got = {r["issue"]: r["value"] for r in issue_report(df).where("column = 's'").collect()}
+    assert got["high_cardinality"] == 4760 and math.isclose(got["id_like"], 95.2)
