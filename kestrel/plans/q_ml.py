@@ -13,12 +13,16 @@ from kestrel.session import Tables
 FEATS = ["n_chars", "words", "digit_ratio", "upper_ratio", "sentences"]
 
 
-def labelled_docs(t: Tables):
-    """documents with labels and numeric text features; quality is the label."""
+def docs_with_features(t: Tables):
+    """All documents with numeric text features."""
     st = text_statistics("text")
     d = t.documents.select("doc_id", "source", "n_chars", *[st[k].cast("double").alias(k) for k in FEATS if k != "n_chars"])
-    d = d.withColumn("n_chars", F.col("n_chars").cast("double"))
-    return d.join(t.labels, "doc_id").withColumnRenamed("quality", "label").withColumn("label", F.col("label").cast("double"))
+    return d.withColumn("n_chars", F.col("n_chars").cast("double"))
+
+
+def labelled_docs(t: Tables):
+    """documents with labels and numeric text features; quality is the label."""
+    return docs_with_features(t).join(t.labels, "doc_id").withColumnRenamed("quality", "label").withColumn("label", F.col("label").cast("double"))
 
 
 PRED_SQL = """p AS (SELECT l.doc_id, quality AS label, 1 - toxic AS prediction, (d.n_chars % 100) / 100.0 AS score
@@ -140,7 +144,7 @@ def p21_clustering(spark, sf):
 @query("p22_choose_k")
 def p22_choose_k(spark, sf):
     c = Tables(spark, sf).customer.select("c_acctbal", "c_nationkey")
-    return ml.kmeans_choose_k(c, ["c_acctbal", "c_nationkey"], range(2, 6))
+    return ml.kmeans_choose_k(c, ["c_acctbal", "c_nationkey"], range(2, 11))
 
 
 @query("p23_segment_profile")
@@ -153,7 +157,7 @@ def p23_segment_profile(spark, sf):
 def p24_batch_scoring(spark, sf):
     d = ml.split(labelled_docs(Tables(spark, sf)), ["doc_id"], label="label")
     model = ml.leaderboard(d, FEATS, "label", "classification", ["logistic"])[1]["logistic"]
-    return ml.to_score(model.transform(labelled_docs(Tables(spark, sf)))).select("doc_id", "prediction", "score")
+    return ml.to_score(model.transform(docs_with_features(Tables(spark, sf)))).select("doc_id", "prediction", "score")
 
 
 @query("p25_sensitivity_grid")

@@ -62,6 +62,12 @@ def r04_tumbling_kpis_stream(spark, sf):
     return _plain(S.run_available_now(S.tumbling_kpis(_closed(spark, sf)), "kpis")).drop("approx_users")
 
 
+@query("r04b_tumbling_users_stream", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events,
+  count(DISTINCT user_id) AS users, sum(value) AS value FROM events GROUP BY ALL""")
+def r04b_tumbling_users_stream(spark, sf):
+    return _plain(S.kpis_of_users(S.run_available_now(S.user_kpis(_closed(spark, sf)), "user-kpis")))
+
+
 @query("r05_stateful_alerts_stream")
 def r05_stateful_alerts_stream(spark, sf):
     return S.run_available_now(S.stateful_alerts(S.event_stream(spark, sf)), "alerts")

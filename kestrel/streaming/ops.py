@@ -71,6 +71,19 @@ def tumbling_kpis(events: DataFrame, ts: str = "ts", size: str = "1 day", waterm
     return g.select(F.col("window.start").alias("window_start"), "event_type", "events", "approx_users", "value")
 
 
+def user_kpis(events: DataFrame, ts: str = "ts", size: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """R4, first step: one state row per tumbling window, event type and user."""
+    g = events.withWatermark(ts, watermark).groupBy(F.window(ts, size), "event_type", "user_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+    return g.select(F.col("window.start").alias("window_start"), "event_type", "user_id", "events", "value")
+
+
+def kpis_of_users(rows: DataFrame) -> DataFrame:
+    """R4, second step over the sink of ``user_kpis``: exact users per window and event type."""
+    return rows.groupBy("window_start", "event_type").agg(
+        F.sum("events").alias("events"), F.count("user_id").alias("users"), F.sum("value").alias("value"))
+
+
 ALERT_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()),
                             T.StructField("m2", T.DoubleType()), T.StructField("last", T.DoubleType())])
 ALERT_OUT = "user_id long, ts timestamp, value double, prev double, z double, alert string"

@@ -98,3 +98,17 @@ def test_issue_report_counts_distinct_values_exactly(spark):
     df = spark.range(5000).select(F.concat(F.lit("v"), (F.col("id") % 4760).cast("string")).alias("s"))
     got = {r["issue"]: r["value"] for r in issue_report(df).where("column = 's'").collect()}
     assert got["high_cardinality"] == 4760 and math.isclose(got["id_like"], 95.2)
+
+
+def test_queries_take_all_rows(spark):
+    import __spark_entry__ as E
+    q, docs = E.queries(), spark.read.parquet(f"{SF}/documents.parquet")
+    assert q["p24_batch_scoring"](spark, SF).count() == docs.count() > spark.read.parquet(f"{SF}/labels.parquet").count()
+    assert [r["k"] for r in q["p22_choose_k"](spark, SF).orderBy("k").collect()] == list(range(2, 11))
+    longest = {r["doc_id"] for r in docs.orderBy(F.desc("n_chars"), "doc_id").limit(10).collect()}
+    assert longest <= {r["doc_id"] for r in q["o10_hybrid_keyword"](spark, SF).collect()}
+    users = q["r04b_tumbling_users_stream"](spark, SF)
+    want = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.to_date("ts").alias("d"), "event_type").agg(
+        F.count_distinct("user_id").alias("users"))
+    assert {(r["d"], r["event_type"], r["users"]) for r in want.collect()} == \
+        {(r["window_start"].date(), r["event_type"], r["users"]) for r in users.collect()}
