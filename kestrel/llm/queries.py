@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their DuckDB twins.
 
-op2, op3, op5, op7, op9, op10 and the pipeline have no twin: SQL cannot express
+op2, op3, op5, op7, op9, op10, op12, op13 and the pipeline have no twin: SQL cannot express
 them, or not on whole tables in reasonable time.  Their tests compare them with
 brute force, exact round trips or held-out labels.
 """
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import (bag_minhash, bottom_k, hyperplanes, language_mixture, mixing, packing, reply_trees,
+from kestrel.llm import (bag_minhash, bottom_k, filter_audit, hyperplanes, language_mixture, mixing, packing, reply_trees,
                          rule_ensemble, secret_ledger, suffix_dedup)
 from kestrel.llm.common import table
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperplane_dedup": lambda s, d: hyperplanes.digest(table(s, d, "embeddings")),
     "op9_bottom_k": lambda s, d: bottom_k.digest(table(s, d, "documents")),
     "op10_bin_completion": lambda s, d: packing.digest(table(s, d, "documents")),
+    "op11_filter_audit": lambda s, d: filter_audit.digest(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 
@@ -85,4 +86,26 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
 m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
 FROM embeddings e JOIN m ON m.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op11_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS way FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT way, step.i AS step, way[step.i] AS own, way[1:step.i - 1] AS before FROM o, x step),
+r AS (SELECT part, way, step, own, c.n, c.good, c.toxic, fails[own] AS hit,
+    len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS many FROM s, c),
+a AS (SELECT part, way, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (hit AND many = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM r GROUP BY part, way, step, own)
+SELECT part, array_to_string(list_transform(way, lambda i: chr((64 + i)::INT)), '') AS filter_order, step::INT AS step, kept, removed,
+  redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a""",
 }

@@ -55,7 +55,7 @@ def odd(spark, rows=ODD):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLE[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
