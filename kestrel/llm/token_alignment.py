@@ -49,7 +49,7 @@ from kestrel.llm.common import cut, shuffle_partitions
 from kestrel.llm.packing import _byte_of_char, _place
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK = 16_000_000  # characters of text after which a chunk is written
+CHUNK = 5_000_000  # characters of text after which a chunk is written: some 200 MB while it is sorted
 FRAME = 4096  # pairs in a frame of a run
 BLOCK = 4096  # units encoded in one call
 DIGITS = 4096  # most runs of a chunk
