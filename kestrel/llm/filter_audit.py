@@ -14,8 +14,9 @@ filters before it.
 
 Documents are reduced to counts per (part, set of failed filters) by a partial
 aggregate; beyond that no step depends on the number of documents.  Copies are
-found by the SHA-256 of the text: one row per text that comes more than once,
-joined back to the documents (AQE splits a text that a third of the rows share).
+found by the SHA-256 of the text: its least doc_id, from a partial aggregate, meets
+the documents by (text, doc_id); what finds no partner is a copy.  So no task gets
+all copies of a text that a third of the rows share.
 
 Defined cases: a null text is the empty text, a null part the empty string; an empty
 text has no words and fails A only.  A null doc_id counts as larger than all others
@@ -61,11 +62,11 @@ def measured(docs: DataFrame, part: str = "lang") -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("body"))
     rows = cut(body.select("doc_id", "part", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("same"),
                            as_mask(failures(F.col("body"))).alias("mask")), "failures")
-    # one row per text that several rows share
-    firsts = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copy = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    return rows.join(firsts, "same", "left").select(
-        "doc_id", "part", (F.col("mask") + F.when(copy, 16).otherwise(0)).alias("mask"))
+    # one row per text; a row meets it by text and id, so that many copies of a text meet nowhere
+    firsts = rows.groupBy("same").agg(F.min("doc_id").alias("first")).withColumnRenamed("same", "first_same")
+    own = (F.col("same") == F.col("first_same")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    return rows.join(firsts, own, "left").select(
+        "doc_id", "part", (F.col("mask") + F.when(F.col("first_same").isNull(), 16).otherwise(0)).alias("mask"))
 
 
 def cells(masks: DataFrame, labels: DataFrame) -> DataFrame:
