@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import (bag_minhash, bottom_k, filter_audit, hyperplanes, language_mixture, mixing, packing, reply_trees,
+from kestrel.llm import (bag_minhash, bottom_k, filter_audit, hyperplanes, language_mixture, mixing, packing, personal_data, reply_trees,
                          rule_ensemble, secret_ledger, suffix_dedup, token_alignment)
 from kestrel.llm.common import table
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bottom_k": lambda s, d: bottom_k.digest(table(s, d, "documents")),
     "op10_bin_completion": lambda s, d: packing.digest(table(s, d, "documents")),
     "op11_filter_audit": lambda s, d: filter_audit.digest(table(s, d, "documents"), table(s, d, "labels")),
+    "op12_personal_data": lambda s, d: personal_data.digest(table(s, d, "documents")),
     "op13_token_alignment": lambda s, d: token_alignment.digest(table(s, d, "documents")),
 }
 
