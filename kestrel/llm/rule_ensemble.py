@@ -7,7 +7,8 @@ the rules, and the rules with a weight are compiled into one Spark column.
 Defined cases: a null text is the empty text; every statistic of an empty text
 is 0; labels that are null or of other documents are not used; with no labels
 or one class only the score is the share of label 1, or 0.5; repeated rows get
-equal scores; an empty table gives an empty result.  Columns but doc_id and text
+equal scores; an empty table gives an empty result; texts of any length are read
+whole, once.  Columns but doc_id and text
 (doc_id and quality of the labels) are not read.
 """
 
@@ -125,14 +126,20 @@ def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: in
     return Ensemble(float(fitted.intercept), tuple((r, float(w)) for r, w in zip(rules, weights) if w))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Ensemble:
-    """From the labelled documents outside the held-out fold."""
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, statistics) of every document, written once: the numbers of a row, not
+    its text, are what training and scoring read and shuffle."""
+    rows = measured(docs.select("doc_id", "text"))
+    return cut(rows.select("doc_id", *[c for c in rows.columns if c.startswith("s_")]), "measured")
+
+
+def train(numbers: DataFrame, labels: DataFrame) -> Ensemble:
+    """From the labelled documents outside the held-out fold; ``numbers`` as ``measure`` gives them."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col("quality").alias("label"))
-    texts = docs.where(fold(F.col("doc_id")) != 1).select("doc_id", "text")
-    return fit(cut(measured(texts.join(known, "doc_id")).drop("text"), "measured"))
+    return fit(cut(numbers.join(known, "doc_id"), "labelled"))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = train(docs, labels)
-    out = measured(docs.select("doc_id", "text")).withColumn("score", model.score())
+    numbers = measure(docs)
+    out = numbers.withColumn("score", train(numbers, labels).score())
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
