@@ -33,10 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _spans_sql(no: int, rule: secret_ledger.Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern, tail = rule.pattern.replace("'", "''"), (rule.tail or "").replace("'", "''")
+    more = f"length(regexp_extract(gaps[i + 1], '{tail}'))" if tail else "0"
     return f"""SELECT doc_id, {no} AS kind_no, '{rule.name}' AS kind, unnest(list_filter(list_transform(range(1, len(hits) + 1),
       lambda i: {{'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0),
-             'hit': hits[i]}}),
+             'hit': hits[i], 'more': {more}}}),
       lambda x: length(regexp_extract(x.hit, '{pattern}', {rule.group})) >= {rule.least})) AS s
     FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d)"""
 
@@ -45,7 +46,7 @@ ORACLE: dict[str, str] = {
     "op1_secret_ledger": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secret_ledger.RULES))}),
-g AS (SELECT doc_id, kind_no, kind, s.start AS b, s.start + length(s.hit) AS e FROM f),
+g AS (SELECT doc_id, kind_no, kind, s.start AS b, s.start + length(s.hit) + s.more AS e FROM f),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
         count(*) FILTER (kind = 'hex') AS n_hex,
         string_agg(concat_ws(':', kind, b::BIGINT, e::BIGINT), ',' ORDER BY b, kind_no) FILTER (kind_no < 3) AS base,

@@ -9,7 +9,8 @@ to all paths.
 Defined cases: a null text is the empty text; an empty text has no spans; a
 repeated row is another path of the same blob and gets its own result row; an
 empty table gives an empty result; other columns are never read, so extra or
-clashing names do not matter.  Positions are code points, the end exclusive.
+clashing names do not matter.  Texts of any length are read whole; no pattern
+repeats a group.  Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -25,30 +26,34 @@ from kestrel.llm.common import boxed, cut, unboxed
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is matched leftmost and non-overlapping; a match whose
-    ``group`` is shorter than ``least`` characters is dropped afterwards."""
+    ``group`` is shorter than ``least`` characters is dropped afterwards.
+    ``tail`` is matched once, at the start of the stretch between a match and the
+    next; what it takes belongs to the match."""
 
     name: str
     pattern: str
     group: int
     least: int
     version: int = 1
+    tail: str | None = None
 
 
-# a private key whole: from its header to its END line where single hyphens at most stand between
-# (as in Proc-Type); without an END line, the base64 that follows, up to its last run of 16 characters
-# and a shorter last line; a header that no key follows is taken alone.  Patterns are for Java and RE2.
-PEM_HEAD, PEM_GAP = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"[ \t\r\n\\\"']"
-PEM = (PEM_HEAD + r"(?:[^-]*(?:-[^-]+){0,300}-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
-       r"|(?:[\r\n]+-[A-Za-z0-9+/=]+){1,300}"  # lines taken out in a diff
-       r"|(?:[ \t\r\n]+[A-Z][A-Za-z-]{0,40}: [^\r\n]*){0,9}" + PEM_GAP + r"[A-Za-z0-9+/= \t\r\n\\\"'#>*|,]*[A-Za-z0-9+/=]{16}"
-       r"(?:(?:[ \t\r\n]|\\[nr])+[A-Za-z0-9+/=]{1,15}(?:[ \t]*[\r\n\\\"']|[ \t]*\z))?)?")
+# A private key whole: from its header to its END line if that comes before another header; else the lines
+# of name and value after the header up to a blank line, if any, and the base64 that follows (whatever quotes,
+# comment or diff marks stand between) up to its last run of 16 characters, and a shorter last line.  A header
+# that no key follows is taken alone.  Only single characters are repeated, never groups: Java's engine walks
+# such a repetition in a loop, however long the text, and takes one for a group on its stack.
+PEM_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PEM_TAIL = (r"^(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+            r"|(?:[ \t\r\n]+[A-Z][A-Za-z-]*: [\s\S]*?\n[ \t\r]*\n)?[ \t\r\n\\\"']?[A-Za-z0-9+/= \t\r\n\\\"'#>*|,-]*[A-Za-z0-9+/=]{16}"
+            r"(?:[ \t\r\n\\][ \t\r\n\\nr]*[A-Za-z0-9+/=]{1,15}(?:[ \t]*[\r\n\\\"']|[ \t]*\z)|[\r\n]+-[A-Za-z0-9+/=]{1,15})?)")
 
 # fixed values: the kinds and patterns of the contract, in its order, then added ones
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # a run of 32 or more is what [0-9a-f]+ takes whole
-    Rule("pem", PEM, 0, 1, version=2),
+    Rule("pem", PEM_HEAD, 0, 1, version=3, tail=PEM_TAIL),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -68,14 +73,16 @@ def rule_spans(text: Column, rule: Rule, kind_no: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
+        end = start + F.length(x["hit"])
+        stop = end + F.length(F.regexp_extract(x["next"], rule.tail, 0)) if rule.tail else end
         size = F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) if rule.group else F.length(x["hit"])
         span = F.struct(start.cast("long").alias("start"), F.lit(kind_no).alias("kind_no"),
                         stop.cast("long").alias("stop"), F.lit(rule.name).alias("rule"))
         more = F.when(F.coalesce(size >= rule.least, F.lit(False)), F.array(span)).otherwise(F.array().cast(SPAN))
-        return F.struct(stop.cast("long").alias("at"), F.concat(acc["out"], more).alias("out"))
+        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
+    parts = [gaps.alias("gap"), hits.alias("hit")] + ([F.slice(gaps, 2, F.size(gaps)).alias("next")] if rule.tail else [])
+    pairs = F.filter(F.arrays_zip(*parts), lambda x: x["hit"].isNotNull())
     walked = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")),
                          step, lambda acc: acc["out"])
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPAN))

@@ -3,7 +3,10 @@ held-out labels, and on odd tables: nulls, empty and long texts, ties, repeated
 rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +118,24 @@ def test_a_private_key_goes_whole(spark):
     assert {r.doc_id: r.spans for r in secret_ledger.digest(d).collect()} == want
 
 
+@pytest.mark.parametrize("filling", ["\n" * 10_000_000, ("A" * 64 + "\n") * 150_000, ("-" + "A" * 64 + "\n") * 150_000, "-" * 10_000_000,
+                                     "Xy-z: 1\n" * 1_200_000, " \t" * 5_000_000, "\n-" * 5_000_000, "🙂" * 3_000_000])
+def test_long_stretches_after_a_header_end(spark, filling):
+    d = spark.createDataFrame([(1, "a -----BEGIN PRIVATE KEY-----\n" + "B" * 64 + "\n" + filling + "-----BEGIN x", None, None, 0)], DOCS)
+    got = secret_ledger.redact(d).first().text
+    assert got.startswith("a [pem]") and "BBBB" not in got and "AAAA" not in got and got.endswith("-----BEGIN x")
+
+
+def test_a_key_taken_out_in_a_diff_goes_whole(spark):
+    random.seed(4)
+    body = ["".join(random.choices("ABCdefXYZ0189+/", k=64)) for _ in range(1000)]
+    text = "\n".join("-" + x for x in ["-----BEGIN RSA PRIVATE KEY-----", *body])
+    cut_short = secret_ledger.redact(spark.createDataFrame([(1, text, None, None, 0)], DOCS)).first().text
+    assert cut_short == "-[pem]"
+    ended = secret_ledger.redact(spark.createDataFrame([(1, text + "\n------END RSA PRIVATE KEY-----\nrest", None, None, 0)], DOCS)).first().text
+    assert ended == "-[pem]\nrest"
+
+
 # ---- 2 language ----------------------------------------------------------------------------------
 
 def test_language_held_out(docs):
@@ -379,6 +400,30 @@ def test_quality_odd_rows(spark):
     assert {r.score for r in one} == {0.5}
 
 
+def test_statistics_rules_and_scores_equal_brute_force(spark, docs, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    numbers = rule_ensemble.measure(docs)
+    rows = {r.doc_id: r for r in numbers.collect()}
+    for i, t in texts.items():
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x]
+        n, w, k = len(t), max(len(words), 1), max(len(lines), 1)
+        want = {"chars": math.log1p(n), "word_length": n / w, "long_words": sum(len(x) > 12 for x in words) / w,
+                "letters": sum(c.isalpha() and unicodedata.category(c)[0] == "L" for c in t) / max(n, 1),
+                "upper": sum(unicodedata.category(c) == "Lu" for c in t) / max(n, 1), "digits": sum(c in "0123456789" for c in t) / max(n, 1),
+                "symbols": sum(c in "#$%&*@^~|<>{}=_+\\[]" for c in t) / max(n, 1), "stops": sum(c in ".!?" for c in t) / w,
+                "shouts": t.count("!") / w, "new_words": len(set(words)) / w, "line_length": n / k, "new_lines": len(set(lines)) / k,
+                "ended_lines": sum(bool(re.search(r"[.!?]\s*$", x)) for x in lines) / k,
+                "markup": len(re.findall(r"</?[a-z]+|&[a-z]+;|https?://", t)) / w}
+        assert {c: rows[i][f"s_{c}"] for c in want} == pytest.approx(want, abs=1e-12), i
+    model = rule_ensemble.train(numbers, labels)
+    assert len(model.rules) > 1
+    for r in rule_ensemble.digest(docs, labels).collect():
+        x = rows[r.doc_id]
+        total = model.intercept + sum(w for rule, w in model.rules
+                                      if all(x[c] <= b if op == "<=" else x[c] > b for c, op, b in rule.conditions))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
 def test_rules_of_a_described_tree():
     text = "Tree\n  If (feature 0 <= 1.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
     got = {r.conditions for r in rule_ensemble.tree_rules(text, ["x", "y"])}
@@ -472,7 +517,6 @@ def test_ids_equal_the_tokenizer(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     slow = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    slow.encode_special_tokens = True
     fast = packing.encoder()
     for t in [*texts.values(), "a" * 30_000, " " * 9_000 + "x", "<|endoftext|> it's \t\n\n b\r\n c", "日本語 ñ 🙂" * 50]:
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
