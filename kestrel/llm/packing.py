@@ -17,9 +17,13 @@ result; extra columns are not read.
 from __future__ import annotations
 
 import json
+import math
+import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -159,70 +163,179 @@ def _dominates(a: Filling, b: Filling) -> bool:
     return put(0, a)
 
 
-def fillings(counts: dict[int, int], room: int, width: int, steps: int) -> list[Filling]:
-    """Up to ``width`` undominated sets of lengths that fit ``room``, least waste first."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: dict[Filling, int] = {}
-    budget = [steps]
-
-    def grow(at: int, chosen: Filling, left: int) -> bool:
-        """True once enough exact fillings are known or the budget is spent."""
-        budget[0] -= 1
-        if not left or not sizes or left < sizes[-1]:
-            found[chosen] = left
-            return sum(1 for w in found.values() if not w) >= width or budget[0] <= 0
-        maximal = True
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s <= left and chosen.count(s) < counts[s]:
-                maximal = False
-                if grow(i, (*chosen, s), left - s):
-                    return True
-        if maximal:
-            found[chosen] = left
-        return budget[0] <= 0
-
+def lower_bound(counts: dict[int, int], cap: int) -> int:
+    """Sequences that any packing needs: the largest of the total over ``cap``; bounds
+    that count pieces over a k-th of ``cap`` (dual feasible functions); pieces over half
+    plus what the others cannot put beside them; and the best-fit packing of the pieces
+    over a third, which is optimal as no more than two of them fit together."""
+    if not counts:
+        return 0
+    size = np.array(sorted(counts), np.int64)
+    many = np.array([counts[s] for s in size.tolist()], np.int64)
+    bounds = [int((size * many).sum()) / cap]
+    for k in range(1, 33):
+        times = (k + 1) * size
+        value = np.where(times % cap == 0, size * k, times // cap * cap)
+        bounds.append(int((value * many).sum()) / (k * cap))
+    for least in sorted({*size[2 * size <= cap].tolist(), 0}):
+        over, half = size > cap - least, (size <= cap - least) & (2 * size > cap)
+        rest = (2 * size <= cap) & (size >= least)
+        room = int((many[half] * (cap - size[half])).sum())
+        bounds.append(int(many[over].sum() + many[half].sum()) + max(0, int((size * many)[rest].sum()) - room) / cap)
+    bounds.append(sum(n for n, _ in best_fit({s: n for s, n in counts.items() if 3 * s > cap}, cap)))
+    return max(math.ceil(x - 1e-9) for x in bounds)
+
+
+def fillings(counts: dict[int, int], room: int, width: int, steps: int, spare: bool = False) -> list[Filling]:
+    """Up to ``width`` undominated sets of lengths that fit ``room``, least waste first,
+    out of at most ``steps`` sets, which begin with one for every possible largest length.
+    Of equal waste and number, sets with larger first lengths come first, or with ``spare``
+    those with larger last ones, which keeps the small pieces, as they fit in many places.
+
+    Bit r of ``reach[i]`` says that the i smallest lengths, each as often as there are
+    pieces of it, can add up to r; so the least waste is known at once, and the sets of a
+    sum are listed without a dead end."""
     if counts.get(room):
         return [(room,)]  # one item that fills the room dominates all other sets
-    grow(0, (), room)
+    sizes = sorted(s for s, n in counts.items() if n and s <= room)
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for s in sizes:
+        bits, left, lot = reach[-1], min(counts[s], room // s), 1
+        while left:
+            lot = min(lot, left)
+            bits |= (bits << (s * lot)) & mask
+            left, lot = left - lot, lot * 2
+        reach.append(bits)
+
+    def led(i: int, total: int) -> Iterator[Filling]:
+        """The sets that add up to ``total`` with sizes[i] as their largest length."""
+        s = sizes[i]
+        for n in range(min(counts[s], total // s), 0, -1):
+            if reach[i] >> (total - s * n) & 1:
+                for rest in sets(total - s * n, i):
+                    yield (s,) * n + rest
+
+    def sets(total: int, below: int) -> Iterator[Filling]:
+        """The sets of the ``below`` smallest lengths that add up to ``total``, larger lengths first."""
+        if not total:
+            yield ()
+        for i in range(min(below, bisect_right(sizes, total)) - 1, -1, -1) if total else ():
+            if not reach[i + 1] >> total & 1:
+                return
+            yield from led(i, total)
+
     best: list[Filling] = []
-    for f in sorted(found, key=lambda f: (found[f], len(f), [-x for x in f])):
-        if len(best) == width:
+    for total in range(room, 0, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        found: list[Filling] = []
+        for i in range(bisect_right(sizes, total) - 1, -1, -1):
+            if steps <= 0 or len(found) >= width and not spare or not reach[i + 1] >> total & 1:
+                break
+            for f in islice(led(i, total), 1):
+                found.append(f)
+                steps -= 1
+        if len(found) < width:
+            for f in sets(total, len(sizes)):
+                steps -= 1
+                if f not in found:
+                    found.append(f)
+                if steps <= 0:
+                    break
+        for f in sorted(found, key=lambda f: (len(f), -f[-1] if spare else [-x for x in f])):
+            if len(best) < width and not any(_dominates(b, f) for b in best):
+                best.append(f)
+        if len(best) >= width or steps <= 0:
             break
-        if not any(_dominates(b, f) for b in best):
-            best.append(f)
     return best or [()]
 
 
-def plan_bins(histogram: dict[int, int], cap: int = CAP, width: int = 3, steps: int = 400, nodes: int = 6000) -> Plan:
-    """Fewest sequences found within ``nodes`` branchings; ends at once when the
-    lower bound, total length over ``cap``, is met.  Every branching uses up one
-    length at least, so a plan has at most one entry per length and filling."""
-    start = {s: n for s, n in histogram.items() if n > 0}
-    total = sum(s * n for s, n in start.items())
-    bound = -(-total // cap)
-    best = best_fit(start, cap)
+def search(start: dict[int, int], cap: int, best: Plan, bound: int, width: int, steps: int, nodes: list[int],
+           spare: bool) -> Plan:
+    """Branch and bound from the incumbent ``best``: the largest length left is completed
+    by each of its fillings, used as often as its lengths last; a branch ends when what it
+    wastes cannot be won back.  ``nodes`` is what is left of the budget.
+    Rounds allow 0, 1, 2, 4 .. choices other than the best, in the last any number."""
     fewest = sum(n for n, _ in best)
-    stack = [(start, 0, total, None)]  # counts left, sequences used, length left, the way here
-    while stack and nodes > 0 and fewest > bound:
-        counts, used, left, way = stack.pop()
-        if not counts:
-            if used < fewest:
-                fewest, best = used, []
-                while way:
-                    best.append(way[0])
-                    way = way[1]
-            continue
-        if used + -(-left // cap) >= fewest:  # what is wasted so far cannot be won back
-            continue
-        nodes -= 1
-        largest = max(counts)
-        rest = counts | {largest: counts[largest] - 1}
-        for f in reversed(fillings(rest, cap - largest, width, steps)):
-            lengths = (largest, *f)
-            times = min(counts[s] // lengths.count(s) for s in set(lengths))
-            after = counts | {s: counts[s] - times * lengths.count(s) for s in set(lengths)}
-            stack.append(({s: n for s, n in after.items() if n}, used + times, left - times * sum(lengths), ((times, lengths), way)))
+    total = sum(s * n for s, n in start.items())
+    allowed = 0
+    while fewest > bound and nodes[0] > 0:
+        stack = [(start, 0, total, None, allowed)]  # counts left, sequences used, length left, the way here, choices left
+        cut_short = False
+        while stack and nodes[0] > 0 and fewest > bound:
+            counts, used, left, way, choices = stack.pop()
+            if not counts:
+                if used < fewest:
+                    fewest, best = used, []
+                    while way:
+                        best.append(way[0])
+                        way = way[1]
+                continue
+            if used + -(-left // cap) >= fewest:
+                continue
+            nodes[0] -= len(counts) + 200
+            largest = max(counts)
+            rest = counts | {largest: counts[largest] - 1}
+            found = fillings(rest, cap - largest, width if choices else 1, steps, spare)
+            cut_short |= not choices
+            for i, f in reversed([*enumerate(found)]):
+                lengths = (largest, *f)
+                times = min(counts[s] // lengths.count(s) for s in set(lengths))
+                after = counts | {s: counts[s] - times * lengths.count(s) for s in set(lengths)}
+                stack.append(({s: n for s, n in after.items() if n}, used + times, left - times * sum(lengths),
+                              ((times, lengths), way), choices - (i > 0)))
+        if not cut_short:
+            break
+        allowed = 2 * allowed or 1
+    return best
+
+
+def plan_bins(histogram: dict[int, int], cap: int = CAP, width: int = 3, steps: int = 400, nodes: int = 4_000_000,
+              idle: int = 80) -> Plan:
+    """Fewest sequences found with ``nodes`` units of work (a branching costs 200 and the
+    number of lengths left; a fixed budget, so that reruns agree, some seconds at most);
+    ends at once when ``lower_bound`` is met.  A quarter for each order of
+    fillings goes to searches from the whole histogram, the rest to searches
+    of parts: sequences whose waste adds up to a whole one, with others drawn by a
+    fixed seed, are packed anew in fewer, until ``idle`` tries in a row have gained nothing.
+    Every branching uses up one length at least, so a plan has at most one entry per
+    length and filling."""
+    start = {s: n for s, n in histogram.items() if n > 0}
+    bound = lower_bound(start, cap)
+    left, best = [nodes], best_fit(start, cap)
+    for spare in (False, True):
+        first = [nodes // 4]
+        best = search(start, cap, best, bound, width, steps, first, spare)
+        left[0] -= nodes // 4 - first[0]
+    draw = random.Random(7)
+    tries = 0
+    while left[0] > 0 and tries < idle and sum(n for n, _ in best) > bound:
+        tries += 1
+        left[0] -= len(best) // 4 + 200
+        wasteful = sorted(((cap - sum(f), draw.random(), i) for i, (_, f) in enumerate(best) if sum(f) < cap), reverse=True)
+        part: dict[int, int] = {}  # entry -> how many of its sequences
+        waste = 0
+        for w, _, i in wasteful:
+            part[i] = min(best[i][0], -(-(cap - waste) // w))
+            waste += part[i] * w
+            if waste >= cap:
+                break
+        mixed = sorted(range(len(best)), key=lambda i: -len(best[i][1]))[:64]  # many small pieces: they fit in many ways
+        for i in {*draw.sample(range(len(best)), min(len(best), draw.choice((2, 4, 8)))),
+                  *draw.sample(mixed, min(len(mixed), draw.choice((2, 4, 8, 16))))}:
+            part.setdefault(i, min(best[i][0], 2))
+        counts: dict[int, int] = {}
+        for i, n in part.items():
+            for s in best[i][1]:
+                counts[s] = counts.get(s, 0) + n
+        now = [(n, best[i][1]) for i, n in part.items()]
+        spent = min(left[0], 20 * (len(counts) + 200))
+        budget = [spent]
+        new = search(counts, cap, now, lower_bound(counts, cap), width, steps, budget, draw.random() < 0.5)
+        left[0] -= spent - budget[0]
+        if sum(n for n, _ in new) < sum(n for n, _ in now):
+            tries = 0
+            best = [(n - part.get(i, 0), f) for i, (n, f) in enumerate(best) if n > part.get(i, 0)] + new
     return best
 
 

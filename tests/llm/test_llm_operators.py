@@ -522,6 +522,54 @@ def test_ids_equal_the_tokenizer(texts):
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def packed(histogram, cap=packing.CAP):
+    """The number of sequences of the plan with the parameters that the query uses."""
+    plan = packing.plan_bins(histogram, cap)
+    held = Counter()
+    for times, lengths in plan:
+        assert times > 0 and sum(lengths) <= cap
+        for x in lengths:
+            held[x] += times
+    assert held == Counter(histogram) and packing.lower_bound(histogram, cap) <= sum(n for n, _ in plan)
+    return sum(n for n, _ in plan)
+
+
+def test_bin_completion_as_the_query_runs_it():
+    random.seed(3)
+    pairs = Counter(random.randint(350, 700) for _ in range(3000))
+    assert packed(pairs) == packing.lower_bound(pairs, 1024)  # pieces over a third: the bound is the optimum
+    thirds = Counter(random.randint(250, 420) for _ in range(3000))
+    assert packed(thirds) <= 990  # best fit: over 1070
+    triples = Counter()
+    for _ in range(300):
+        a = random.randint(300, 500)
+        b = random.randint(200, 1024 - a - 150)
+        triples.update([a, b, 1024 - a - b])
+    assert packing.lower_bound(triples, 1024) == 300 and packed(triples) <= 303
+    assert packed({}) == 0 and packed({1024: 7}) == 7 and packed({1: 10_000_000}) == 9766
+
+
+def test_lower_bound_is_never_above_the_optimum():
+    random.seed(8)
+    for _ in range(60):
+        items = [random.randint(1, 40) for _ in range(random.randint(1, 9))]
+        least = [len(items)]
+
+        def put(i, rooms):
+            if len(rooms) >= least[0]:
+                return
+            if i == len(items):
+                least[0] = len(rooms)
+                return
+            for k in range(len(rooms)):
+                if rooms[k] >= items[i]:
+                    put(i + 1, rooms[:k] + [rooms[k] - items[i]] + rooms[k + 1:])
+            put(i + 1, [*rooms, 40 - items[i]])
+
+        put(0, [])
+        assert packing.lower_bound(dict(Counter(items)), 40) <= least[0] == packed(dict(Counter(items)), 40)
+
+
 def test_ids_of_added_tokens_equal_the_unmodified_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
