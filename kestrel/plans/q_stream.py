@@ -56,6 +56,14 @@ def r03_running_counters(spark, sf):
     return S.running_counters(Tables(spark, sf).conversations)
 
 
+@query("r03b_running_counters_stream", "SELECT conv_id, count(*) AS message_count, max(turn) AS last_message FROM conversations GROUP BY ALL")
+def r03b_running_counters_stream(spark, sf):
+    """The counters after three micro-batches, which split the turns of a conversation."""
+    msgs = Tables(spark, sf).conversations
+    stream = S.arrivals(msgs, F.timestamp_seconds(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3600))), 3)
+    return S.latest_counters(S.run_available_now(S.counter_updates(stream), "counters"))
+
+
 @query("r04_tumbling_kpis_stream", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events,
   sum(value) AS value FROM events GROUP BY ALL""")
 def r04_tumbling_kpis_stream(spark, sf):
@@ -79,6 +87,35 @@ def r06_dedupe_stream(spark, sf):
     return _plain(S.run_available_now(S.sent_once(_closed(spark, sf), ["user_id", "event_type"]), "sent"))
 
 
+def _dealt(spark, sf):
+    """The events in four micro-batches, up to 30 minutes out of order, and the closing row."""
+    events = Tables(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.col("ts") + F.make_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(31)).cast("int"))
+    return S.arrivals(events, late, 4, "ts")
+
+
+@query("r06b_sent_once_stream", """WITH e AS (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+SELECT user_id, event_type, ts, ts + INTERVAL 6 HOUR AS held_until FROM e WHERE before IS NULL OR ts > before + INTERVAL 6 HOUR""")
+def r06b_sent_once_stream(spark, sf):
+    """Sent when the user had no event of the type in the six hours before."""
+    rows = S.run_available_now(S.once(_dealt(spark, sf), ["user_id", "event_type"], quiet="6 hours"), "sent-once")
+    return _plain(rows.where("sent").drop("sent"))
+
+
+@query("r07b_ttl_cache_stream", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events),
+m(user_id, stored) AS (SELECT user_id, min(ts) FROM e GROUP BY user_id
+  UNION ALL SELECT m.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = m.user_id AND e.ts > m.stored + INTERVAL 2 DAY)
+    FROM m WHERE m.stored IS NOT NULL),
+u AS (SELECT * FROM m WHERE stored IS NOT NULL)
+SELECT user_id, stored, stored + INTERVAL 2 DAY AS expires, (SELECT count(*) FROM events v WHERE v.user_id = u.user_id
+  AND v.ts >= u.stored AND v.ts <= u.stored + INTERVAL 2 DAY) - 1 AS hits FROM u""")
+def r07b_ttl_cache_stream(spark, sf):
+    """A cache entry per user that lives two days: when it was stored, when it expires, its hits."""
+    rows = S.run_available_now(S.once(_dealt(spark, sf), ["user_id"], quiet="2 days", refresh=False), "ttl")
+    return _plain(rows.groupBy("user_id", F.col("held_until").alias("expires")).agg(
+        F.min("ts").alias("stored"), F.count_if(~F.col("sent")).alias("hits")))
+
+
 @query("r07_retention_filter", "SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def r07_retention_filter(spark, sf):
     return S.retention_filter(Tables(spark, sf).events, "ts", 7)

@@ -34,13 +34,17 @@ def closed(stream: DataFrame, events: DataFrame, ts: str = "ts", after: str = "3
     row's own windows stay open and never come out."""
     spark = stream.sparkSession
     path = scratch_path(spark, "closing")
-    end = F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {after}")
-    row = events.agg(F.max(ts).alias(ts)).select(*[
-        (end if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields])
+    row = _closing_row(events, ts, after, stream.schema)
     row.write.parquet(path)
     return stream.unionByName(spark.readStream.schema(row.schema).parquet(path))
 
 
+def _closing_row(events: DataFrame, ts: str, after: str, schema: T.StructType | None = None) -> DataFrame:
+    end = F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {after}")
+    return events.agg(F.max(ts).alias(ts)).select(*[
+        (end if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in (schema or events.schema).fields])
+
+
 def sliding_rate(events: DataFrame, key: str, ts: str = "ts", size: str = "1 hour", slide: str = "15 minutes",
                  watermark: str = "10 minutes", limit: int = 60) -> DataFrame:
     """Events per key in sliding windows; ``over_limit`` when count >= limit."""
@@ -131,6 +135,121 @@ def sent_once(events: DataFrame, keys: Sequence[str], ts: str = "ts", size: str
     return g.select(F.col("window.start").alias("window_start"), *keys, "first_ts", "n")
 
 
+def arrivals(events: DataFrame, arrival, files: int, ts: str | None = None, after: str = "30 days") -> DataFrame:
+    """A file stream that brings the rows of a static table in ``files`` micro-batches by
+    the order of ``arrival`` (a column of times), one file each; several rows of a key
+    can thus come in different batches and out of the order of their own times.  With
+    ``ts`` a last file has a closing row, as in ``closed``."""
+    spark = events.sparkSession
+    at = events.withColumn("_arrival", F.col(arrival) if isinstance(arrival, str) else arrival)
+    low, high = at.agg(F.min(F.unix_micros(F.col("_arrival").cast("timestamp"))), F.max(F.unix_micros(F.col("_arrival").cast("timestamp")))).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // files))
+    dealt = at.withColumn("_file", F.floor((F.unix_micros(F.col("_arrival").cast("timestamp")) - F.lit(low or 0)) / F.lit(step)))
+    path = scratch_path(spark, "arrivals")
+    for i in range(files):  # one after the other: the file source takes the oldest first
+        dealt.where(F.col("_file") == i).drop("_arrival", "_file").repartition(1).write.mode("append").parquet(path)
+    if ts:
+        _closing_row(events, ts, after).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _once_fn(quiet_us: int, refresh: bool):
+    """The state of a key: when its hold ends (0: none), and the times that wait for the
+    watermark, in order.  A time is decided once the watermark has passed it, so the
+    order in which rows come does not matter."""
+    import numpy as np
+
+    def decide(until: int, times):
+        out = []
+        if refresh:  # every event holds the next: gaps decide, all at once
+            if len(times):
+                before = np.concatenate([[until], times[:-1] + quiet_us])
+                out = [(int(t), bool(t > b), int(t) + quiet_us) for t, b in zip(times, before)]
+                until = int(times[-1]) + quiet_us
+            return until, out
+        at = 0
+        while at < len(times):  # only a sent event holds; its holds are found by bisection
+            if times[at] <= until:
+                stop = int(np.searchsorted(times, until, "right"))
+                out += [(int(t), False, until) for t in times[at:stop]]
+                at = stop
+            else:
+                until = int(times[at]) + quiet_us
+                out.append((int(times[at]), True, until))
+                at += 1
+        return until, out
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state):
+        until, waiting = state.get if state.exists else (0, [])
+        times = np.array(waiting, dtype="int64")
+        mark = state.getCurrentWatermarkMs() * 1000  # what is not after it came too late
+        if not state.hasTimedOut:
+            new = np.concatenate([p["_us"].to_numpy("int64") for p in pdfs])
+            times = np.sort(np.concatenate([times, new[new > mark] if mark > 0 else new]))
+        due = int(np.searchsorted(times, mark, "right"))
+        until, out = decide(until, times[:due])
+        rest = times[due:]
+        if not len(rest) and until <= mark:
+            state.remove()  # nothing waits and nothing is held: the key's state expires
+        else:
+            state.update((until, rest.tolist()))
+            wake = int(rest[0]) if len(rest) else until
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame([(*key, *row) for row in out], columns=[*[f"k{i}" for i in range(len(key))], "us", "sent", "until"])
+    return fn
+
+
+def once(events: DataFrame, keys: Sequence[str], ts: str = "ts", quiet: str = "1 hour", watermark: str = "1 hour",
+         refresh: bool = True) -> DataFrame:
+    """Every event of a key with ``sent`` and the time until which it holds
+    later ones back.
+
+    With ``refresh`` an event is sent when none of its key came within ``quiet`` before it
+    (sent-once tracking); without, when none was *sent* within it (a cache entry with a
+    time to live: the sent event is the miss that stores it, the others are hits).  An
+    event exactly ``quiet`` later is still held.  Times are decided when the watermark
+    has passed them, so rows may come in any order within ``watermark``; later ones are
+    dropped.  A key's state goes when its hold has ended and nothing waits: the state is
+    bounded by the keys and events of the last ``quiet`` and ``watermark``.  Null times
+    have no place and are left out; null keys are a key."""
+    quiet_us = int(pd.Timedelta(quiet).total_seconds() * 1_000_000)
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    at = events.select(*keys, F.col(ts).cast("timestamp").alias("_at")).where("_at IS NOT NULL").withWatermark("_at", watermark)
+    out = T.StructType([*[T.StructField(f"k{i}", kinds[k]) for i, k in enumerate(keys)], T.StructField("us", T.LongType()),
+                        T.StructField("sent", T.BooleanType()), T.StructField("until", T.LongType())])
+    rows = at.withColumn("_us", F.unix_micros("_at")).groupBy(*keys).applyInPandasWithState(
+        _once_fn(quiet_us, refresh), out, "until long, waiting array<long>", "append", "EventTimeTimeout")
+    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.timestamp_micros("us").alias(ts), "sent",
+                       F.timestamp_micros("until").alias("held_until"))
+
+
+def _counter_fn(key, pdfs: Iterator[pd.DataFrame], state):
+    count, last = state.get if state.exists else (0, None)
+    for pdf in pdfs:
+        seen = pdf["_last"].dropna()
+        count += len(pdf)
+        if len(seen):
+            last = int(seen.max()) if last is None else max(last, int(seen.max()))
+    state.update((count, last))
+    yield pd.DataFrame({"k": [key[0]], "message_count": [count], "last_message": pd.array([last], dtype="Int64")})
+
+
+def counter_updates(msgs: DataFrame, key: str = "conv_id", ts: str = "turn") -> DataFrame:
+    """R3 in stream: after every micro-batch one row per conversation that it touched, with
+    the count and the last message so far.  The counts of a key only grow, so a sink that
+    gets a batch twice reads the same through ``latest_counters``."""
+    kind = msgs.schema[key].dataType.simpleString()
+    rows = msgs.select(key, F.col(ts).cast("long").alias("_last")).groupBy(key).applyInPandasWithState(
+        _counter_fn, f"k {kind}, message_count long, last_message long", "count long, last long", "append", "NoTimeout")
+    return rows.withColumnRenamed("k", key)
+
+
+def latest_counters(updates: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The counters as they stand: per key the update with the highest count."""
+    return updates.groupBy(key).agg(F.max("message_count").alias("message_count"),
+                                    F.max_by("last_message", "message_count").alias("last_message"))
+
+
 def retention_filter(df: DataFrame, ts: str, days: int = 30, reference=None) -> DataFrame:
     """R7 (batch form): keep rows younger than ``days`` relative to the latest
     timestamp (state TTL is the streaming form: watermark + timeout)."""
@@ -143,15 +262,19 @@ def enrich(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", progress: list | None = None) -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into a parquet
-    sink in the shared checkpoint folder; return the sink as a batch frame."""
+    sink in the shared checkpoint folder; return the sink as a batch frame.
+    ``progress`` gets, per micro-batch, its input rows and the rows in state."""
     spark = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_ckpt")
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    for p in q.recentProgress if progress is not None else ():
+        state = p["stateOperators"] or [{}]
+        progress.append({"rows": p["numInputRows"], "state": state[0].get("numRowsTotal", 0)})
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def sliding_rate_batch(events: DataFrame, key: str, ts: str = "ts", size_minutes: int = 60, slide_minutes: int = 15,
