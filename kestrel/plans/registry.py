@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that the decorators run."""
     from kestrel.plans import (  # noqa: F401
-        q_sources, q_frame, q_aggregate, q_windows, q_scalars, q_quality, q_kpi, q_graph, q_text, q_vectors, q_ml, q_charts, q_stream)
+        q_sources, q_frame, q_aggregate, q_windows, q_scalars, q_quality, q_kpi, q_graph, q_text, q_vectors, q_ml, q_models, q_charts, q_stream)
