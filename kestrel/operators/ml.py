@@ -87,7 +87,7 @@ def classifiers(label: str = "label") -> dict:
             "gbt": C.GBTClassifier(labelCol=label, maxIter=20, seed=SEED),
             "decision_tree": C.DecisionTreeClassifier(labelCol=label, seed=SEED),
             "naive_bayes": C.NaiveBayes(labelCol=label, modelType="gaussian"),
-            "mlp": None, "linear_svc": C.LinearSVC(labelCol=label, maxIter=50)}
+            "mlp": C.MultilayerPerceptronClassifier(labelCol=label, maxIter=60, seed=SEED), "linear_svc": C.LinearSVC(labelCol=label, maxIter=50)}
 
 
 def regressors(label: str = "label") -> dict:
@@ -103,32 +103,55 @@ def regressors(label: str = "label") -> dict:
             "decision_tree": R.DecisionTreeRegressor(labelCol=label, seed=SEED)}
 
 
+def classification_scores(pred: DataFrame, label: str) -> dict[str, float]:
+    """Weighted F1, accuracy, weighted precision and recall from one count per (label,
+    prediction), at most classes squared rows."""
+    cells = {(r["y"], r["p"]): r["n"] for r in pred.groupBy(F.col(label).cast("double").alias("y"), F.col("prediction").alias("p")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(cells.values())
+    out = dict.fromkeys(("f1", "accuracy", "weightedPrecision", "weightedRecall"), 0.0)
+    for c in {y for y, _ in cells}:
+        hit, own = cells.get((c, c), 0), sum(v for (y, _), v in cells.items() if y == c)
+        said = sum(v for (_, p), v in cells.items() if p == c)
+        precision, recall = hit / said if said else 0.0, hit / own
+        for k, v in (("f1", 2 * hit / (own + said)), ("accuracy", recall), ("weightedPrecision", precision), ("weightedRecall", recall)):
+            out[k] += v * own / n
+    return out
+
+
+def regression_scores(pred: DataFrame, label: str) -> dict[str, float]:
+    """R², RMSE and MAE from one aggregate."""
+    y, e = F.col(label).cast("double"), F.col(label) - F.col("prediction")
+    r = pred.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("ss"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("v")).first()
+    return {"r2": 1 - r["ss"] / (r["v"] * r["n"]) if r["v"] else 0.0, "rmse": (r["ss"] / r["n"]) ** 0.5, "mae": r["mae"]}
+
+
 def leaderboard(df: DataFrame, features: Sequence[str], label: str, task: str = "classification",
                 models: Sequence[str] | None = None, scale: str | None = "standard") -> tuple[DataFrame, dict]:
     """Fit each model on the train split, score the test split;
-    leaderboard (model, metric, value) sorted by F1 (classification) or R²."""
+    leaderboard (model, metric, value).  The preparation is fitted once and its vectors
+    are kept for all fits; a model is judged by one aggregate."""
     spark = df.sparkSession
     df = df.persist()  # many fits and evaluations read the same (derived) features
     tr, te = df.where(~F.col("is_test")), df.where(F.col("is_test"))
     fam = classifiers(label) if task == "classification" else regressors(label)
-    names = [m for m in (models or fam) if fam.get(m) is not None]
-    n_cls = df.select(label).distinct().count() if task == "classification" else 0
+    names = list(models or fam)
+    n_cls = int(tr.agg(F.max(label)).first()[0] or 0) + 1 if task == "classification" else 0
+    prepared = Pipeline(stages=assembler(features, scale)).fit(tr)
+    train, test = prepared.transform(tr).persist(), prepared.transform(te).persist()
     rows, fitted = [], {}
     for name in names:
         est = fam[name]
         if task == "classification" and name in ("gbt", "linear_svc") and n_cls > 2:
             est = C.OneVsRest(classifier=est, labelCol=label)
-        model = Pipeline(stages=assembler(features, scale) + [est]).fit(tr)
-        pred = model.transform(te).persist()
-        fitted[name] = model
-        if task == "classification":
-            for m in ("f1", "accuracy", "weightedPrecision", "weightedRecall"):
-                rows.append((name, m, float(MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(pred))))
-        else:
-            for m in ("r2", "rmse", "mae"):
-                rows.append((name, m, float(RegressionEvaluator(labelCol=label, metricName=m).evaluate(pred))))
-        pred.unpersist()
-    df.unpersist()
+        if name == "mlp":
+            est = est.setLayers([len(features), 16, 8, max(2, n_cls)])
+        model = est.fit(train)
+        fitted[name] = PipelineModel([*prepared.stages, model])
+        scores = (classification_scores if task == "classification" else regression_scores)(model.transform(test), label)
+        rows += [(name, m, float(v)) for m, v in scores.items()]
+    for d in (train, test, df):
+        d.unpersist()
     return spark.createDataFrame(rows, "model string, metric string, value double"), fitted
 
 
@@ -289,6 +312,63 @@ def sensitivity_grid(model: PipelineModel, base: DataFrame, feature: str, points
     return res
 
 
+def recursive_elimination(df: DataFrame, features: Sequence[str], label: str, k: int = 1, least_gain: float | None = None,
+                          trees: int = 20) -> DataFrame:
+    """(round, dropped, importance, f1, features left): each round fits a random
+    forest on the features left, judges it on the test split (``is_test``) and drops the
+    least important feature (ties by name), until ``k`` are left; with ``least_gain`` it
+    stops earlier, before a round whose F1 falls short of the best so far by more.  The
+    last row drops nothing."""
+    spark = df.sparkSession
+    rows, left, best = [], list(features), 0.0
+    df = df.persist()
+    while True:
+        stages = assembler(left, None) + [C.RandomForestClassifier(labelCol=label, numTrees=trees, seed=SEED)]
+        model = Pipeline(stages=stages).fit(df.where(~F.col("is_test")))
+        f1 = classification_scores(model.transform(df.where(F.col("is_test"))), label)["f1"]
+        importance, worst = min(zip(model.stages[-1].featureImportances.toArray().tolist(), left))
+        best = max(best, f1)
+        if len(left) <= k or (least_gain is not None and f1 < best - least_gain):
+            rows.append((len(rows) + 1, None, None, f1, left))
+            break
+        rows.append((len(rows) + 1, worst, importance, f1, list(left)))
+        left = [f for f in left if f != worst]
+    df.unpersist()
+    return spark.createDataFrame(rows, "round int, dropped string, importance double, f1 double, features array<string>")
+
+
+MODEL_ROW = "name string, version int, path string, features array<string>, metric string, value double"
+
+
+def save_version(spark, folder: str, name: str, model: PipelineModel, features: Sequence[str], metric: str, value: float) -> int:
+    """Save a fitted pipeline under the next free version of ``name`` in ``folder`` (a
+    path that all executors share) and append its row to the folder's table of versions;
+    the row comes last, so a version without one was never finished and is not listed.
+    Returns the version, from 1."""
+    old = versions(spark, folder).where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
+    path = f"{folder.rstrip('/')}/{name}/v{old + 1}"
+    model.write().overwrite().save(path)
+    spark.createDataFrame([(name, old + 1, path, list(features), metric, float(value))], MODEL_ROW).coalesce(1).write.mode("append").parquet(
+        f"{folder.rstrip('/')}/versions")
+    return old + 1
+
+
+def versions(spark, folder: str) -> DataFrame:
+    """The saved versions, a row each; none for a folder without any."""
+    spark.createDataFrame([], MODEL_ROW).write.mode("append").parquet(f"{folder.rstrip('/')}/versions")
+    return spark.read.schema(MODEL_ROW).parquet(f"{folder.rstrip('/')}/versions")
+
+
+def load_version(spark, folder: str, name: str, version: int | None = None) -> PipelineModel:
+    """A saved version, by default the latest."""
+    rows = versions(spark, folder).where(F.col("name") == name)
+    rows = rows.where(F.col("version") == version) if version else rows.orderBy(F.desc("version"))
+    row = rows.first()
+    if row is None:
+        raise ValueError(f"no version {version or ''} of {name} in {folder}")
+    return PipelineModel.load(row["path"])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (versioned path chosen by the caller)."""
     model.write().overwrite().save(path)

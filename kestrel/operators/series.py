@@ -208,8 +208,9 @@ def sufficiency(p: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def sma_signal(p: DataFrame, window: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Last value vs its trailing SMA: > +5 % bullish, < -5 % bearish; the
-    next value extends the SMA by its mean step, (last SMA - first SMA) / number
-    of SMA points.  A series shorter than two windows uses half its length."""
+    next five values extend the SMA by its mean step, (last SMA - first SMA) / number
+    of SMA points.  A series shorter than two windows uses half its length; an SMA
+    of 0 has deviation 0."""
     by = list(by)
     ends = p.groupBy(*by).agg(F.min("t").alias("_tmin"), F.max("t").alias("_tmax"))
     ends = ends.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(window), F.floor((F.col("_tmax") - F.col("_tmin") + 1) / 2))))
@@ -218,10 +219,12 @@ def sma_signal(p: DataFrame, window: int = 3, by: Sequence[str] = ()) -> DataFra
     g = j.groupBy(*by).agg(F.avg(F.when(tail, F.col("y"))).alias("sma"), F.avg(F.when(head, F.col("y"))).alias("_first"),
                            F.max_by("y", "t").alias("last"),
                            F.max(F.col("_tmax") - F.col("_tmin") + 2 - F.col("_w")).alias("_points"))
-    dev = (F.col("last") - F.col("sma")) / F.col("sma") * 100
+    dev = F.when(F.col("sma") == 0, 0.0).otherwise(F.try_divide(F.col("last") - F.col("sma"), F.col("sma")) * 100)
+    step = (F.col("sma") - F.col("_first")) / F.col("_points")
     return g.select(*by, "last", "sma", dev.alias("deviation_pct"),
                     F.when(dev > 5, "bullish").when(dev < -5, "bearish").otherwise("neutral").alias("signal"),
-                    (F.col("sma") + (F.col("sma") - F.col("_first")) / F.col("_points")).alias("next_value"))
+                    (F.col("sma") + step).alias("next_value"),
+                    F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("sma") + step * i).alias("next_values"))
 
 
 def quadratic_forecast(p: DataFrame, last_n: int = 30, horizon: int = 3, by: Sequence[str] = ()) -> DataFrame:

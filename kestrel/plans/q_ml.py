@@ -117,7 +117,7 @@ def p14_split(spark, sf):
 @query("p15_classifiers")
 def p15_classifiers(spark, sf):
     d = ml.split(labelled_docs(Tables(spark, sf)), ["doc_id"], label="label")
-    return ml.leaderboard(d, FEATS, "label", "classification", ["logistic", "random_forest", "decision_tree", "gbt"])[0]
+    return ml.leaderboard(d, FEATS, "label", "classification")[0]
 
 
 @query("p16_regressors")
@@ -127,7 +127,7 @@ def p16_regressors(spark, sf):
                                                            F.sum("l_quantity").alias("qty")),
                       F.col("o_orderkey") == F.col("l_orderkey"))
     o = ml.split(o.select("o_orderkey", "lines", "qty", F.col("o_totalprice").alias("label")), ["o_orderkey"])
-    return ml.leaderboard(o, ["lines", "qty"], "label", "regression", ["linear", "ridge", "huber", "random_forest"])[0]
+    return ml.leaderboard(o, ["lines", "qty"], "label", "regression")[0]
 
 
 @query("p17_cross_validation")
@@ -239,3 +239,30 @@ def p33_per_class_metrics(spark, sf):
 def p34_model_based_selection(spark, sf):
     d = labelled_docs(Tables(spark, sf))
     return d.select("doc_id", *ml.select_top_features(d, FEATS, "label", 3))
+
+
+@query("p34b_recursive_elimination")
+def p34b_recursive_elimination(spark, sf):
+    d = ml.split(labelled_docs(Tables(spark, sf)), ["doc_id"], label="label")
+    return ml.recursive_elimination(d, FEATS, "label", 2).withColumn("features", F.array_join("features", ","))
+
+
+@query("p31_model_versions", """SELECT version, 2::BIGINT AS versions, count(*) AS scored, 0::BIGINT AS changed
+FROM documents, (SELECT unnest([1, 2])::INT AS version) GROUP BY version""")
+def p31_model_versions(spark, sf):
+    """Two versions saved and loaded: every document's score before and after."""
+    from kestrel.session import scratch_path
+    t, folder = Tables(spark, sf), scratch_path(spark, "models")
+    d = ml.split(labelled_docs(t), ["doc_id"], label="label")
+    docs = docs_with_features(t).select("doc_id", *FEATS)
+    parts = []
+    for n in (1, 2):
+        board, fitted = ml.leaderboard(d, FEATS[:3 + n], "label", "classification", ["logistic"])
+        f1 = board.where("metric = 'f1'").first()["value"]
+        number = ml.save_version(spark, folder, "quality", fitted["logistic"], FEATS[:3 + n], "f1", f1)
+        before = ml.to_score(fitted["logistic"].transform(docs)).select("doc_id", F.col("score").alias("a"))
+        after = ml.to_score(ml.load_version(spark, folder, "quality", number).transform(docs)).select("doc_id", F.col("score").alias("b"))
+        parts.append(before.join(after, "doc_id").agg(F.lit(number).alias("version"), F.count(F.lit(1)).alias("scored"),
+                                                      F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed")))
+    saved = ml.versions(spark, folder).where("name = 'quality'").agg(F.count(F.lit(1))).scalar()
+    return parts[0].unionByName(parts[1]).select("version", saved.alias("versions"), "scored", "changed")

@@ -56,7 +56,13 @@ def a08_seeded_sample_exact_n(spark, sf):
     return files.sample_exact(Tables(spark, sf).orders, 1000, key=["o_orderkey"], seed=42)
 
 
-@query("a09_stratified_sample")
+@query("a09_stratified_sample", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey)) AS k FROM orders),
+c AS (SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER () AS total FROM orders GROUP BY o_orderpriority),
+q AS (SELECT *, (round(total * 0.2)::BIGINT * n) // total AS whole, (round(total * 0.2)::BIGINT * n) % total AS remainder FROM c),
+z AS (SELECT o_orderpriority, whole + (row_number() OVER (ORDER BY remainder DESC, o_orderpriority) <= round(total * 0.2)::BIGINT - sum(whole) OVER ())::INT AS quota
+  FROM q)
+SELECT r.* EXCLUDE (k), 'stratified' AS _sample_mode FROM r JOIN z USING (o_orderpriority) WHERE k <= quota""")
 def a09_stratified_sample(spark, sf):
     return files.stratified_sample(Tables(spark, sf).orders, "o_orderpriority", 0.2, key=["o_orderkey"], seed=42)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.scalars import NA_TOKENS, na_to_null
+from kestrel.plans.distributed import global_rank
 
 
 def _null_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
@@ -94,14 +95,34 @@ def sample_fraction(df: DataFrame, fraction: float, key: Sequence[str], seed: in
 
 def stratified_sample(df: DataFrame, label: str, fraction: float, key: Sequence[str], seed: int = 42,
                       min_class: int = 10) -> DataFrame:
-    """Proportional per-class sampling when the smallest class has at least
-    ``min_class`` rows, else a uniform sample.  Both are a hash threshold at
-    the same fraction; the class check only decides whether the fraction is
-    applied per class (identical rows either way with a key hash), kept for
-    parity of the reported mode."""
-    smallest = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    mode = "stratified" if smallest >= min_class else "uniform"
-    return sample_fraction(df, fraction, key, seed).withColumn("_sample_mode", F.lit(mode))
+    """round(n x fraction) rows.  When the smallest class has at least ``min_class``
+    rows, every class gets its exact share: the whole part of its rows x size / n, and
+    what is left over goes to the largest remainders (ties by class); else the sample is
+    uniform, all rows being one class.  In a class the rows with the least MD5 of seed
+    and ``key`` (unique) are taken, so reruns agree; ``_sample_mode`` says which it was.
+
+    Only (class, hash) is ranked, on a range-partitioned scan that splits a large class
+    over tasks; the rows themselves meet the last hash of their class, one row a class,
+    and are not moved.  A null label is a class of its own; an empty table gives no rows."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    smallest = sizes.agg(F.min("_n")).first()[0] or 0
+    stratified = smallest >= min_class
+    rows = df.withColumn("_class", F.col(label) if stratified else F.lit(1)).withColumn("_h", h)
+    sizes = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).scalar()
+    share = F.round(total * F.lit(fraction)).cast("long") * F.col("_n")  # over total, in whole numbers
+    parts = sizes.select("_class", "_n", F.call_function("div", share, total).alias("_whole"), (-(share % total)).alias("_left"))
+    missing = parts.agg(F.round(F.sum("_n") * F.lit(fraction)).cast("long") - F.sum("_whole")).scalar()
+    quota = global_rank(parts, ["_left", "_class"], out="_r").select(
+        F.col("_class").alias("_c"), (F.col("_whole") + (F.col("_r") <= missing).cast("int")).alias("_quota"))
+    ranked = global_rank(rows.select("_class", "_h"), ["_class", "_h"], out="_r")
+    starts = ranked.groupBy("_class").agg((F.min("_r") - 1).alias("_start")).withColumnRenamed("_class", "_s")
+    same = F.col("_class").eqNullSafe(F.col("_s"))
+    cuts = starts.join(quota, F.col("_s").eqNullSafe(F.col("_c"))).drop("_c")
+    last = ranked.join(cuts, same).where(F.col("_r") == F.col("_start") + F.col("_quota")).select("_s", F.col("_h").alias("_last"))
+    out = rows.join(last, same).where(F.col("_h") <= F.col("_last"))
+    return out.drop("_class", "_h", "_s", "_last").withColumn("_sample_mode", F.lit("stratified" if stratified else "uniform"))
 
 
 def register(df: DataFrame, name: str, replace: bool = True) -> DataFrame:

@@ -143,3 +143,56 @@ def test_gates(rows):
     assert all(r.passed == (r.value <= r.bound if g in ("overfitting", "cv_stability") else r.value >= r.bound) for g, r in got.items())
     sizes = [r.rows for r in sorted(curve.collect(), key=lambda r: r.share)]
     assert sizes == sorted(sizes) and len(sizes) == 4
+
+
+# ---- samples, leaderboards, elimination, versions ------------------------------------------------
+
+@pytest.mark.parametrize("sizes, mode", [({"a": 300, "b": 33, None: 17}, "stratified"), ({"a": 40, "b": 3}, "uniform")])
+def test_stratified_sample_is_exact(spark, sizes, mode):
+    from kestrel.sources.files import stratified_sample
+    rows = [(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)]
+    got = stratified_sample(spark.createDataFrame(rows, "id string, c string"), "c", 0.1, ["id"]).collect()
+    assert len(got) == round(len(rows) * 0.1) and {r._sample_mode for r in got} == {mode} and len({r.id for r in got}) == len(got)
+    if mode == "stratified":
+        assert {c: sum(r.c == c for r in got) for c in sizes} == {"a": 30, "b": 3, None: 2}  # 35 x 300, 33 and 17 / 350: 30, 3.3, 1.7
+    assert stratified_sample(spark.createDataFrame([], "id string, c string"), "c", 0.1, ["id"]).count() == 0
+
+
+def test_scores_equal_the_evaluators(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    rng = random.Random(1)
+    d = spark.createDataFrame([(float(rng.randrange(3)), float(rng.randrange(4))) for _ in range(200)], "label double, prediction double")
+    for m, v in ml.classification_scores(d, "label").items():
+        assert v == pytest.approx(MulticlassClassificationEvaluator(labelCol="label", metricName=m).evaluate(d))
+    for m, v in ml.regression_scores(d, "label").items():
+        assert v == pytest.approx(RegressionEvaluator(labelCol="label", metricName=m).evaluate(d))
+
+
+def test_elimination_drops_the_noise_first(spark, rows):
+    d = rows.withColumn("noise", F.rand(3))
+    got = ml.recursive_elimination(d, ["a", "noise", "b"], "label").orderBy("round").collect()
+    assert got[0].dropped == "noise" and {got[1].dropped, *got[2].features} == {"a", "b"} and got[2].dropped is None
+    assert [len(r.features) for r in got] == [3, 2, 1]
+    assert len(ml.recursive_elimination(d, ["a", "noise", "b"], "label", least_gain=-1.0).collect()) == 1
+
+
+def test_versions_round_trip(spark, rows, tmp_path):
+    fitted = ml.leaderboard(rows, ["a", "b"], "label", models=["logistic", "mlp"])[1]
+    folder = str(tmp_path)
+    assert ml.versions(spark, folder).count() == 0
+    with pytest.raises(ValueError):
+        ml.load_version(spark, folder, "m")
+    assert [ml.save_version(spark, folder, "m", fitted[n], ["a", "b"], "f1", 0.5) for n in ("logistic", "mlp")] == [1, 2]
+    assert ml.save_version(spark, folder, "other", fitted["mlp"], ["a"], "f1", 0.5) == 1
+    for version, n in ((1, "logistic"), (None, "mlp")):
+        a, b = (sorted((r.id, r.probability[1]) for r in m.transform(rows).collect()) for m in (fitted[n], ml.load_version(spark, folder, "m", version)))
+        assert a == b
+
+
+def test_sma_of_zero(spark):
+    from kestrel.operators import series
+    d = spark.createDataFrame([(i, y) for i, y in enumerate([0.0, 0.0, 0.0, 3.0, -2.0, -1.0])], "t int, y double")
+    r = series.sma_signal(d).first()
+    assert r.sma == 0 and r.deviation_pct == 0 and r.signal == "neutral" and r.next_values == [0.0] * 5
+    up = series.sma_signal(spark.createDataFrame([(i, float(i)) for i in range(6)], "t int, y double")).first()
+    assert up.next_values[0] == up.next_value and up.next_values[4] == pytest.approx(up.sma + 5 * (up.next_value - up.sma))
