@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import boxed, cut, unboxed
+from kestrel.llm.common import boxed, cut, shuffle_partitions, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3
@@ -27,6 +27,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_order(rows: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` plus ``_nth`` (from 0) and ``_before_<c>``, the sum of ``c`` over the rows
+    before, in a unique ``order``: dealt to tasks by ranges, written, and added up within
+    each task; only one row per task is then put in order at once."""
+    ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    scan = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    scan = scan.withColumn("_task", F.shiftright("_at", 33))
+    inside = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    scan = scan.select("*", F.count(F.lit(1)).over(inside).alias("_nth"), *[F.sum(c).over(inside).alias(f"_before_{c}") for c in sums])
+    tasks = scan.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("_task", F.sum("_n").over(earlier).alias("_o"), *[F.sum(f"_s_{c}").over(earlier).alias(f"_o_{c}") for c in sums])
+    out = scan.join(F.broadcast(tasks), "_task")  # one row per task
+    zero = F.lit(0.0)
+    return out.select(*rows.columns, (F.col("_nth") + F.coalesce("_o", F.lit(0))).alias("_nth"), *[
+        (F.coalesce(f"_before_{c}", zero) + F.coalesce(f"_o_{c}", zero)).alias(f"_before_{c}") for c in sums])
+
+
 def targets(sizes: DataFrame, share: float = 1.0, weights=(1, 2, 3), max_rate: int = MAX_RATE) -> DataFrame:
     """``sizes`` (source, source_size), one row per source -> with target and rate.
 
@@ -34,18 +52,15 @@ def targets(sizes: DataFrame, share: float = 1.0, weights=(1, 2, 3), max_rate: i
     at ``max_rate`` times the source's size and the excess goes to the others by
     weight.  The level where this ends is the largest of the levels reached when
     sources are capped in the order of capacity per weight, so it needs no loop.
-    One row per source is the only thing sorted in one task."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                        ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(max_rate)).alias("cap"))
-    order = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(every) * float(share)
-    s = s.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    s = s.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.max("level").over(every)))
+    Sources, which may be as many as documents, are ordered by ranges."""
+    named = in_order(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()])
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_nth") % len(weights) + 1).cast("int"))
+    s = named.select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(max_rate)).alias("cap"))
+    s = in_order(s, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], ("cap", "weight"))
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).select(F.struct("*").alias("w")).scalar()
+    s = s.withColumn("level", (whole["size"] * float(share) - F.col("_before_cap")) / (whole["weight"] - F.col("_before_weight")))
+    level = s.agg(F.max("level")).scalar()
+    s = s.withColumn("target", F.least(F.col("cap"), F.col("weight") * level))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return s.select("source", "source_size", "target", rate.alias("rate"))
 

@@ -308,6 +308,24 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(odd(spark)).columns == odd(spark).columns
 
 
+def test_as_many_sources_as_documents_equal_duckdb(spark):
+    random.seed(12)
+    rows = [(i, "w " * random.randrange(0, 40), None, None if i == 7 else f"http://h{i * 7919 % 3001}/p" if i % 3 else "hot", 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE['op4_mix_sources']})").fetchall()}
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixing.digest(d).collect()}
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i] == (*want[i][:2], pytest.approx(want[i][2], rel=1e-12), want[i][3])
+
+
+def test_sources_without_words(spark):
+    d = spark.createDataFrame([(i, None if i % 2 else " ", None, f"s{i % 4}", 0) for i in range(20)], DOCS)
+    assert {(r.size, r.source_size, r.target, r.taken) for r in mixing.digest(d).collect()} == {(0, 0, 0.0, 0)}
+
+
 # ---- 5 suffix array ------------------------------------------------------------------------------
 
 def brute_removal(texts: dict, length: int) -> dict:
