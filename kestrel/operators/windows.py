@@ -86,12 +86,11 @@ def cumulative_share(df: DataFrame, entity: str, value: str) -> DataFrame:
     The running sum over entities uses the range-partitioned scan, so millions
     of entities never meet in one task.
     """
-    totals = _entity_totals(df, entity, value)
-    grand = totals.agg(F.sum("total")).scalar()
-    r = global_rank(totals, [F.desc("total"), F.asc(entity)], out="rank", running={"total": "_cum"})
+    r = global_rank(_entity_totals(df, entity, value), [F.desc("total"), F.asc(entity)], out="rank", running={"total": "_cum"})
+    grand = r.agg(F.sum("total")).scalar()  # from the written ranks, a row per entity
     return r.select(entity, "total", "count", "rank",
-                    (F.col("total") / grand * 100).alias("share_pct"),
-                    (F.col("_cum") / grand * 100).alias("cumulative_pct"))
+                    *[(F.coalesce(F.try_divide(c, grand), F.lit(0.0)) * 100).alias(n)  # a total of zero: no shares
+                      for c, n in ((F.col("total"), "share_pct"), (F.col("_cum"), "cumulative_pct"))])
 
 
 def contribution(df: DataFrame, entity: str, value: str, top: int = 10) -> DataFrame:
@@ -135,7 +134,7 @@ def customer_tiers(df: DataFrame, customer: str, value: str) -> DataFrame:
     totals = _entity_totals(df, customer, value).withColumn(
         "avg_order", F.col("total") / F.col("count"))
     r = global_rank(totals, [F.desc("total"), F.asc(customer)], out="rank")
-    n = totals.agg(F.count(F.lit(1))).scalar()
+    n = r.agg(F.count(F.lit(1))).scalar()  # from the written ranks
     pct = (F.col("rank") - 1) * 100.0 / n
     tier = (F.when((pct <= 15) & (F.col("count") >= 2), "Champions").when(pct <= 35, "Loyal")
             .when(pct <= 60, "Potential").when(pct <= 85, "At Risk").otherwise("Needs Attention"))

@@ -11,7 +11,8 @@ from kestrel.session import TABLE_NAMES
 SF = "/root/testdata/sf0.001"
 NAMES = ["a11_sql_text_query", "d01_group_aggregate", "d16_percentiles_shape", "e04_abc_grade_customers",
          "e06b_moving_average_by_customer", "e18_forward_fill", "h05_parse_money", "i04_rule_checks",
-         "k01_cohort_retention", "o02_knn_cosine", "p28_roc_curve", "q07_sankey",
+         "j03_schema_columns", "k01_cohort_retention", "k14_dashboard_stats", "k15_unified_overview", "k18_metrics_report",
+         "o02_knn_cosine", "p28_roc_curve", "q07_sankey",
          "m10_bfs_paths", "m15_type_subgraph", "r01b_sliding_rate_stream", "r02_sessions_stream", "r06_dedupe_stream"]
 
 
