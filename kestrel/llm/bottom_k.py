@@ -6,9 +6,10 @@ containment and the number of distinct shingles; with fewer than k shingles all
 of these are exact.
 
 Defined cases: a null text is the empty text, whose fingerprint is empty; two
-empty fingerprints have likeness 1, an empty and another one 0.  ``next`` is the
-next row by id and then text, after the last row the first; null ids come first;
-a repeated row is a document of its own; a single document is its own next.  An
+empty fingerprints have likeness 1, an empty and another one 0; the empty one is
+contained in every other.  ``next`` is the next row by id and then the text's hash,
+after the last row the first; null ids come first; a repeated row is a document of
+its own; a single document is its own next.  An
 empty table gives an empty result; other columns are not read.
 """
 
@@ -105,35 +106,90 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, _mark) dealt to tasks by ranges of the id and sorted;
-    a task's last row, marked, is the one that follows its range.
+    """Rows (doc_id, text, _mark) dealt to tasks by ranges of (id, hash of text, row) and
+    sorted; a task's last row, marked, is the one that follows its range.
 
-    The bounds are quantiles of the ids, at most one a task, and so are the
-    first ids of the ranges; only they reach the driver.  Texts move once."""
+    The third part splits the rows of one id, and copies of one text with one id, among
+    tasks.  The bounds come from about a hundred rows a task, drawn by a fixed seed, and only
+    balance the tasks; those, and the first id and hash of every range, reach the driver.
+    A range gets one marked row.  Texts move once."""
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("_key"))
-    got = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
-    bounds = sorted(set(got))[:n - 1]
-    low = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    rows = rows.withColumn("_range", F.size(F.filter(low, lambda b: b <= F.col("_key"))))
-    firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min("_key")).collect())
-    lead = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}  # first key of a range -> the range before it
-    own = F.struct(F.col("_range").alias("_range"), F.lit(False).alias("_mark"))
-    if lead:
-        before = F.element_at(F.create_map(*[F.lit(x) for kv in lead.items() for x in kv]), F.col("_key"))
-        places = F.when(before.isNotNull(), F.array(own, F.struct(before.alias("_range"), F.lit(True).alias("_mark")))).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    dealt = rows.withColumn("_to", F.explode(places)).select("doc_id", "text", "_key", F.col("_to._range").alias("_range"), F.col("_to._mark").alias("_mark"))
-    return dealt.repartitionById(n, "_range").sortWithinPartitions("_range", "_mark", "_key", "text").select("doc_id", "text", "_mark", "_range")
+                       F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("_key"),
+                       F.xxhash64(F.monotonically_increasing_id()).alias("_row"))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    place, known = F.struct("_key", "_hash", "_row"), F.struct("_key", "_hash")
+    drawn = rows.select("_key", "_hash", "_row").sample(min(1.0, 100.0 * n / max(docs.count(), 1)), seed=9).collect()
+    drawn = sorted(tuple(r) for r in drawn)
+    bounds = sorted({drawn[i * len(drawn) // n] for i in range(1, n)}) if drawn else []
+
+    def several(values):
+        return F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(v, ("_key", "_hash", "_row"))]) for v in values])
+
+    spot = F.size(F.filter(several(bounds), lambda b: b <= place)) if bounds else F.lit(0)
+    rows = rows.withColumn("_range", spot)
+    firsts = sorted((r["_range"], tuple(r["f"])) for r in rows.groupBy("_range").agg(F.min(known).alias("f")).collect())
+    after = {}  # first id and hash of a range -> the ranges before it; the first range follows the last
+    for i, (_, first) in enumerate(firsts):
+        after.setdefault(first, []).append(firsts[i - 1][0])
+    dealt = rows.select("doc_id", "text", "_key", "_hash", "_range", F.lit(False).alias("_mark"))
+    if after:
+        leads = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h"), F.lit(r).alias("r"))
+                          for (k, h), ranges in after.items() for r in ranges])
+        heads = rows.where(F.array_contains(several(after), known)).groupBy("_key", "_hash").agg(
+            F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
+        to = F.filter(leads, lambda x: (x["k"] == F.col("_key")) & (x["h"] == F.col("_hash")))
+        heads = heads.withColumn("_to", F.explode(to))
+        dealt = dealt.unionByName(heads.select("doc_id", "text", "_key", "_hash", F.col("_to.r").alias("_range"), F.lit(True).alias("_mark")))
+    return dealt.repartitionById(n, "_range").sortWithinPartitions("_range", "_mark", "_key", "_hash", "text").select(
+        "doc_id", "text", "_mark", "_range")
+
+
+def merged(parts: DataFrame, by: str, k: int = K, spread: int = 32) -> DataFrame:
+    """(``by``, fingerprint, n_shingles) of all texts of each part, by merging the fingerprints
+    of its rows (columns ``by`` and ``fingerprint``): in each task first, then by part and
+    one of ``spread`` salts, then by part, so that no task merges the rows of a large part.
+
+    Memory: 4,096 parts a task in the first step, one part in the others, whose rows are
+    sorted by part.  Null is a part of its own; a part of empty texts has the empty fingerprint."""
+    kind = parts.schema[by].dataType
+    schema = T.StructType([T.StructField(by, kind), T.StructField("fingerprint", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_type
+    arrow = [to_arrow_type(kind), pa.string()]
+
+    def together(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+
+            def out() -> pa.RecordBatch:
+                arrays = [pa.array(list(held), arrow[0]), pa.array([to_text(v) for v in held.values()], arrow[1])]
+                return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+            for batch in batches:
+                for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if part not in held and len(held) == most:
+                        yield out()
+                        held = {}
+                    a = from_text(text or "")
+                    held[part] = merge(held[part], a, k) if part in held else a[:k]
+            if held:
+                yield out()
+        return run
+
+    x = parts.select(by, "fingerprint").mapInArrow(together(4096), schema)
+    salt = F.pmod(F.xxhash64("fingerprint"), F.lit(spread))
+    x = x.repartition(shuffle_partitions(parts.sparkSession), F.col(f"`{by}`"), salt).sortWithinPartitions(by).mapInArrow(together(1), schema)
+    x = x.repartition(shuffle_partitions(parts.sparkSession), F.col(f"`{by}`")).sortWithinPartitions(by).mapInArrow(together(1), schema)
+    count = F.udf(lambda t: distinct(from_text(t), k), "double", useArrow=True)
+    return x.withColumn("n_shingles", count("fingerprint"))
 
 
 def digest(docs: DataFrame, k: int = K) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType()),
                            T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
                            T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()),
-                           T.StructField("near_next", T.DoubleType()), T.StructField("n_shingles", T.DoubleType())])
+                           T.StructField("near_next", T.DoubleType()), T.StructField("n_shingles", T.DoubleType()),
+                           T.StructField("contained_edited", T.DoubleType()), T.StructField("contained_next", T.DoubleType())])
 
     def emit(ids: list, texts: list[str]) -> pa.RecordBatch:
         """``texts`` has one more than ``ids``, the text after the last."""
@@ -142,7 +198,8 @@ def digest(docs: DataFrame, k: int = K) -> DataFrame:
         cols = [ids, [len(t) for t in texts[:-1]], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
                 [to_text(s) for s in own[:-1]], [to_text(s) for s in other],
                 [resemblance(a, b, k) for a, b in zip(own, other)], [resemblance(a, b, k) for a, b in zip(own, own[1:])],
-                [distinct(s, k) for s in own[:-1]]]
+                [distinct(s, k) for s in own[:-1]], [containment(a, b, k) for a, b in zip(own, other)],
+                [containment(a, b, k) for a, b in zip(own, own[1:])]]
         arrays = [pa.array(c, t) for c, t in zip(cols, arrow_types)]
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -150,17 +207,13 @@ def digest(docs: DataFrame, k: int = K) -> DataFrame:
     arrow_types = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, closed = [], [], 0, None  # rows that wait for the text after them
+        ids, texts, size = [], [], 0  # rows that wait for the text after them
         for batch in batches:
-            for doc_id, text, mark, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if closed == piece:  # more rows of the id that follows the range
-                    continue
+            for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if texts and (mark or size > 1 << 20):
                     yield emit(ids, [*texts, text])
                     ids, texts, size = [], [], 0
-                if mark:
-                    closed = piece
-                else:
+                if not mark:  # the marked row is the last of its range
                     ids.append(doc_id)
                     texts.append(text)
                     size += len(text)

@@ -529,6 +529,60 @@ def test_fingerprints_odd_rows(spark):
     assert bottom_k.digest(odd(spark).limit(0)).count() == 0
 
 
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_edited_and_containment_against_sets(docs, texts):
+    got = {r.doc_id: r for r in bottom_k.digest(docs).collect()}
+    order = sorted(texts)
+    off = {"near_edited": [], "contained_edited": [], "contained_next": []}
+    for i, j in zip(order, order[1:] + order[:1]):
+        a, e, b = (shingle_set(t) for t in (texts[i], bottom_k.edited(texts[i], texts[j]), texts[j]))
+        off["near_edited"].append(abs(got[i].near_edited - (len(a & e) / len(a | e) if a or e else 1.0)))
+        off["contained_edited"].append(abs(got[i].contained_edited - (len(a & e) / len(a) if a else 1.0)))
+        off["contained_next"].append(abs(got[i].contained_next - (len(a & b) / len(a) if a else 1.0)))
+    for name, o in off.items():
+        assert max(o) < 0.25 and np.mean(o) < 0.03, name
+
+
+def test_rows_of_one_id_and_copies_are_split(spark):
+    rows = [(None, f"text number {i}") for i in range(1000)] + [(7, "copy of one text")] * 1000 + [(i, f"w{i}") for i in range(100, 1100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    d.write.parquet(path := bottom_k_path(spark))
+    d = spark.read.parquet(path)
+    dealt = bottom_k.in_order(d).select("doc_id", "text", "_mark", F.spark_partition_id().alias("p")).collect()
+    sizes = Counter(r.p for r in dealt if not r._mark)
+    marks = Counter(r.p for r in dealt if r._mark)
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 2 * len(rows) / len(sizes)
+    assert len(sizes) > 1 and all(v == 1 for v in marks.values()) and set(marks) == set(sizes)
+    got = bottom_k.digest(d).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
+    copies = [r.near_next for r in got if r.doc_id == 7]
+    assert sum(x == 1.0 for x in copies) == 999  # only the last copy is followed by another text
+
+
+def bottom_k_path(spark):
+    from kestrel.session import scratch_path
+    return scratch_path(spark, "rows")
+
+
+def test_merged_parts_equal_the_sketch_of_all(docs, spark):
+    prints = bottom_k.fingerprint(docs).join(docs.select("doc_id", "source", "text"), "doc_id")
+    got = {r.source: r for r in bottom_k.merged(prints, "source", spread=4).collect()}
+    of = {}
+    for r in prints.select("source", "text").collect():
+        of.setdefault(r.source, []).append(r.text or "")
+    assert set(got) == set(of)
+    for source, texts in of.items():
+        h = np.concatenate([shingles.shingle_hashes([t.encode()])[0] for t in texts])
+        assert got[source].fingerprint == bottom_k.to_text(bottom_k.sketch(h))
+        true = len(set().union(*map(shingle_set, texts)))
+        assert abs(got[source].n_shingles - true) <= 0.3 * true
+    assert bottom_k.merged(prints.limit(0), "source").count() == 0
+
+
 # ---- 10 packing ----------------------------------------------------------------------------------
 
 def test_ids_equal_the_tokenizer(texts):
