@@ -8,6 +8,7 @@ two-stage rank, so no group is ever gathered into one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,16 +48,31 @@ def group_aggregate(df: DataFrame, group_by: Sequence[str], aggs: Mapping[str, s
     """``groupBy(*keys).agg`` with pandas names.
 
     Output columns are ``<col>_<func>``.  Null keys are dropped (S1) unless
-    ``drop_null_keys=False``; an empty ``group_by`` returns one row.
+    ``drop_null_keys=False``; an empty ``group_by`` returns one row.  Medians come from
+    counts of distinct values on a range scan, so that no task holds the values of a hot
+    group; a group without a value has none.
     """
-    exprs = []
+    exprs, names, medians = [], [], {}
     for col, funcs in aggs.items():
         for f in ([funcs] if isinstance(funcs, str) else funcs):
-            exprs.append(_agg_expr(col, f, order).alias(f"{col}_{f.lower()}"))
+            names.append(f"{col}_{f.lower()}")
+            if f.lower() == "median":
+                medians[names[-1]] = col
+            else:
+                exprs.append(_agg_expr(col, f, order).alias(names[-1]))
     base = df
     if drop_null_keys and group_by:
         base = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in group_by))
-    return base.groupBy(*group_by).agg(*exprs)
+    out = base.groupBy(*group_by).agg(*(exprs or [F.count(F.lit(1)).alias("_rows")]))
+    for name, col in medians.items():
+        m = exact_quantiles(base, col, [0.5], by=group_by, names=[name])
+        if group_by:
+            m = m.withColumnsRenamed({k: "_m_" + k for k in group_by})
+            same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_m_{k}`")) for k in group_by])
+            out = out.join(m, same, "left").drop(*["_m_" + k for k in group_by])
+        else:
+            out = out.withColumn(name, m.scalar())
+    return out.select(*[F.col(f"`{c}`") for c in (*group_by, *names)])
 
 
 def column_stat(df: DataFrame, column: str, stat: str) -> DataFrame:

@@ -311,16 +311,21 @@ def pattern_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_mentions(df: DataFrame, text: str, key: str, columns: Sequence[str]) -> DataFrame:
-    """Column names (as is, with '_' as space, or with '_' removed) found
-    in the lower-case text, with the 1-based offset of the first hit."""
-    forms = []
+def column_mentions(df: DataFrame, text: str, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per row and column the first of the name's forms (as is, with '_' as space, with
+    '_' removed) that the lower-case text holds, with its 1-based offset and its end; rows
+    are told apart by ``key``, for turns the conversation and the turn.  One projection, no
+    shuffle; a null or empty text mentions nothing."""
+    keys = [key] if isinstance(key, str) else list(key)
+    low = F.lower(F.col(text))
+    hits = []
     for c in columns:
-        for f in {c.lower(), c.lower().replace("_", " "), c.lower().replace("_", "")}:
-            forms.append(F.struct(F.lit(c).alias("column"), F.lit(f).alias("form")))
-    x = df.select(key, F.lower(F.col(text)).alias("_t"), F.explode(F.array(*forms)).alias("f")).select(key, "_t", "f.*")
-    x = x.withColumn("offset", F.instr("_t", F.col("form"))).where(F.col("offset") > 0)
-    return x.groupBy(key, "column").agg(F.min("offset").alias("offset"))
+        forms = list(dict.fromkeys([c.lower(), c.lower().replace("_", " "), c.lower().replace("_", "")]))
+        hits.append(F.coalesce(*[F.when(F.instr(low, F.lit(f)) > 0, F.struct(
+            F.lit(c).alias("column"), F.lit(f).alias("form"), F.instr(low, F.lit(f)).alias("offset"),
+            (F.instr(low, F.lit(f)) + len(f) - 1).alias("end"))) for f in forms]))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
 
 
 def extract_numbers(c) -> Column:
@@ -495,13 +500,16 @@ def parse_page(html: str | None, url: str | None, max_text: int | None = None, m
     except Exception:  # noqa: BLE001 - malformed markup keeps what was parsed
         pass
     text = " ".join(" ".join(p.text).split())[:max_text]
-    links = []
+    links: dict[str, None] = {}  # in order, each once
     for h in p.links:
-        u = urljoin(url or "", h)
-        if u.startswith(("http://", "https://")) and u not in links:
-            links.append(u)
+        try:
+            u = urljoin(url or "", h)
+        except ValueError:  # no address: such as an unclosed bracket
+            continue
+        if u.startswith(("http://", "https://")):
+            links.setdefault(u)
     return {"title": " ".join(_html.unescape(p.title).split()), "description": p.desc, "text": text,
-            "links": links[:max_links], "tables": p.tables[:max_tables]}
+            "links": list(links)[:max_links], "tables": p.tables[:max_tables]}
 
 
 @F.pandas_udf(PAGE_SCHEMA)
@@ -519,7 +527,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html", ur
 def page_links(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """Link edge list (page, link, domain)."""
     e = parsed.select(key, F.posexplode("links").alias("link_index", "link"))
-    return e.withColumn("domain", F.expr("parse_url(link, 'HOST')"))
+    return e.withColumn("domain", F.try_parse_url("link", F.lit("HOST")))
 
 
 def domain_link_counts(links: DataFrame) -> DataFrame:

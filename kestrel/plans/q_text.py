@@ -134,9 +134,15 @@ def n14_pattern_entities(spark, sf):
     return X.pattern_entities(Tables(spark, sf).documents, "text", "doc_id")
 
 
-@query("n15_column_mentions")
+_N15 = ["order_date", "revenue", "le", "or_e"]
+
+
+@query("n15_column_mentions", "\nUNION ALL ".join(
+    f"""SELECT conv_id, turn, '{c}' AS "column", f AS form, instr(lower(text), f) AS "offset", instr(lower(text), f) + len(f) - 1 AS "end"
+FROM (SELECT *, list_filter(['{c}', '{c.replace('_', ' ')}', '{c.replace('_', '')}'], lambda f: contains(lower(text), f))[1] AS f FROM conversations)
+WHERE f IS NOT NULL""" for c in _N15))
 def n15_column_mentions(spark, sf):
-    return X.column_mentions(Tables(spark, sf).conversations, "text", "conv_id", ["order_date", "revenue", "le"])
+    return X.column_mentions(Tables(spark, sf).conversations, "text", ["conv_id", "turn"], _N15)
 
 
 @query("n16_number_extraction")

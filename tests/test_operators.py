@@ -112,3 +112,32 @@ def test_queries_take_all_rows(spark):
         F.count_distinct("user_id").alias("users"))
     assert {(r["d"], r["event_type"], r["users"]) for r in want.collect()} == \
         {(r["window_start"].date(), r["event_type"], r["users"]) for r in users.collect()}
+
+
+def test_column_mentions_per_turn(spark):
+    from kestrel.operators import text as X
+    d = spark.createDataFrame([(1, 1, "the Order Date, orderdate"), (1, 2, "ORDER_DATE and revenue"), (1, 3, None), (2, 1, "")],
+                              "conv_id int, turn int, text string")
+    got = {(r.conv_id, r.turn, r.column): (r.form, r.offset, r.end)
+           for r in X.column_mentions(d, "text", ["conv_id", "turn"], ["order_date", "revenue"]).collect()}
+    assert got == {(1, 1, "order_date"): ("order date", 5, 14), (1, 2, "order_date"): ("order_date", 1, 10),
+                   (1, 2, "revenue"): ("revenue", 16, 22)}
+
+
+def test_links_of_a_page_and_a_malformed_one(spark):
+    from kestrel.operators import text as X
+    html = "<a href='https://a.example/1'>x</a><a href='https://a.example/1'>y</a><a href='https://b.exa mple/|'>z</a><a href='http://[x'>w</a>"
+    pages = spark.createDataFrame([(1, "https://p.example/", html), (2, "u", None)], "page_id int, url string, html string")
+    got = [(r.link_index, r.domain) for r in X.page_links(X.extract_pages(pages)).orderBy("link_index").collect()]
+    assert got == [(0, "a.example"), (1, None)]
+
+
+def test_group_medians(spark):
+    from kestrel.operators.aggregate import group_aggregate
+    d = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 1), ("a", 9.0, 2), ("b", 4.0, 3), ("b", 5.0, 3), ("c", None, 4), (None, 7.0, 5)],
+                              "k string, x double, y int")
+    got = {r.k: (r.x_median, r.x_sum, r.y_median) for r in group_aggregate(d, ["k"], {"x": ["median", "sum"], "y": "median"}).collect()}
+    assert got == {"a": (2.0, 12.0, 1.0), "b": (4.5, 9.0, 3.0), "c": (None, 0.0, 4.0)}
+    assert None in {r.k for r in group_aggregate(d, ["k"], {"x": "median"}, drop_null_keys=False).collect()}
+    assert group_aggregate(d, [], {"x": "median"}).collect() == [(4.5,)]
+    assert group_aggregate(d.limit(0), ["k"], {"x": "median"}).collect() == []
