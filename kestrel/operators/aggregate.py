@@ -371,20 +371,41 @@ def category_concentration(df: DataFrame, column: str) -> DataFrame:
 def balance_entropy(df: DataFrame, column: str) -> DataFrame:
     """Balance of category counts: max/min ratio and class (< 1.5
     balanced, < 3 moderate, else imbalanced), variance and quartiles of the
-    counts, Shannon entropy (log2) and its ratio to log2(k)."""
+    counts, Shannon entropy (log2) and its ratio to log2(k).  The quartiles come from a range
+    scan, so the categories may be many."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    quarts = stats_scalar(exact_quantiles(counts, "n", [0.25, 0.5, 0.75], names=["q1", "q2", "q3"]))
     total = counts.agg(F.sum("n")).scalar()
     p = F.col("n") / total
     st = counts.agg(F.max("n").alias("max_count"), F.min("n").alias("min_count"),
                     F.count(F.lit(1)).alias("k"), F.var_samp("n").alias("count_variance"),
-                    F.percentile(F.col("n"), 0.25).alias("count_q1"), F.percentile(F.col("n"), 0.5).alias("count_median"),
-                    F.percentile(F.col("n"), 0.75).alias("count_q3"),
                     (-F.sum(p * F.log2(p))).alias("entropy"))
+    st = st.withColumns({"count_q1": quarts["q1"], "count_median": quarts["q2"], "count_q3": quarts["q3"]})
     st = st.withColumn("ratio", F.col("max_count") / F.col("min_count")).withColumn(
         "balance", F.when(F.col("ratio") < 1.5, "balanced").when(F.col("ratio") < 3, "moderate").otherwise("imbalanced"))
     return st.withColumn("entropy_ratio", F.when(F.col("k") > 1, F.col("entropy") / F.log2(F.col("k").cast("double"))))
 
 
+def category_extremes(df: DataFrame, column: str, ends: int = 2, sigmas: float = 2.0) -> DataFrame:
+    """(kind, category, n, pct): the ``ends`` most and least frequent categories (``top``,
+    ``bottom``; ties by name; none with fewer than 2 x ``ends`` categories) and every category
+    whose count lies more than ``sigmas`` sample deviations above (``high``) or below (``low``)
+    the mean count.  Below is asked only where the mean exceeds that distance, as no count is
+    negative.  Null is no category."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(
+        F.count(F.lit(1)).alias("n"))
+    s = stats_scalar(counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.avg("n").alias("mean"),
+                                F.stddev_samp("n").alias("sd")))
+    rows = counts.select("category", "n", (F.col("n") * 100.0 / s["total"]).alias("pct"))
+    enough = s["k"] >= 2 * ends
+    top = rows.orderBy(F.desc("n"), F.asc("category")).limit(ends).where(enough)
+    bottom = rows.orderBy(F.asc("n"), F.desc("category")).limit(ends).where(enough)
+    far = sigmas * s["sd"]
+    parts = [("top", top), ("bottom", bottom), ("high", rows.where(F.col("n") > s["mean"] + far)),
+             ("low", rows.where((s["mean"] > far) & (F.col("n") < s["mean"] - far)))]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("kind"), "category", "n", "pct") for k, d in parts])
+
+
 def group_range(df: DataFrame, group: str, value: str) -> DataFrame:
     """Min, max, mean per group."""
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kestrel.operators import aggregate as agg
 from kestrel.operators import windows as win
+from kestrel.operators.frame import topk_keys
+from kestrel.plans.distributed import exact_quantiles, global_rank
 
 
 def bar(df: DataFrame, category: str, value: str, top: int = 10) -> DataFrame:
@@ -114,3 +116,45 @@ def sunburst(df: DataFrame, parent: str, child: str, value: str, top: int = 15)
 def trend_band(df: DataFrame, value: str, order: Sequence[str], segments: int = 30) -> DataFrame:
     """Q13: band / step / area series from E13 segments."""
     return win.segments(df, value, order, segments)
+
+
+def confidence_band(df: DataFrame, value: str, order: Sequence[str], points: int = 30) -> DataFrame:
+    """Q13: (point, mean, lower, upper) of ``points`` runs of equal length over the rows in
+    ``order`` (unique), the band being one population deviation wide on each side.  A null
+    value counts as 0; rows beyond ``points`` whole runs are no part of a run, and a table of
+    fewer rows has a point per row."""
+    r = global_rank(df.select(*order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")), list(order), out="_rn")
+    n = r.agg(F.count(F.lit(1))).scalar()
+    used = F.least(F.lit(points), n)
+    run = F.floor((F.col("_rn") - 1) / F.greatest(F.lit(1), F.floor(n / used))).cast("int") + 1
+    g = r.withColumn("point", run).where(F.col("point") <= used).groupBy("point").agg(
+        F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("_sd"))
+    return g.select("point", "mean", (F.col("mean") - F.col("_sd")).alias("lower"), (F.col("mean") + F.col("_sd")).alias("upper"))
+
+
+def violin(df: DataFrame, category: str, value: str, top: int = 5, bins: int = 20) -> DataFrame:
+    """Q14: per one of the ``top`` most frequent categories (ties by name) the five numbers and
+    the mean, and the shape: (bin, count) of ``bins`` equal bins between its own minimum and
+    maximum, empty ones left out; a category of one value has one bin.  Quartiles are exact and
+    come from a range scan; rows without a value are left out."""
+    names = topk_keys(df, category, top)
+    rows = df.join(F.broadcast(names), category).where(F.col(value).isNotNull()).select(  # top rows: bounded
+        F.col(category).alias("category"), F.col(value).cast("double").alias("x"))
+    q = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], by=["category"], names=["q1", "median", "q3"])
+    st = rows.groupBy("category").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
+                                      F.count(F.lit(1)).alias("n")).join(q, "category")
+    width = (F.col("max") - F.col("min")) / bins
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("min")) / width))).otherwise(0).cast("int")
+    ends = F.broadcast(st.select("category", "min", "max"))
+    shape = rows.join(ends, "category").groupBy("category", place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    shape = shape.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("shape"))  # <= bins
+    return st.join(shape, "category").select("category", "n", "min", "q1", "median", "q3", "max", "mean", "shape")
+
+
+def bullet(df: DataFrame, value: str, target: str, order: Sequence[str]) -> DataFrame:
+    """Q14: the latest ``value`` by ``order`` against the latest ``target``, the ends of the two
+    bands (0.7 x target, target) and of the axis (1.2 x target).  An empty table has 0 throughout."""
+    last = df.agg(F.max_by(F.struct(F.col(value).cast("double").alias("v"), F.col(target).cast("double").alias("t")),
+                           F.struct(*order)).alias("l"))
+    v, t = F.coalesce(F.col("l.v"), F.lit(0.0)), F.coalesce(F.col("l.t"), F.col("l.v") * 1.1, F.lit(0.0))
+    return last.select(v.alias("value"), t.alias("target"), (t * 0.7).alias("low_end"), (t * 1.2).alias("axis_end"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import scalars
-from kestrel.plans.distributed import exact_quantiles, stats_scalar
+from kestrel.plans.distributed import distinct_counts, exact_quantiles, stats_scalar
 
 
 def _strings(df: DataFrame) -> list[str]:
@@ -89,15 +89,13 @@ def derive_value(df: DataFrame, price: str, quantity: str, out: str = "derived_v
 
 def infer_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Convert columns whose lower-cased distinct values (at most 2) all
-    fall in the true/false sets; others are left alone.  One aggregate checks
-    every column."""
-    checks = []
-    for c in columns:
-        s = F.lower(F.trim(F.col(c).cast("string")))
-        known = s.isin(scalars.TRUE_VALUES + scalars.FALSE_VALUES)
-        checks += [F.count_if(s.isNotNull() & ~known).alias(f"bad_{c}"), F.count_distinct(s).alias(f"nd_{c}")]
-    row = df.agg(*checks).first()
-    conv = [c for c in columns if row[f"bad_{c}"] == 0 and row[f"nd_{c}"] <= 2]
+    fall in the true/false sets; others are left alone.  Values are counted
+    once for all columns."""
+    words = df.select(*[F.lower(F.trim(F.col(c).cast("string"))).alias(c) for c in columns])
+    known = [F.col(c).isin(scalars.TRUE_VALUES + scalars.FALSE_VALUES) for c in columns]
+    bad = words.agg(*[F.count_if(~k).alias(c) for c, k in zip(columns, known)]).first()
+    few = {r["column"] for r in distinct_counts(words, columns).where(F.col("distinct") <= 2).collect()}  # one row per column
+    conv = [c for c in columns if bad[c] == 0 and c in few]
     return df.withColumns({c: scalars.parse_bool(F.col(c)) for c in conv})
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import scalars
+from kestrel.plans.distributed import carry_last, distinct_counts
 
 # ---------------------------------------------------------------- B: projection
 
@@ -155,7 +156,7 @@ _ID_HINTS = ("id", "key", "code", "uuid", "index")
 
 
 def column_drop_evidence(df: DataFrame) -> DataFrame:
-    """B8 evidence: one aggregate pass, one row per column.
+    """B8 evidence: one aggregate pass beside the distinct counts, one row per column.
 
     Columns: column, dtype, n, missing_pct, n_distinct, is_id_name, looks_url,
     is_sequential (ints with n_distinct = n and max-min = n-1).
@@ -165,7 +166,7 @@ def column_drop_evidence(df: DataFrame) -> DataFrame:
     aggs = [n.alias("__n")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
-        aggs += [F.count_if(c.isNull()).alias(f"m{i}"), F.count_distinct(c).alias(f"d{i}")]
+        aggs += [F.count_if(c.isNull()).alias(f"m{i}")]
         if f.dataType.typeName() in ("integer", "long", "short"):
             aggs += [(F.max(c) - F.min(c)).alias(f"r{i}")]
         else:
@@ -178,9 +179,11 @@ def column_drop_evidence(df: DataFrame) -> DataFrame:
     per_col = row.select(F.explode(F.array(*[
         F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
                  F.col("__n").alias("n"), (F.col(f"m{i}") * 100.0 / F.col("__n")).alias("missing_pct"),
-                 F.col(f"d{i}").alias("n_distinct"), F.col(f"r{i}").alias("int_range"),
+                 F.col(f"r{i}").alias("int_range"),
                  F.col(f"u{i}").alias("url_share"))
         for i, f in enumerate(fields)])).alias("s")).select("s.*")
+    found = distinct_counts(df, df.columns).select("column", F.col("distinct").alias("n_distinct"))
+    per_col = per_col.join(found, "column")
     lname = F.lower(F.col("column"))
     id_name = reduce(lambda a, b: a | b, [lname.endswith(h) | (lname == h) for h in _ID_HINTS])
     return per_col.withColumns({
@@ -206,7 +209,7 @@ def drop_columns_by_rule(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def select_by_type(df: DataFrame, kind: str = "numeric", limit: int = 10, min_distinct: int = 3) -> list[str]:
     """First ``limit`` numeric or categorical columns without id-like names
-    and with at least ``min_distinct`` values (one distinct-count aggregate)."""
+    and with at least ``min_distinct`` values (counted by ``distinct_counts``)."""
     numeric = ("double", "float", "int", "bigint", "smallint", "decimal")
     cands = []
     for f in df.schema.fields:
@@ -220,8 +223,8 @@ def select_by_type(df: DataFrame, kind: str = "numeric", limit: int = 10, min_di
         cands.append(f.name)
     if not cands:
         return []
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cands]).first()
-    return [c for c in cands if row[c] >= min_distinct][:limit]
+    found = {r["column"]: r["distinct"] for r in distinct_counts(df, cands).collect()}  # one row per column
+    return [c for c in cands if found[c] >= min_distinct][:limit]
 
 
 # ---------------------------------------------------------------- C: joins
@@ -315,25 +318,31 @@ def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping], name_col: str =
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
-              right_cols: Sequence[str]) -> DataFrame:
+              right_cols: Sequence[str], suffix: str = "_right") -> DataFrame:
     """C7 as-of join: for every left row, the latest right row with
     ``right_ts <= left_ts`` in the same ``by`` group.
 
-    Both sides are unioned and a ``last(ignorenulls)`` window over (by, ts)
-    carries the right values forward; right rows sort before left rows at equal
-    time.  One sort per ``by`` partition, no range join.
+    Both sides are unioned, right rows before left rows at equal time, and the right row is
+    carried forward over a range scan, so a group with a third of all events spreads over many
+    tasks; no range join.  The whole right row is carried: its nulls stay nulls.  Of right rows
+    at the same time the one with the largest values counts.  Null keys and null times match
+    nothing, as in SQL; left rows are all kept.  A right column whose name the left has gets
+    ``suffix``.
     """
-    by = list(by)
+    keys = [f"_b{i}" for i in range(len(by))]
     rc = list(right_cols)
-    lpart = left.select("*", F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-                        *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in rc])
-    rpart = right.select(*[F.col(b) for b in by], F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
-                         *[F.col(c).alias(f"_r_{c}") for c in rc])
-    u = lpart.unionByName(rpart, allowMissingColumns=True)
-    from pyspark.sql import Window
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({c: F.last(f"_r_{c}", ignorenulls=True).over(w) for c in rc})
-    return u.where(F.col("_side") == 1).select(*left.columns, *rc)
+    rrow, lrow = F.struct(*[F.col(f"`{c}`") for c in rc]), F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    rtype, ltype = right.select(rrow.alias("r")).schema["r"].dataType, left.select(lrow.alias("l")).schema["l"].dataType
+
+    def side(df, ts, n, l, r):
+        return df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], F.col(f"`{ts}`").alias("_t"),
+                         F.lit(n).alias("_side"), l.alias("_l"), r.alias("_r"))
+
+    known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in [*by, right_ts]])
+    u = side(left, left_ts, 1, lrow, F.lit(None).cast(rtype)).unionByName(
+        side(right.where(known), right_ts, 0, F.lit(None).cast(ltype), rrow))
+    hit = carry_last(u, keys, ["_t", "_side", "_r", F.xxhash64("_l")], "_r", "_hit").where(F.col("_side") == 1)
+    return hit.select("_l.*", *[F.col(f"_hit.`{c}`").alias(c + suffix if c in left.columns else c) for c in rc])
 
 
 # ---------------------------------------------------------------- F: sort / limit

@@ -106,6 +106,32 @@ def nodes_by_type(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
 
 
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """M5: (id, out_degree, in_degree, degree) of every node, isolated ones with zeros.  Ends
+    are counted before the join, so a hub is one row there; ends that are no node are left out."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+                                          F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    n = ends.groupBy("e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+    zero = F.lit(0).cast("long")
+    d = nodes.select("id").join(n, "id", "left").select(
+        "id", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+    return d.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
+
+
+def revenue_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """M6: one row per invoice node: customer, product and date (the label of its neighbour of
+    that type; of several the last by label), the amount, and what stands for a missing one.
+    Invoices without a positive amount, customer and product are left out."""
+    inv = nodes.where(F.col("type") == "invoice").select(F.col("id").alias("invoice"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    ends = nodes.where(F.col("type").isin("customer", "product", "date")).select(
+        F.col("id").alias("dst"), "type", F.col("label").cast("string").alias("label"))
+    nb = edges.select(F.col("src").alias("invoice"), "dst").join(ends, "dst").groupBy("invoice").agg(
+        *[F.max(F.when(F.col("type") == t, F.col("label"))).alias(t) for t in ("customer", "product", "date")])
+    j = inv.join(nb, "invoice", "left").where((F.col("amount") > 0) | F.col("customer").isNotNull() | F.col("product").isNotNull())
+    return j.select("invoice", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (
+        ("customer", "Unknown Customer"), ("product", "General Item"), ("date", "Unknown Date"))], "amount")
+
+
 def flatten_star(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per invoice with its customer, product(s) and date
     (neighbour join, pivoted by neighbour type) and the invoice amount."""

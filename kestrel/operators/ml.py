@@ -20,6 +20,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar
+
 SEED = 42
 
 
@@ -217,11 +219,10 @@ def roc_points(pred: DataFrame, label: str = "label", score: str = "score") -> D
     cumulative TP and FP, TPR, FPR, precision.  Distinct scores are grouped
     first; the cumulative sums run on the (small) per-score table via a
     range-partitioned scan."""
-    from kestrel.plans.distributed import global_rank
     g = pred.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("double")).alias("tp_at"), F.sum(1 - F.col(label).cast("double")).alias("fp_at"))
-    P = pred.agg(F.sum(F.col(label).cast("double"))).scalar()
-    N = pred.agg(F.sum(1 - F.col(label).cast("double"))).scalar()
+    s = stats_scalar(g.agg(F.sum("tp_at").alias("P"), F.sum("fp_at").alias("N")))
+    P, N = F.nullif(s["P"], F.lit(0.0)), F.nullif(s["N"], F.lit(0.0))
     r = global_rank(g, [F.desc("threshold")], out="_r", running={"tp_at": "tp", "fp_at": "fp"})
     return r.select("threshold", "tp", "fp", (F.col("tp") / P).alias("tpr"), (F.col("fp") / N).alias("fpr"),
                     (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
@@ -256,10 +257,54 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
 def regression_errors(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """MAE, RMSE, R², residual mean / median / min / max / std."""
     e = F.col(label) - F.col(prediction)
+    median = exact_quantiles(pred.select(e.alias("e")), "e", [0.5], names=["m"]).select("m").scalar()
     return pred.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                     (1 - F.sum(e * e) / (F.var_pop(label) * F.count(F.lit(1)))).alias("r2"),
-                    F.avg(e).alias("residual_mean"), F.median(e).alias("residual_median"),
-                    F.min(e).alias("residual_min"), F.max(e).alias("residual_max"), F.stddev_samp(e).alias("residual_std"))
+                    F.avg(e).alias("residual_mean"), F.min(e).alias("residual_min"), F.max(e).alias("residual_max"),
+                    F.stddev_samp(e).alias("residual_std")).withColumn("residual_median", median)
+
+
+def error_percentiles(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                      at: Sequence[int] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """(percentile, abs_error), exact, from a range scan; rows without an error are left out."""
+    e = pred.select(F.abs(F.col(label).cast("double") - F.col(prediction)).alias("e"))
+    q = exact_quantiles(e, "e", [p / 100 for p in at], names=[f"p{p}" for p in at])
+    return q.select(F.explode(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"p{p}").alias("abs_error"))
+                                        for p in at])).alias("r")).select("r.*")
+
+
+def errors_by_quartile(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Errors in the four slices of the target by its quartiles (a value on a bound falls
+    in the lower slice): count, MAE, RMSE and mean error (label - prediction) of each that has
+    rows.  Rows without a label or prediction are left out."""
+    p = pred.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).select(
+        F.col(label).cast("double").alias("y"), (F.col(label).cast("double") - F.col(prediction)).alias("e"))
+    q = stats_scalar(exact_quantiles(p, "y", [0.25, 0.5, 0.75], names=["q1", "q2", "q3"]))
+    part = F.when(F.col("y") <= q["q1"], 1).when(F.col("y") <= q["q2"], 2).when(F.col("y") <= q["q3"], 3).otherwise(4)
+    return p.groupBy(part.alias("quartile")).agg(
+        F.count(F.lit(1)).alias("count"), F.min("y").alias("from"), F.max("y").alias("to"), F.avg(F.abs("e")).alias("mae"),
+        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean_error"))
+
+
+def class_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(cls, actual, predicted): rows per class as marked and as predicted, zeros included."""
+    both = pred.select(F.explode(F.array(F.struct(F.col(label).cast("string").alias("cls"), F.lit(1).alias("a"), F.lit(0).alias("p")),
+                                         F.struct(F.col(prediction).cast("string").alias("cls"), F.lit(0).alias("a"),
+                                                  F.lit(1).alias("p")))).alias("r"))
+    return both.where(F.col("r.cls").isNotNull()).groupBy("r.cls").agg(F.sum("r.a").alias("actual"), F.sum("r.p").alias("predicted"))
+
+
+def areas(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under ROC (trapezoids, from the origin) and average precision (precision times
+    the gain of recall) over the exact curve of ``roc_points``.  Each point's predecessor is the
+    row one rank above it, joined by rank, so the scores may all differ.  A single class gives
+    nulls."""
+    pts = global_rank(roc_points(pred, label, score), [F.desc("threshold")], out="_r")
+    prev = pts.select((F.col("_r") + 1).alias("_r"), F.col("tpr").alias("_t"), F.col("fpr").alias("_f"))
+    j = pts.join(prev, "_r", "left")
+    t0, f0 = F.coalesce("_t", F.lit(0.0)), F.coalesce("_f", F.lit(0.0))
+    return j.agg(F.sum((F.col("fpr") - f0) * (F.col("tpr") + t0) / 2).alias("auc"),
+                 F.sum((F.col("tpr") - t0) * F.col("precision")).alias("average_precision"))
 
 
 def calibration(pred: DataFrame, label: str = "label", score: str = "score", bins: int = 10) -> DataFrame:

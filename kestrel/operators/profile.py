@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import scalars
-from kestrel.plans.distributed import top_k_per_group
+from kestrel.plans.distributed import distinct_scalars, top_k_per_group
 
 # Fixed name hints for role detection (keyword lists by role).
 ROLE_HINTS = {
@@ -47,11 +47,11 @@ def infer_schema(df: DataFrame, samples: int = 3) -> DataFrame:
     for i, f in enumerate(fields):
         c = F.col(f.name)
         num = isinstance(f.dataType, T.NumericType)
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"),
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"),
                  (F.min(c).cast("double") if num else F.lit(None).cast("double")).alias(f"lo{i}"),
                  (F.max(c).cast("double") if num else F.lit(None).cast("double")).alias(f"hi{i}"),
                  (F.avg(c) if num else F.lit(None).cast("double")).alias(f"mu{i}")]
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).withColumns({f"d{i}": d for i, d in enumerate(distinct_scalars(df, df.columns))})
     long = row.select("__n", F.explode(F.array(*[F.struct(
         F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
         F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("distinct"), F.col(f"lo{i}").alias("min"),
@@ -74,7 +74,6 @@ def column_roles(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
-        aggs.append(F.count_distinct(c).alias(f"d{i}"))
         if isinstance(f.dataType, T.StringType):
             nn = c.isNotNull()
             aggs += [F.avg(F.when(nn, scalars.clean_numeric(c).isNotNull().cast("double"))).alias(f"pn{i}"),
@@ -83,7 +82,7 @@ def column_roles(df: DataFrame) -> DataFrame:
         else:
             aggs += [F.lit(None).cast("double").alias(f"pn{i}"), F.lit(None).cast("double").alias(f"pd{i}"),
                      F.lit(None).cast("double").alias(f"len{i}")]
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).withColumns({f"d{i}": d for i, d in enumerate(distinct_scalars(df, df.columns))})
     long = row.select("__n", F.explode(F.array(*[F.struct(
         F.lit(f.name).alias("column"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"d{i}").alias("distinct"),
         F.col(f"pn{i}").alias("num_share"), F.col(f"pd{i}").alias("date_share"), F.col(f"len{i}").alias("avg_len"))
@@ -92,7 +91,9 @@ def column_roles(df: DataFrame) -> DataFrame:
     lname = F.lower(F.col("column"))
 
     def hint(role):
-        return reduce(lambda a, b: a | b, [lname.contains(k) for k in ROLE_HINTS[role]])
+        # a hint of two letters has to be a word of the name: id is not meant by paid or width
+        return reduce(lambda a, b: a | b, [lname.contains(k) if len(k) > 2 else lname.rlike(rf"(^|[^a-z0-9]){k}([^a-z0-9]|$)")
+                                           for k in ROLE_HINTS[role]])
 
     ctype = (F.when((F.col("kind") == "numeric") | (F.col("num_share") > 0.7), "numeric")
              .when((F.col("kind") == "datetime") | (F.col("date_share") > 0.7), "datetime")
@@ -136,8 +137,7 @@ def metric_dimension_ranking(df: DataFrame, max_dim_ratio: float = 0.5) -> DataF
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.sum(F.abs(F.col(c).cast("double"))).alias(f"t_{c}") for c in nums]
     aggs += [F.count(F.col(c)).alias(f"c_{c}") for c in nums + strs]
-    aggs += [F.count_distinct(F.col(c)).alias(f"d_{c}") for c in strs]
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).withColumns({f"d_{c}": d for c, d in zip(strs, distinct_scalars(df, strs))})
     items = []
     for c in nums:
         bonus = 10.0 if any(k in c.lower() for k in ROLE_HINTS["amount"]) else 0.0

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import scalars
-from kestrel.plans.distributed import exact_quantiles, stats_scalar, top_k_per_group
+from kestrel.plans.distributed import distinct_counts, distinct_scalars, exact_quantiles, stats_scalar, top_k_per_group
+from kestrel.session import checkpoint_dir
 
 _GROUPS = {"numeric": T.NumericType, "string": T.StringType, "datetime": (T.TimestampType, T.TimestampNTZType, T.DateType),
            "boolean": T.BooleanType}
@@ -59,12 +60,9 @@ def id_uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Duplicated values per id-like column (pandas ``duplicated``: later
     repeats, nulls equal to each other)."""
     cols = list(columns or id_columns(df))
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_distinct(F.struct(F.col(c))).alias(f"d{i}") for i, c in enumerate(cols)])
-    long = row.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct"))
-                                                 for i, c in enumerate(cols)])).alias("kv")).select("__n", "kv.*")
-    return long.select("column", (F.col("__n") - F.col("distinct")).alias("duplicates"),
-                       ((F.col("__n") - F.col("distinct")) * 100.0 / F.col("__n")).alias("duplicate_pct"))
+    again = F.col("rows") - F.col("distinct") - (F.col("nulls") > 0).cast("long")
+    return distinct_counts(df, cols).select("column", again.alias("duplicates"),
+                                            F.try_divide(again * 100.0, F.col("rows")).alias("duplicate_pct"))
 
 
 def _rule_violation(rule: Mapping) -> Column:
@@ -140,16 +138,39 @@ def quality_score(df: DataFrame, rules: Sequence[Mapping] = ()) -> DataFrame:
 
 
 def quality_score_weighted(df: DataFrame) -> DataFrame:
-    """0.4 completeness + 0.3 row uniqueness + 0.3 type consistency (typed
-    Spark columns are always consistent)."""
+    """0.4 completeness + 0.3 row uniqueness + 0.3 type consistency (the share of columns
+    that ``type_consistency`` calls consistent); an empty table scores 0."""
+    consistent = type_consistency(df).agg(F.avg(F.col("consistent").cast("double"))).scalar()
     n_cols = len(df.columns)
     a = df.agg(F.count(F.lit(1)).alias("n"),
                reduce(lambda x, y: x + y, [F.count_if(F.col(c).isNull()) for c in df.columns]).alias("nulls"),
                F.count_distinct(F.struct(*df.columns)).alias("distinct_rows"))
-    comp = 1 - F.col("nulls") / (F.col("n") * n_cols)
-    uniq = F.col("distinct_rows") / F.col("n")
-    return a.select(comp.alias("completeness"), uniq.alias("uniqueness"), F.lit(1.0).alias("consistency"),
-                    (comp * 0.4 + uniq * 0.3 + 0.3).alias("score"))
+    full = F.col("n") > 0
+    comp = F.when(full, 1 - F.try_divide(F.col("nulls"), F.col("n") * n_cols)).otherwise(0.0)
+    uniq = F.when(full, F.try_divide(F.col("distinct_rows"), F.col("n"))).otherwise(0.0)
+    cons = F.when(full, consistent).otherwise(0.0)
+    return a.select(comp.alias("completeness"), uniq.alias("uniqueness"), cons.alias("consistency"),
+                    (comp * 0.4 + uniq * 0.3 + cons * 0.3).alias("score"))
+
+
+def type_consistency(df: DataFrame) -> DataFrame:
+    """(column, kinds, consistent): how many kinds of value a column holds, a missing value
+    being one; at most two are consistent.  Values of a text column are booleans, numbers, dates
+    or other text, by the first that parses; a typed column has one kind beside the missing.
+    One aggregate; an empty column has 0 kinds."""
+    aggs, n_kinds = [], {}
+    for i, f in enumerate(df.schema.fields):
+        x = F.col(f"`{f.name}`")
+        kind = F.when(x.isNull(), "missing")
+        if isinstance(f.dataType, T.StringType):
+            kind = (kind.when(scalars.parse_bool(x).isNotNull(), "boolean").when(scalars.clean_numeric(x).isNotNull(), "number")
+                    .when(scalars.parse_mixed_date(x).isNotNull(), "date"))
+        kind = kind.otherwise("value")
+        names = ("missing", "boolean", "number", "date", "value")
+        aggs += [F.coalesce(F.max((kind == k).cast("int")), F.lit(0)).alias(f"k{i}_{k}") for k in names]
+        n_kinds[f.name] = reduce(lambda a, b: a + b, [F.col(f"k{i}_{k}") for k in names])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), n.alias("kinds")) for c, n in n_kinds.items()])
+    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*", (F.col("r.kinds") <= 2).alias("consistent"))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5, samples: int = 10) -> DataFrame:
@@ -240,17 +261,31 @@ def impute(df: DataFrame, strategies: Mapping[str, str], order: Sequence[str] |
     return out
 
 
-def auto_impute(df: DataFrame, skip_pct: float = 50.0) -> DataFrame:
-    """Numeric -> median, string -> mode; columns more than ``skip_pct``
-    missing are left alone.  Decided from one completeness aggregate."""
-    comp = {r["column"]: r["null_pct"] for r in completeness(df).collect()}  # one row per column
-    strategies = {}
+def impute_plan(df: DataFrame, aggressive: bool = False, skip_pct: float = 50.0, drop_pct: float = 80.0) -> DataFrame:
+    """(column, missing, missing_pct, strategy) of every column with missing values:
+    numbers take the median, dates and times the last value before and then the first after,
+    other columns the mode.  More than ``skip_pct`` missing: ``skip``; when ``aggressive``
+    columns are filled up to ``drop_pct`` missing and ``drop``ped beyond."""
+    by_type = F.lit("mode")
     for f in df.schema.fields:
-        pct = comp.get(f.name, 0.0)
-        if pct == 0 or pct > skip_pct:
-            continue
-        strategies[f.name] = "median" if isinstance(f.dataType, T.NumericType) else "mode"
-    return impute(df, strategies)
+        how = ("median" if isinstance(f.dataType, T.NumericType)
+               else "ffill+bfill" if isinstance(f.dataType, _GROUPS["datetime"]) else None)
+        by_type = F.when(F.col("column") == f.name, how).otherwise(by_type) if how else by_type
+    far = F.col("null_pct") > (drop_pct if aggressive else skip_pct)
+    return completeness(df).where(F.col("null_count") > 0).select(
+        "column", F.col("null_count").alias("missing"), F.col("null_pct").alias("missing_pct"),
+        F.when(far, "drop" if aggressive else "skip").otherwise(by_type).alias("strategy"))
+
+
+def auto_impute(df: DataFrame, skip_pct: float = 50.0, order: Sequence[str] | None = None, aggressive: bool = False) -> DataFrame:
+    """Fill by ``impute_plan``.  Dates are filled in ``order`` (unique; a table has no
+    order of its own), without one they are left alone; what an all-null column lacks stays null."""
+    plan = {r["column"]: r["strategy"] for r in impute_plan(df, aggressive, skip_pct).collect()}  # one row per column
+    out = impute(df, {c: how for c, how in plan.items() if how in ("median", "mode")})
+    for c, how in plan.items():
+        if how == "ffill+bfill" and order:
+            out = impute(impute(out, {c: "ffill"}, order), {c: "bfill"}, order)
+    return out.drop(*[c for c, how in plan.items() if how == "drop"])
 
 
 def replace_inf_drop_constant(df: DataFrame) -> DataFrame:
@@ -261,12 +296,13 @@ def replace_inf_drop_constant(df: DataFrame) -> DataFrame:
         finite = df.where(~F.col(c).isin(float("inf"), float("-inf")))
         med = stats_scalar(exact_quantiles(finite, c, [0.5], names=["m"]))["m"]
         out = out.withColumn(c, F.when(F.col(c).isin(float("inf"), float("-inf")), med).otherwise(F.col(c)))
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first()
-    return out.drop(*[c for c in df.columns if row[c] <= 1])
+    found = distinct_counts(df, df.columns).where(F.col("distinct") <= 1).collect()  # one row per column
+    return out.drop(*[r["column"] for r in found])
 
 
-def type_repair(df: DataFrame, numeric_share: float = 0.8, date_share: float = 0.7) -> DataFrame:
-    """String columns become double when > 80 % of non-null values parse,
+def type_repair(df: DataFrame, numeric_share: float = 0.8, date_share: float = 0.7, unit_share: float = 0.6) -> DataFrame:
+    """String columns become double when > 80 % of non-null values parse, or > 60 % parse
+    as numbers with a unit (``12k``, ``3.5M``, ``80%``),
     timestamp when > 70 % parse and the name hints at a date, boolean when all
     values are in the yes/no sets.  Shares come from one aggregate."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -277,7 +313,8 @@ def type_repair(df: DataFrame, numeric_share: float = 0.8, date_share: float = 0
         nn = F.col(c).isNotNull()
         aggs += [F.avg(F.when(nn, scalars.clean_numeric(F.col(c)).isNotNull().cast("double"))).alias(f"num_{c}"),
                  F.avg(F.when(nn, scalars.parse_mixed_date(F.col(c)).isNotNull().cast("double"))).alias(f"dt_{c}"),
-                 F.avg(F.when(nn, scalars.parse_bool(F.col(c)).isNotNull().cast("double"))).alias(f"b_{c}")]
+                 F.avg(F.when(nn, scalars.parse_bool(F.col(c)).isNotNull().cast("double"))).alias(f"b_{c}"),
+                 F.avg(F.when(nn, scalars.parse_units(F.col(c)).isNotNull().cast("double"))).alias(f"u_{c}")]
     row = df.agg(*aggs).first()
     conv = {}
     for c in strs:
@@ -288,6 +325,8 @@ def type_repair(df: DataFrame, numeric_share: float = 0.8, date_share: float = 0
             conv[c] = scalars.clean_numeric(F.col(c))
         elif hint and (row[f"dt_{c}"] or 0) > date_share:
             conv[c] = scalars.parse_mixed_date(F.col(c))
+        elif (row[f"u_{c}"] or 0) > unit_share:
+            conv[c] = scalars.parse_units(F.col(c))
     return df.withColumns(conv)
 
 
@@ -300,11 +339,11 @@ def issue_report(df: DataFrame, target: str | None = None) -> DataFrame:
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = [F.count(F.lit(1)).alias("__n"), F.count_distinct(F.struct(*df.columns)).alias("__dr")]
     for i, c in enumerate(n_cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"m{i}"), F.count_distinct(c).alias(f"d{i}")]
+        aggs.append(F.count_if(F.col(c).isNull()).alias(f"m{i}"))
     for i, c in enumerate(strs):
         aggs.append(F.avg(F.when(F.col(c).isNotNull(), scalars.clean_numeric(F.col(c)).isNotNull().cast("double")))
                     .alias(f"s{i}"))
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).withColumns({f"d{i}": d for i, d in enumerate(distinct_scalars(df, n_cols))})
     items = []
     for i, c in enumerate(n_cols):
         miss = F.col(f"m{i}") * 100.0 / F.col("__n")
@@ -365,22 +404,48 @@ def detect_issues(df: DataFrame, missing_pct: float = 5.0, outlier_pct: float =
     return reduce(DataFrame.unionByName, parts)
 
 
-def auto_fix(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Duplicates -> types -> missing -> outliers, with a fix log
-    (step, detail) and before/after weighted quality score."""
+def enrich(df: DataFrame) -> DataFrame:
+    """Year, month, day of the week (Monday 0) and weekend flag of every date or time
+    column, named after it without ``_date`` / ``date_``, and ``total_value`` = price x
+    quantity where numeric columns are named so.  Names that exist are left as they are."""
+    have, new = set(df.columns), {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, _GROUPS["datetime"]):
+            base, x = f.name.replace("_date", "").replace("date_", "").replace("Date", ""), F.col(f"`{f.name}`")
+            new |= {f"{base}_year": F.year(x), f"{base}_month": F.month(x), f"{base}_day_of_week": F.weekday(x),
+                    f"{base}_is_weekend": F.weekday(x) >= 5}
+    nums = {c.lower(): c for c in _numeric_cols(df)}
+    if "price" in nums and "quantity" in nums:
+        new["total_value"] = F.col(f"`{nums['price']}`") * F.col(f"`{nums['quantity']}`")
+    return df.withColumns({c: x for c, x in new.items() if c not in have})
+
+
+FIX_LOG = "step string, column string, rows long, detail string"
+
+
+def auto_fix(df: DataFrame, order: Sequence[str] | None = None, aggressive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Duplicates -> types -> missing -> outliers -> enrichment, with a log (step, column,
+    rows it touched, detail) and the weighted quality score before and after.  The log has a row
+    per column a step changed, so it is bounded by the columns.  Rows without their duplicates
+    and the filled rows are checkpointed, as several later steps read them."""
     spark = df.sparkSession
+    checkpoint_dir(spark)
     log = []
-    before = quality_score_weighted(df).select("score").first()[0]
-    step = df.dropDuplicates()
-    log.append(("dedupe", "exact duplicate rows removed"))
-    step = type_repair(step)
-    log.append(("types", "string columns re-typed where values parse"))
-    step = auto_impute(step)
-    log.append(("missing", "median / mode imputation"))
+    before, n = quality_score_weighted(df).select("score").first()[0], df.count()
+    step = df.dropDuplicates().checkpoint()
+    removed = n - step.count()
+    if removed:
+        log.append(("dedupe", "*", removed, "repeated rows removed"))
+    typed = type_repair(step)
+    log += [("types", f.name, n - removed, f"{step.schema[f.name].dataType.simpleString()} to {f.dataType.simpleString()}")
+            for f in typed.schema.fields if f.dataType != step.schema[f.name].dataType]
+    log += [("missing", r["column"], r["missing"], r["strategy"]) for r in impute_plan(typed, aggressive).collect()
+            if r["strategy"] != "ffill+bfill" or order]
+    step = auto_impute(typed, order=order, aggressive=aggressive).checkpoint()
     nums = [f.name for f in step.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    step = cap_outliers(step, nums)
-    log.append(("outliers", "capped to [p1, p99] where 0 < share < 10 %"))
+    capped = cap_outliers(step, nums) if nums else step
+    step = enrich(capped)
+    log += [("enrich", c, n - removed, "derived") for c in step.columns if c not in capped.columns]
     after = quality_score_weighted(step).select("score").first()[0]
-    log.append(("score", f"{before:.4f} -> {after:.4f}"))
-    return step, spark.createDataFrame(log, "step string, detail string")
-
+    log.append(("score", "*", n - removed, f"{before:.4f} -> {after:.4f}"))
+    return step, spark.createDataFrame(log, FIX_LOG)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.plans.distributed import global_rank, stats_scalar, top_k_per_group
+from kestrel.plans.distributed import carry_last, global_rank, stats_scalar, top_k_per_group
 
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
@@ -298,25 +298,13 @@ def fill(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str] = (
          direction: str = "forward", out: str | None = None) -> DataFrame:
     """Forward (or backward) fill within each group.
 
-    A running count of non-null values numbers every row with the index of
-    the last non-null value at or before it; the value is fetched with an
-    equi-join on that index (unique among non-null rows) and kept only when it
-    belongs to the same group.  Backward fill is the same on reversed order.
+    The last value is carried from task to task of a range scan (``carry_last``), so neither
+    a long group nor a long run without values meets in one task.  ``order`` is unique within
+    a group.  Backward fill is the same on reversed order.
     """
-    by = list(by)
     out = out or column
     o = [F.asc(c) for c in order] if direction == "forward" else [F.desc(c) for c in order]
-    base = df.withColumn("_src", F.col(column)).withColumn(
-        "_nn", F.when(F.col(column).isNotNull(), 1.0).otherwise(0.0))
-    r = global_rank(base, [*_cols(by), *o], out="_rn", running={"_nn": "_cnt"})
-    vals = r.where(F.col("_src").isNotNull()).select("_cnt", *[F.col(b).alias("_b_" + b) for b in by],
-                                                     F.col("_src").alias("_fillv"))
-    j = r.join(vals, "_cnt", "left")
-    same = F.lit(True)
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col("_b_" + b))
-    res = j.withColumn(out, F.coalesce(F.col("_src"), F.when(same, F.col("_fillv"))))
-    return res.drop("_src", "_nn", "_rn", "_cnt", "_fillv", *["_b_" + b for b in by])
+    return carry_last(df, by, o, column, "_filled").withColumn(out, F.col("_filled")).drop("_filled")
 
 
 def last_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

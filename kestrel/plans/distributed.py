@@ -214,6 +214,69 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                                for i, n in enumerate(names)])
 
 
+def carry_last(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str, out: str,
+               partitions: int | None = None) -> DataFrame:
+    """``out``: the last non-null ``value`` at or before each row, in ``order`` (unique) within ``by``.
+
+    A group may spread over any number of tasks of the range scan.  Inside one task the value
+    comes from a window over (task, group); what earlier tasks hand on is a table of at most one
+    row per task (only a task's first group can have begun before it), which is broadcast.  Null
+    keys form a group of their own; rows before the first value have null.
+    """
+    by = list(by)
+    scan = range_scan(df, [*by, *order], partitions=partitions)
+    inside = Window.partitionBy("_pid", *by).orderBy("_loc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = scan.groupBy("_pid", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_loc"))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    handed = per.select(F.col("_pid").alias("_c_pid"), *[F.col(b).alias("_k_" + b) for b in by],
+                        F.last("_last", ignorenulls=True).over(before).alias("_before")).where(F.col("_before").isNotNull())
+    cond = F.col("_pid") == F.col("_c_pid")
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col("_k_" + b))
+    here = scan.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
+    res = here.join(F.broadcast(handed), cond, "left")  # <= one row per task
+    return res.withColumn(out, F.coalesce("_here", "_before")).drop(
+        "_pid", "_loc", "_here", "_before", "_c_pid", *["_k_" + b for b in by])
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, rows, nulls, distinct) for every column, one row each, zeros for an empty table.
+
+    The table is unpivoted into (column, value) and counted by both, a partial aggregate, so rows
+    are read once and neither a column's values nor a frequent value meet in one task.  Values
+    are told apart by their text (columns of arrays, maps and structs by their JSON text).
+    """
+    plain = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+    columns = list(columns)
+    items = []
+    for c in columns:
+        kind, x = df.schema[c].dataType, F.col(f"`{c}`")
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            text = (x + F.lit(0.0).cast(kind)).cast("string")  # -0.0 is 0.0
+        elif isinstance(kind, T.BinaryType):
+            text = F.hex(x)
+        else:
+            text = x.cast("string") if isinstance(kind, plain) else F.when(x.isNotNull(), F.to_json(F.struct(x)))
+        items.append(F.struct(F.lit(c).alias("column"), text.alias("value")))
+    kinds = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    if not items:
+        return kinds.selectExpr("column", "0L AS rows", "0L AS nulls", "0L AS distinct")
+    counts = df.select(F.explode(F.array(*items)).alias("kv")).groupBy("kv.column", "kv.value").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
+                                       F.count("value").alias("distinct"))
+    zero = F.lit(0).cast("long")
+    return kinds.join(per, "column", "left").select("column", *[F.coalesce(c, zero).alias(c) for c in ("rows", "nulls", "distinct")])
+
+
+def distinct_scalars(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The distinct counts of ``columns`` as scalars, to join what one aggregate gives."""
+    names = [f"d{i}" for i in range(len(columns))]
+    wide = [F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0).cast("long")).alias(n)
+            for c, n in zip(columns, names)]
+    found = stats_scalar(distinct_counts(df, columns).agg(*wide)) if wide else None
+    return [found[n] for n in names]
+
+
 def stats_scalar(stats: DataFrame) -> Column:
     """Turn a one-row statistics DataFrame into a struct scalar subquery.
 
