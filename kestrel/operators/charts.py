@@ -126,7 +126,7 @@ def confidence_band(df: DataFrame, value: str, order: Sequence[str], points: int
     r = global_rank(df.select(*order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")), list(order), out="_rn")
     n = r.agg(F.count(F.lit(1))).scalar()
     used = F.least(F.lit(points), n)
-    run = F.floor((F.col("_rn") - 1) / F.greatest(F.lit(1), F.floor(n / used))).cast("int") + 1
+    run = F.floor((F.col("_rn") - 1) / F.greatest(F.lit(1), F.floor(F.try_divide(n, used)))).cast("int") + 1
     g = r.withColumn("point", run).where(F.col("point") <= used).groupBy("point").agg(
         F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("_sd"))
     return g.select("point", "mean", (F.col("mean") - F.col("_sd")).alias("lower"), (F.col("mean") + F.col("_sd")).alias("upper"))

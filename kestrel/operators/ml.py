@@ -17,9 +17,10 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEval
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.windows import ranked
 from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar
 
 SEED = 42
@@ -28,12 +29,14 @@ SEED = 42
 def split(df: DataFrame, key: Sequence[str], test: float = 0.2, label: str | None = None, seed: int = SEED) -> DataFrame:
     """``is_test`` flag from a seeded hash of the key (stable across
     reruns); stratified when ``label`` is given (the hash is ranked inside
-    each class, so every class keeps its share)."""
+    each class on a range scan, so every class keeps its share and none is one task)."""
     h = F.abs(F.xxhash64(F.lit(seed), *[F.col(k) for k in key])) % 1_000_000 / 1_000_000.0
     if label is None:
         return df.withColumn("is_test", h < test)
-    w = Window.partitionBy(label).orderBy(h, *key)
-    return df.withColumn("_pr", F.percent_rank().over(w)).withColumn("is_test", F.col("_pr") < test).drop("_pr")
+    cls = F.to_json(F.struct(F.col(label).alias("l")))  # a class of its own for rows without a label
+    r = ranked(df.withColumns({"_cls": cls, "_h": h}), ["_h", *key], by=["_cls"])
+    place = (F.col("_rn") - F.col("_g0") - 1) / F.greatest(F.col("_gn") - 1, F.lit(1))
+    return r.select(*df.columns, (place < test).alias("is_test"))
 
 
 def assembler(features: Sequence[str], scale: str | None = "standard") -> list:

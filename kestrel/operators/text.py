@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.scalars import any_of
 from kestrel.plans.distributed import global_rank
 
 # ---------------------------------------------------------------------------
@@ -311,6 +312,37 @@ def pattern_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# fixed values: patterns of the mentions to find, matched without regard to case
+SPAN_PATTERNS = {
+    "money": [r"\$[\d,]+\.?\d*", r"₹[\d,]+\.?\d*", r"€[\d,]+\.?\d*", r"£[\d,]+\.?\d*",
+              r"\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:dollars?|USD|rupees?|INR|euros?|EUR)\b"],
+    "percentage": [r"\b\d+(?:\.\d+)?%", r"\b\d+(?:\.\d+)?\s*percent\b"],
+    "date": [r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}/\d{2}/\d{4}\b",
+             r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s*\d{4}\b", r"\bQ[1-4]\s*\d{4}\b",
+             r"\b(?:last|next|this)\s+(?:week|month|year|quarter)\b"],
+    "quantity": [r"\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:units?|items?|pieces?|orders?)\b"],
+}
+
+
+def entity_spans(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, entity, start, end, value) of every money, percentage, date and quantity
+    mention, in code points, end exclusive; the matches of one pattern do not overlap, those of
+    different ones may.  One scan, texts pass Python in Arrow batches, no shuffle.  A null or
+    empty text has none; a long text is read whole."""
+    schema = T.StructType([T.StructField("_k", df.schema[key].dataType), T.StructField("entity", T.StringType()),
+                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
+    forms = [(kind, p) for kind, patterns in SPAN_PATTERNS.items() for p in patterns]
+
+    def spans(batches):
+        compiled = [(kind, re.compile(p, re.IGNORECASE)) for kind, p in forms]
+        for pdf in batches:
+            rows = [(k, kind, m.start(), m.end(), m.group()) for k, t in zip(pdf["_k"], pdf["_t"]) if isinstance(t, str)
+                    for kind, p in compiled for m in p.finditer(t)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(spans, schema).withColumnRenamed("_k", key)
+
+
 def column_mentions(df: DataFrame, text: str, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Per row and column the first of the name's forms (as is, with '_' as space, with
     '_' removed) that the lower-case text holds, with its 1-based offset and its end; rows
@@ -363,6 +395,38 @@ def grounding(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role: s
                     F.when(score >= 0.8, "grounded").when(score >= 0.5, "partial").otherwise("ungrounded").alias("verdict"))
 
 
+def grounding_in_context(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """For each assistant turn the numbers and names it claims that an earlier turn of the
+    conversation, whoever spoke, holds.
+
+    A claim is a distinct number (``k``, ``m``, ``b`` read as factors, equal to the cent) or a
+    capitalised word of over three letters after a lower-case letter or a comma.  The context is
+    never put together: each (conversation, claim) is looked up in one table of the turn that
+    first held it, an equi-join of counts' size, so a long conversation spreads over tasks.
+    ``confidence`` is the whole percentage supported, 70 without a claim, 0 for a null or empty
+    answer or without an earlier text; from 50 it is ``grounded``, below 60 there is a
+    ``warning`` (``low`` under 30) if a claim lacks support.  Turns are unique in a conversation.
+    """
+    t = conv.select(key, turn, role, F.coalesce(text, F.lit("")).alias("_t"))
+    nums = F.transform(F.filter(extract_numbers("_t"), lambda x: x.isNotNull()), lambda x: F.format_string("%.2f", x))
+    words = F.transform(F.regexp_extract_all("_t", F.lit(r"[a-z,]\s([A-Z][a-z]{3,})"), 1), F.lower)
+    any_word = F.regexp_extract_all(F.lower("_t"), F.lit(r"([a-z]{4,})"), 1)
+    claims = t.where(F.col(role) == "assistant").select(key, turn, F.explode(F.array_distinct(F.concat(nums, words))).alias("claim"))
+    first = t.select(key, turn, F.explode(F.array_distinct(F.concat(nums, any_word))).alias("claim")).groupBy(key, "claim").agg(
+        F.min(turn).alias("_first"))
+    begun = t.where(F.col("_t") != "").groupBy(key).agg(F.min(turn).alias("_begun"))
+    per = claims.join(first, [key, "claim"], "left").groupBy(key, turn).agg(
+        F.count(F.lit(1)).alias("claims"), F.count_if(F.col("_first") < F.col(turn)).alias("supported"))
+    a = t.where(F.col(role) == "assistant").join(per, [key, turn], "left").join(begun, key, "left")
+    n, ok = (F.coalesce(c, F.lit(0).cast("long")) for c in ("claims", "supported"))
+    asked = (F.col("_t") != "") & F.coalesce(F.col("_begun") < F.col(turn), F.lit(False))
+    conf = F.when(~asked, 0).when(n == 0, 70).otherwise(F.floor(F.try_divide(ok * 100, n))).cast("int")
+    out = a.select(key, turn, n.alias("claims"), ok.alias("supported"), conf.alias("confidence"))
+    lacking = F.col("supported") < F.col("claims")
+    return out.withColumns({"grounded": F.col("confidence") >= 50, "warning": F.when(
+        lacking & (F.col("confidence") < 30), "low").when(lacking & (F.col("confidence") < 60), "some")})
+
+
 def injection_flag(c) -> dict[str, Column]:
     """Flag when any pattern matches (case-insensitive) and the first
     matching pattern in list order."""
@@ -400,6 +464,54 @@ def user_facts(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role:
                     F.array_sort(F.transform("_last", lambda s: s["t"])).alias("last_user_turns"))
 
 
+# fixed values: what a user turn speaks of, by words its text holds
+TOPIC_WORDS = {
+    "revenue": ["revenue", "sales", "income"],
+    "customers": ["customer", "client", "buyer"],
+    "products": ["product", "item", "sku"],
+    "trends": ["trend", "growth", "forecast", "predict"],
+    "comparison": ["compare", "versus", "vs", "difference"],
+    "metrics": ["kpi", "margin", "profit", "roi", "cost"],
+    "segments": ["region", "country", "state", "market", "segment"],
+}
+
+
+def user_topics(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conversation, topic, first_turn, last_turn, turns) of the topics its user turns speak
+    of.  At most seven rows a conversation, partially aggregated; a null text speaks of nothing."""
+    low = F.lower(F.col(text))
+    hits = F.array(*[F.when(any_of([low.contains(w) for w in words]), F.lit(topic)) for topic, words in TOPIC_WORDS.items()])
+    u = conv.where(F.col(role) == "user").select(key, turn, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("topic"))
+    return u.groupBy(key, "topic").agg(F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"), F.count(F.lit(1)).alias("turns"))
+
+
+def tfidf_terms(df: DataFrame, text: str, key: str, vocab: int = 300, min_df: int = 2, max_df: float = 0.9, ngram: int = 2) -> DataFrame:
+    """(key, term, tf, weight): TF-IDF over words of two characters and more, lower-case,
+    and runs of up to ``ngram`` of them.
+
+    Terms in at least ``min_df`` and at most ``max_df`` of all rows count; the ``vocab`` most
+    frequent of them (ties by term) are the vocabulary.  Weight: (1 + ln tf) x (1 + ln((1 + n) /
+    (1 + df))), scaled to length 1 a row.  A row is a (row, term) pair throughout: counts are
+    added up before they are shuffled, only the vocabulary, of a fixed size, is broadcast.  Rows
+    without a term of the vocabulary, null and empty texts among them, have none; rows with the
+    same key count as one, rows without a key are left out."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    base = df.where(F.col(key).isNotNull()).select(key, words.alias("_w"))
+    runs = [F.col("_w")]
+    for n in range(2, ngram + 1):
+        runs.append(F.when(F.size("_w") >= n, F.transform(
+            F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(
+            F.array().cast("array<string>")))
+    tf = base.select(key, F.explode(F.concat(*runs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.agg(F.count_distinct(key)).scalar()
+    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
+    top = freq.where((F.col("df") >= min_df) & (F.col("df") <= max_df * rows)).orderBy(F.desc("_total"), F.asc("term")).limit(vocab)
+    idf = 1 + F.log((1 + rows) / (1 + F.col("df")))
+    raw = tf.join(F.broadcast(top.select("term", idf.alias("_idf"))), "term").withColumn("_raw", (1 + F.log("tf")) * F.col("_idf"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
+    return raw.join(norm, key).select(key, "term", "tf", (F.col("_raw") / F.col("_norm")).alias("weight"))
+
+
 def term_relevance(df: DataFrame, text: str, query: str) -> Column:
     """Share of distinct query terms present in the text."""
     q = sorted({w for w in re.split(r"[^\w]+", query.lower()) if w})
