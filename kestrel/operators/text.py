@@ -497,11 +497,11 @@ def tfidf_terms(df: DataFrame, text: str, key: str, vocab: int = 300, min_df: in
     same key count as one, rows without a key are left out."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     base = df.where(F.col(key).isNotNull()).select(key, words.alias("_w"))
+
     runs = [F.col("_w")]
-    for n in range(2, ngram + 1):
-        runs.append(F.when(F.size("_w") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(
-            F.array().cast("array<string>")))
+    for n in range(2, ngram + 1):  # a run of n is a run of n - 1 and the word after it
+        left = F.greatest(F.size("_w") - (n - 1), F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], 1, left), F.slice("_w", n, left), lambda a, b: F.concat(a, F.lit(" "), b)))
     tf = base.select(key, F.explode(F.concat(*runs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = df.agg(F.count_distinct(key)).scalar()
     freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
