@@ -166,7 +166,9 @@ def parse_mixed_date(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that parses wins (ambiguous d/m vs m/d follow the
     list order); unparseable -> null."""
     s = F.trim(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    first = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    # a failing parse is dear, and each of the usual forms has two groups of digits
+    return F.when(s.rlike(r"\d\D+\d"), first) if formats is DATE_FORMATS else first
 
 
 def normalize_date_string(c, out_format: str = "yyyy-MM-dd", formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -34,11 +34,11 @@ def funnel(df: DataFrame, stage: str, top: int = 6) -> DataFrame:
 
 
 def waterfall(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Q5: category totals with the running total before / after each bar
-    (categories are a bounded set)."""
+    """Q5: category totals with the running total before / after each bar, running on a range
+    scan, so the categories may be many."""
     g = df.groupBy(category).agg(F.sum(value).alias("delta"))
-    w = Window.orderBy(category).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("end", F.sum("delta").over(w)).withColumn("start", F.col("end") - F.col("delta"))
+    r = global_rank(g, [category], out="_rn", running={"delta": "end"}).drop("_rn")
+    return r.withColumn("start", F.col("end") - F.col("delta"))
 
 
 def radar(df: DataFrame, item: str, metrics: Sequence[str], top: int = 3) -> DataFrame:

@@ -360,15 +360,19 @@ def top_n(df: DataFrame, value: str, n: int, tie_breaker: Sequence[str], largest
     return df.orderBy(o, *[F.asc(t) for t in tie_breaker]).limit(n)
 
 
-def sort_by_parsed(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
-    """order by the currency-stripped numeric value of a string column."""
+def sort_by_parsed(df: DataFrame, column: str, descending: bool = True, tie_breaker: Sequence[str] = ()) -> DataFrame:
+    """order by the currency-stripped numeric value of a string column, equal values by
+    ``tie_breaker``, values that are no number last."""
     key = scalars.clean_numeric(F.col(column))
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *[F.asc(c) for c in tie_breaker])
 
 
-def preview(df: DataFrame, rows: int = 100, columns: int = 7) -> DataFrame:
-    """first ``rows`` rows of the first ``columns`` columns."""
-    return df.select(*df.columns[:columns]).limit(rows)
+def preview(df: DataFrame, rows: int = 100, columns: int = 7, order: Sequence[str] = ()) -> DataFrame:
+    """first ``rows`` rows of the first ``columns`` columns, by ``order`` and then by the
+    columns shown; without an order any rows (a table has none of its own)."""
+    shown = df.columns[:columns]
+    picked = df.orderBy(*order, *[c for c in shown if c not in order]) if order else df
+    return picked.limit(rows).select(*shown)
 
 
 # ---------------------------------------------------------------- G: set operations

@@ -189,6 +189,37 @@ def kmeans_choose_k(df: DataFrame, features: Sequence[str], ks: Sequence[int] =
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
 
 
+def bin_edges(df: DataFrame, column: str, n_bins: int = 10, strategy: str = "quantile") -> list[float]:
+    """Ascending distinct edges of at most ``n_bins`` bins: exact quantiles (from a range
+    scan), equal widths, or halfway between the centres of a one-dimensional k-means, the first
+    and last edge being the minimum and maximum.  Nothing for a column without a value."""
+    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if ends["lo"] is None:
+        return []
+    if strategy == "quantile":
+        names = [f"e{i}" for i in range(n_bins + 1)]
+        row = exact_quantiles(x, "x", [i / n_bins for i in range(n_bins + 1)], names=names).first()
+        edges = [row[n] for n in names]
+    elif strategy == "uniform":
+        width = (ends["hi"] - ends["lo"]) / n_bins
+        edges = [ends["lo"] + i * width for i in range(n_bins)] + [ends["hi"]]
+    elif strategy == "kmeans":
+        model = Pipeline(stages=[Fe.VectorAssembler(inputCols=["x"], outputCol="features"), K.KMeans(k=n_bins, seed=SEED)]).fit(x)
+        centres = sorted(float(c[0]) for c in model.stages[-1].clusterCenters())
+        edges = [ends["lo"], *[(a + b) / 2 for a, b in zip(centres, centres[1:])], ends["hi"]]
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    return sorted(set(edges))
+
+
+def bin_column(df: DataFrame, column: str, edges: Sequence[float], out: str = "bin") -> DataFrame:
+    """``out``: how many inner edges are at or below the value (bin 0, 1, ...); null stays null."""
+    x = F.col(column).cast("double")
+    inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]]).cast("array<double>")
+    return df.withColumn(out, F.when(x.isNotNull(), F.size(F.filter(inner, lambda e: e <= x))))
+
+
 def cluster(df: DataFrame, features: Sequence[str], k: int, method: str = "kmeans") -> DataFrame:
     """K-means / Gaussian mixture / bisecting k-means assignments."""
     est = {"kmeans": K.KMeans(k=k, seed=SEED), "gmm": K.GaussianMixture(k=k, seed=SEED),

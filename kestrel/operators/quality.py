@@ -229,14 +229,24 @@ def cap_outliers(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upp
                  max_pct: float = 10.0) -> DataFrame:
     """I16: clip a column to [p1, p99] when its share of rows outside that
     range is above 0 and below ``max_pct``; otherwise leave it."""
-    out = df
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = stats_scalar(exact_quantiles(df, c, [lower, upper], names=["lo", "hi"]))
-        share = df.agg(F.avg(F.when(x.isNotNull(), ((x < q["lo"]) | (x > q["hi"])).cast("double"))) * 100).scalar()
-        capped = F.greatest(F.least(x, q["hi"]), q["lo"])
-        out = out.withColumn(c, F.when((share > 0) & (share < max_pct), capped).otherwise(F.col(c)))
-    return out
+    bounds = _column_quantiles(df, columns, [lower, upper])
+    if not bounds:
+        return df
+    outside = [F.avg(((F.col(c).cast("double") < lo) | (F.col(c).cast("double") > hi)).cast("double")).alias(c)
+               for c, (lo, hi) in bounds.items()]
+    share = df.agg(*outside).first()  # one row of shares
+    return df.withColumns({c: F.greatest(F.least(F.col(c).cast("double"), F.lit(hi)), F.lit(lo))
+                           for c, (lo, hi) in bounds.items() if 0 < (share[c] or 0) * 100 < max_pct})
+
+
+def _column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles of numeric columns, all from one range scan; a row per column reaches the
+    driver, none for a column without a value."""
+    if not columns:
+        return {}
+    names = [f"q{i}" for i in range(len(probs))]
+    q = exact_quantiles(_long_numeric(df, columns), "x", probs, by=["column"], names=names)
+    return {r["column"]: [r[n] for n in names] for r in q.collect()}
 
 
 def impute(df: DataFrame, strategies: Mapping[str, str], order: Sequence[str] | None = None,
@@ -245,12 +255,12 @@ def impute(df: DataFrame, strategies: Mapping[str, str], order: Sequence[str] |
     from kestrel.operators.aggregate import mode as mode_op
     from kestrel.operators.windows import fill
     out = df
+    medians = _column_quantiles(df, [c for c, how in strategies.items() if how == "median"], [0.5])
     for c, how in strategies.items():
         if how == "mean":
             out = out.withColumn(c, F.coalesce(F.col(c), df.agg(F.avg(c)).scalar()))
         elif how == "median":
-            med = stats_scalar(exact_quantiles(df, c, [0.5], names=["m"]))["m"]
-            out = out.withColumn(c, F.coalesce(F.col(c), med.cast(df.schema[c].dataType)))
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(medians.get(c, [None])[0]).cast(df.schema[c].dataType)))
         elif how == "mode":
             m = mode_op(df, c).select("mode").scalar()
             out = out.withColumn(c, F.coalesce(F.col(c), m))
@@ -291,11 +301,9 @@ def auto_impute(df: DataFrame, skip_pct: float = 50.0, order: Sequence[str] | No
 def replace_inf_drop_constant(df: DataFrame) -> DataFrame:
     """±inf -> column median; constant columns dropped."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    out = df
-    for c in cols:
-        finite = df.where(~F.col(c).isin(float("inf"), float("-inf")))
-        med = stats_scalar(exact_quantiles(finite, c, [0.5], names=["m"]))["m"]
-        out = out.withColumn(c, F.when(F.col(c).isin(float("inf"), float("-inf")), med).otherwise(F.col(c)))
+    endless = {c: F.col(c).isin(float("inf"), float("-inf")) for c in cols}
+    medians = _column_quantiles(df.select(*[F.when(~e, F.col(c)).alias(c) for c, e in endless.items()]), cols, [0.5])
+    out = df.withColumns({c: F.when(e, F.lit(medians.get(c, [None])[0])).otherwise(F.col(c)) for c, e in endless.items()})
     found = distinct_counts(df, df.columns).where(F.col("distinct") <= 1).collect()  # one row per column
     return out.drop(*[r["column"] for r in found])
 

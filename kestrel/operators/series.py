@@ -70,15 +70,15 @@ def linear_forecast(p: DataFrame, horizon: int = 6, by: Sequence[str] = (), leve
 
 def exp_blend_forecast(p: DataFrame, horizon: int = 6, alpha: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
     """L4: linear predictions smoothed from the last value:
-    s_i = alpha * lin_i + (1 - alpha) * s_{i-1}, s_0 = last; floored at 0."""
+    s_i = max(0, alpha * lin_i + (1 - alpha) * s_{i-1}), s_0 = last; the floored value goes on."""
     f = _fit(p, by)
     lin = F.transform(F.sequence(F.lit(1), F.lit(horizon)),
                       lambda i: F.col("intercept") + F.col("slope") * (F.col("n") - 1 + i))
     sm = F.aggregate(lin, F.array().cast("array<double>"),
-                     lambda acc, v: F.concat(acc, F.array(
-                         alpha * v + (1 - alpha) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("last")))))
+                     lambda acc, v: F.concat(acc, F.array(F.greatest(F.lit(0.0), alpha * v + (1 - alpha) * F.coalesce(
+                         F.try_element_at(acc, F.lit(-1)), F.col("last"))))))
     out = f.select(*by, F.posexplode(sm).alias("pos", "v"))
-    return out.select(*by, (F.col("pos") + 1).alias("step"), F.greatest(F.lit(0.0), F.col("v")).alias("forecast"))
+    return out.select(*by, (F.col("pos") + 1).alias("step"), F.col("v").alias("forecast"))
 
 
 def band_forecast(p: DataFrame, horizon: int = 6, by: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +95,7 @@ def choose_model(p: DataFrame, by: Sequence[str] = (), seasonal: DataFrame | Non
     """>= 24 points and seasonal -> holt_winters, >= 10 -> linear, >= 3 -> drift, else naive."""
     f = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     if seasonal is not None:
-        f = f.join(seasonal, list(by), "left") if by else f.crossJoin(seasonal)
+        f = f.join(seasonal, list(by), "left") if by else f.withColumn("seasonal", seasonal.select("seasonal").scalar())
     else:
         f = f.withColumn("seasonal", F.lit(False))
     s = F.coalesce(F.col("seasonal"), F.lit(False))

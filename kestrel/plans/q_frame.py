@@ -220,7 +220,7 @@ def f02_top_n_ties(spark, sf):
 @query("f03_sort_by_parsed", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def f03_sort_by_parsed(spark, sf):
     o = Tables(spark, sf).orders.withColumn("price_text", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
-    return frame.sort_by_parsed(o, "price_text").limit(20).select("o_orderkey", "o_totalprice")
+    return frame.sort_by_parsed(o, "price_text", tie_breaker=["o_orderkey"]).limit(20).select("o_orderkey", "o_totalprice")
 
 
 @query("f04_preview")

@@ -31,4 +31,4 @@ def load_all() -> None:
     """Import every query module so that the decorators run."""
     from kestrel.plans import (  # noqa: F401
         q_sources, q_frame, q_aggregate, q_windows, q_scalars, q_quality, q_kpi, q_graph, q_text, q_vectors, q_ml, q_models, q_charts, q_stream,
-        q_reports, q_evidence, q_repair, q_depth)
+        q_reports, q_evidence, q_repair, q_depth, q_rest)

@@ -100,3 +100,26 @@ def test_term_weights_against_plain_python(spark):
         for t, v in raw.items():
             assert got.pop((i, t)) == pytest.approx(v / size)
     assert not got
+
+
+def test_bins_by_three_strategies(spark):
+    d = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, 50.0, 51.0, 100.0)] + [(None,)], "x double")
+    assert ml.bin_edges(d, "x", 2, "uniform") == [0.0, 50.0, 100.0] and ml.bin_edges(d, "x", 2) == [0.0, 26.0, 100.0]
+    edges = ml.bin_edges(d, "x", 3, "kmeans")
+    got = {r.x: r.bin for r in ml.bin_column(d, "x", edges).collect()}
+    assert [got[x] for x in (0.0, 1.0, 2.0, 50.0, 51.0, 100.0, None)] == [0, 0, 0, 1, 1, 2, None]
+    assert ml.bin_edges(d.limit(0), "x") == [] and ml.bin_edges(d.where("x = 1"), "x", 4) == [1.0]
+    assert {r.bin for r in ml.bin_column(d.where("x = 1"), "x", [1.0]).collect()} == {0}
+
+
+def test_the_floored_forecast_goes_on(spark):
+    p = spark.createDataFrame([(0, 30.0), (1, 20.0), (2, 10.0), (3, 0.0)], "t int, y double")
+    from kestrel.operators import series
+    assert [r.forecast for r in series.exp_blend_forecast(p, 3).orderBy("step").collect()] == [0.0, 0.0, 0.0]
+
+
+def test_preview_and_parsed_order(spark):
+    from kestrel.operators import frame
+    d = spark.createDataFrame([(3, "$1,000"), (2, "$5"), (1, "$5"), (4, "none")], "k int, v string")
+    assert [r.k for r in frame.sort_by_parsed(d, "v", tie_breaker=["k"]).collect()] == [3, 1, 2, 4]
+    assert [r.k for r in frame.preview(d, 2, 1, order=["v"]).collect()] == [3, 1]

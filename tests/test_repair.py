@@ -107,3 +107,14 @@ def test_auto_fix_log_and_enrichment(spark):
     assert got[("dedupe", "*")] == 1 and got[("enrich", "sale_year")] == 20 and got[("enrich", "total_value")] == 20
     monday = fixed.where("id = 0").first()
     assert (monday.sale_day_of_week, monday.sale_is_weekend, fixed.count()) == (0, False, 20)
+
+
+def test_all_columns_are_capped_and_filled_from_one_scan(spark):
+    d = spark.createDataFrame([(float(i), 1.0, None if i == 0 else float(i % 2)) for i in range(101)] + [(1e6, 1.0, float("inf"))],
+                              "a double, b double, c double")
+    got = quality.cap_outliers(d, ["a", "b"]).agg(F.max("a").alias("a"), F.max("b").alias("b")).first()
+    assert got.a < 100 and got.b == 1.0
+    assert quality.replace_inf_drop_constant(d).columns == ["a", "c"]
+    assert quality.impute(d.limit(0), {"a": "median"}).collect() == []
+    none = spark.createDataFrame([(None,), (None,)], "x double")
+    assert [r.x for r in quality.impute(quality.cap_outliers(none, ["x"]), {"x": "median"}).collect()] == [None, None]
