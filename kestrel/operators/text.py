@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.scalars import any_of
-from kestrel.plans.distributed import global_rank
+from kestrel.plans.distributed import global_rank, written
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -485,31 +485,82 @@ def user_topics(conv: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return u.groupBy(key, "topic").agg(F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"), F.count(F.lit(1)).alias("turns"))
 
 
+def _word_runs(words: str, ngram: int) -> Column:
+    """Runs of 1 to ``ngram`` words of an array column, joined by spaces."""
+    runs = [F.col(words)]
+    for n in range(2, ngram + 1):  # a run of n is a run of n - 1 and the word after it
+        left = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], 1, left), F.slice(words, n, left), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.concat(*runs)
+
+
+def _counted(rows: DataFrame, terms: Column, many: DataFrame | None = None) -> DataFrame:
+    """(term, _total, df): occurrences and rows of each term; with ``many`` only of terms whose ends
+    are among its words.  A row tells its terms once more without repeats, so counting is a partial
+    aggregate by term alone and no (row, term) pair is shuffled."""
+    both = rows.select(terms.alias("_t")).select(F.explode(F.array(
+        F.struct(F.col("_t").alias("t"), F.lit(1).alias("n")), F.struct(F.array_distinct("_t").alias("t"), F.lit(0).alias("n")))).alias("e"))
+    long = _among(both.select(F.explode("e.t").alias("term"), F.col("e.n").alias("n")), many)
+    return long.groupBy("term").agg(F.sum("n").alias("_total"), F.sum(1 - F.col("n")).alias("df"))
+
+
+def _among(long: DataFrame, many: DataFrame | None) -> DataFrame:
+    for place in (1, -1) if many is not None else ():
+        end = many.select(F.col("term").alias("_end"))
+        long = long.join(end, F.substring_index("term", " ", place) == F.col("_end"), "left_semi")
+    return long
+
+
+def frequent_terms(rows: DataFrame, words: str, vocab: int, min_df: float, max_df: float, ngram: int,
+                   key: str | None = None) -> DataFrame:
+    """(term, df, _total) of the ``vocab`` most frequent runs of up to ``ngram`` words (ties by term)
+    in at least ``min_df`` and at most ``max_df`` rows; rows of the same ``key`` count as one.
+
+    Words are counted first.  A run occurs no oftener than any of its words, so once ``vocab`` words
+    are known to count, a run with a rarer word than the last of them cannot be among the most frequent,
+    and only runs between the other words are counted: exactly, and without a shuffle of all runs."""
+    sizes = rows.agg(F.count(F.lit(1)).alias("all"), (F.count_distinct(key) if key else F.count(F.lit(1))).alias("n")).first()
+    n, extra = sizes["n"], sizes["all"] - sizes["n"]  # rows that share their key with another
+    one = written(_counted(rows, _word_runs(words, 1)), "words")
+    sure = one.where((F.col("df") - extra >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("_total")).limit(vocab)
+    least = sure.agg(F.when(F.count(F.lit(1)) >= vocab, F.min("_total"))).first()[0] or 0
+    many = written(one.where(F.col("_total") >= least).select("term"), "frequent-words")
+    runs = _word_runs(words, ngram)
+    if extra:
+        again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+        shared = _among(rows.join(again, key, "left_semi").select(key, F.explode(runs).alias("term")), many)
+        shared = shared.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_total")).groupBy("term").agg(
+            F.sum("_total").alias("_total"), F.count(F.lit(1)).alias("df"))
+        freq = _counted(rows.join(again, key, "left_anti"), runs, many).unionByName(shared).groupBy("term").agg(
+            F.sum("_total").alias("_total"), F.sum("df").alias("df"))
+    else:
+        freq = _counted(rows, runs, many)
+    top = freq.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    return top.orderBy(F.desc("_total"), F.asc("term")).limit(vocab).select("term", "df", "_total")
+
+
 def tfidf_terms(df: DataFrame, text: str, key: str, vocab: int = 300, min_df: int = 2, max_df: float = 0.9, ngram: int = 2) -> DataFrame:
     """(key, term, tf, weight): TF-IDF over words of two characters and more, lower-case,
     and runs of up to ``ngram`` of them.
 
     Terms in at least ``min_df`` and at most ``max_df`` of all rows count; the ``vocab`` most
     frequent of them (ties by term) are the vocabulary.  Weight: (1 + ln tf) x (1 + ln((1 + n) /
-    (1 + df))), scaled to length 1 a row.  A row is a (row, term) pair throughout: counts are
-    added up before they are shuffled, only the vocabulary, of a fixed size, is broadcast.  Rows
-    without a term of the vocabulary, null and empty texts among them, have none; rows with the
-    same key count as one, rows without a key are left out."""
+    (1 + df))), scaled to length 1 a row.  Only the pairs of a row and a term of the vocabulary are
+    shuffled, only the vocabulary, of a fixed size, is broadcast.  Rows without a term of the vocabulary,
+    null and empty texts among them, have none; rows with the same key count as one, rows without a key
+    are left out."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     base = df.where(F.col(key).isNotNull()).select(key, words.alias("_w"))
-
-    runs = [F.col("_w")]
-    for n in range(2, ngram + 1):  # a run of n is a run of n - 1 and the word after it
-        left = F.greatest(F.size("_w") - (n - 1), F.lit(0))
-        runs.append(F.zip_with(F.slice(runs[-1], 1, left), F.slice("_w", n, left), lambda a, b: F.concat(a, F.lit(" "), b)))
-    tf = base.select(key, F.explode(F.concat(*runs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    top = written(frequent_terms(base, "_w", vocab, min_df, max_df, ngram, key), "vocabulary")
     rows = df.agg(F.count_distinct(key)).scalar()
-    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
-    top = freq.where((F.col("df") >= min_df) & (F.col("df") <= max_df * rows)).orderBy(F.desc("_total"), F.asc("term")).limit(vocab)
     idf = 1 + F.log((1 + rows) / (1 + F.col("df")))
-    raw = tf.join(F.broadcast(top.select("term", idf.alias("_idf"))), "term").withColumn("_raw", (1 + F.log("tf")) * F.col("_idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norm, key).select(key, "term", "tf", (F.col("_raw") / F.col("_norm")).alias("weight"))
+    long = base.select(key, F.explode(_word_runs("_w", ngram)).alias("term"))
+    tf = long.join(F.broadcast(top.select("term", "df")), "term").groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.withColumn("_raw", (1 + F.log("tf")) * idf)
+    found = raw.groupBy(key).agg(F.collect_list(F.struct("term", "tf", "_raw")).alias("_f"),  # at most ``vocab`` a row
+                                 F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
+    return found.select(key, "_norm", F.explode("_f").alias("f")).select(
+        key, "f.term", "f.tf", (F.col("f._raw") / F.col("_norm")).alias("weight"))
 
 
 def term_relevance(df: DataFrame, text: str, query: str) -> Column:
@@ -523,9 +574,11 @@ def tfidf(df: DataFrame, text: str, vocab: int = 500, min_df: float = 2.0, max_d
           k: int | None = None):
     """RegexTokenizer -> StopWordsRemover -> NGram (1..n merged) ->
     CountVectorizer(minDF, maxDF) -> IDF, optional PCA(k) (for SVD).  Returns
-    the fitted PipelineModel; ``transform`` adds ``features``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
+    the fitted PipelineModel; ``transform`` adds ``features``.  The vocabulary, which
+    CountVectorizer would count as all terms of all rows, is that of ``frequent_terms``: equally frequent terms in order,
+    not as they happen to arrive."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
     stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
               StopWordsRemover(inputCol="_tok", outputCol="_t1")]
     cols = ["_t1"]
@@ -533,11 +586,19 @@ def tfidf(df: DataFrame, text: str, vocab: int = 500, min_df: float = 2.0, max_d
         stages.append(NGram(n=n, inputCol="_t1", outputCol=f"_t{n}"))
         cols.append(f"_t{n}")
     stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(cols)}) AS _terms FROM __THIS__"))
-    stages += [CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab, minDF=min_df, maxDF=max_df),
-               IDF(inputCol="_tf", outputCol="features" if not k else "_tfidf")]
+    prep = Pipeline(stages=stages).fit(df)
+    terms = prep.transform(df)
+    n = df.count()
+    least, most = min_df if min_df >= 1 else min_df * n, max_df if max_df < 1 else max_df / n
+    top = frequent_terms(terms.select("_t1"), "_t1", vocab, least, most, ngram).collect()  # of a fixed size
+    if not top:
+        raise ValueError("no term is in enough rows: lower min_df")
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in sorted(top, key=lambda r: (-r["_total"], r["term"]))],
+                                                  inputCol="_terms", outputCol="_tf")
+    last = [IDF(inputCol="_tf", outputCol="features" if not k else "_tfidf")]
     if k:
-        stages.append(PCA(k=k, inputCol="_tfidf", outputCol="features"))
-    return Pipeline(stages=stages).fit(df)
+        last.append(PCA(k=k, inputCol="_tfidf", outputCol="features"))
+    return PipelineModel([*prep.stages, *[counts], *Pipeline(stages=last).fit(counts.transform(terms)).stages])
 
 
 # ------------------------------------------------------------- HTML pages

@@ -27,11 +27,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.session import checkpoint_dir
+from kestrel.session import checkpoint_dir, scratch_path
 
 _LOC_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what reads it several times: the joins before it
+    run once, later reads take only the columns they need, and a lost executor re-reads."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kestrel.operators import frame
+from kestrel.operators import text as X
 
 
 def test_join_of_repeated_keys_is_dealt_among_tasks(spark):
@@ -14,3 +15,35 @@ def test_join_of_repeated_keys_is_dealt_among_tasks(spark):
     assert got.count() == 200 * 50
     wide = frame.join_tables(left, F.broadcast(right), ["k"], ["k"], spread=True)
     assert wide.rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def test_terms_counted_by_words_first(spark):
+    """Runs of rare words are left out of the count; the vocabulary is that of all runs."""
+    from collections import Counter
+    texts = {i: " ".join(f"w{(i * j) % 7}" for j in range(1, 30)) + f" only{i} rare{i % 9} rare{i % 5}" for i in range(40)}
+    rows = [*texts.items(), (3, "w1 w1 w2 twice"), (3, "twice w1 w2"), (None, "w1"), (41, None)]  # a key of three rows, none, no text
+    d = spark.createDataFrame(rows, "k long, text string")
+    words = d.where("k IS NOT NULL").selectExpr("k", "split(coalesce(text, ''), ' ') AS w")
+    for vocab in (5, 12, 1000):  # with 1000 there are fewer terms than asked for
+        total, keys = Counter(), {}
+        for k, t in rows:
+            w = (t or "").split(" ") if k is not None else []
+            for term in [*w, *(a + " " + b for a, b in zip(w, w[1:]))]:
+                total[term] += 1
+                keys.setdefault(term, set()).add(k)
+        want = sorted(((t, len(keys[t]), c) for t, c in total.items() if 2 <= len(keys[t]) <= 0.9 * 41), key=lambda r: (-r[2], r[0]))[:vocab]
+        got = [tuple(r) for r in X.frequent_terms(words, "w", vocab, 2, 0.9, 2, "k").collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_tfidf_takes_the_terms_of_count_vectorizer(spark):
+    from pyspark.ml.feature import CountVectorizer
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 5}x y{i % 3}" for j in range(9)) + f" lone{i}") for i in range(30)], "k long, text string")
+    m = X.tfidf(d, "text", vocab=60)
+    terms = m.transform(d)
+    old = CountVectorizer(inputCol="_terms", outputCol="c", vocabSize=60, minDF=2.0, maxDF=0.9).fit(terms)
+    new = [s for s in m.stages if hasattr(s, "vocabulary")][0]
+    assert sorted(new.vocabulary) == sorted(old.vocabulary)
+    from unittest import mock
+    with mock.patch.object(CountVectorizer, "fit", side_effect=AssertionError("counts all terms of all rows")):
+        X.tfidf(d, "text", vocab=20)
