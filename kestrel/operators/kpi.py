@@ -253,7 +253,8 @@ def kpi_cards(df: DataFrame, date: str, value: str, order: Sequence[str]) -> Dat
     """Tidy (kpi, value) rows: total, mean, median, p90, CAGR of yearly
     totals, z > 2.5 anomaly count, volatility (CV %), momentum of the last
     three months and QoQ growth of the positional quarters."""
-    from kestrel.plans.distributed import exact_quantiles
+    from kestrel.plans.distributed import exact_quantiles, written
+    df = written(df.select(*dict.fromkeys([date, value, *order])), "cards")  # read for each of the figures below
     x = F.col(value).cast("double")
     base = df.agg(F.sum(x).alias("total"), F.avg(x).alias("mean"),
                   (F.stddev_samp(x) / F.abs(F.avg(x)) * 100).alias("volatility_pct"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import scalars
-from kestrel.plans.distributed import distinct_scalars, top_k_per_group
+from kestrel.plans.distributed import column_counts, distinct_scalars, top_k_per_group, written
 
 # Fixed name hints for role detection (keyword lists by role).
 ROLE_HINTS = {
@@ -71,22 +71,17 @@ def column_roles(df: DataFrame) -> DataFrame:
     <= 50 values or ratio < 0.3 categorical) and parse shares of strings
     (> 70 % number or date)."""
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, f in enumerate(fields):
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            nn = c.isNotNull()
-            aggs += [F.avg(F.when(nn, scalars.clean_numeric(c).isNotNull().cast("double"))).alias(f"pn{i}"),
-                     F.avg(F.when(nn, scalars.parse_mixed_date(c).isNotNull().cast("double"))).alias(f"pd{i}"),
-                     F.avg(F.length(c)).alias(f"len{i}")]
-        else:
-            aggs += [F.lit(None).cast("double").alias(f"pn{i}"), F.lit(None).cast("double").alias(f"pd{i}"),
-                     F.lit(None).cast("double").alias(f"len{i}")]
-    row = df.agg(*aggs).withColumns({f"d{i}": d for i, d in enumerate(distinct_scalars(df, df.columns))})
-    long = row.select("__n", F.explode(F.array(*[F.struct(
-        F.lit(f.name).alias("column"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"d{i}").alias("distinct"),
-        F.col(f"pn{i}").alias("num_share"), F.col(f"pd{i}").alias("date_share"), F.col(f"len{i}").alias("avg_len"))
-        for i, f in enumerate(fields)])).alias("s")).select(F.col("__n").alias("rows"), "s.*")
+    texts = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
+    v, n = F.col("value"), F.col("n")
+    here = F.col("position").isin(texts) & v.isNotNull()  # each differing text is looked at once
+    found = column_counts(
+        df, df.columns, num_share=F.sum(F.when(here, F.when(scalars.clean_numeric(v).isNotNull(), n).otherwise(0))),
+        date_share=F.sum(F.when(here, F.when(scalars.parse_mixed_date(v).isNotNull(), n).otherwise(0))),
+        avg_len=F.sum(F.when(here, F.length(v) * n)))
+    kinds = F.create_map(*[F.lit(x) for f in fields for x in (f.name, _kind(f.dataType))])
+    present = F.col("rows") - F.col("nulls")
+    long = found.select("rows", "column", kinds[F.col("column")].alias("kind"), "distinct",
+                        *[F.try_divide(c, present).alias(c) for c in ("num_share", "date_share", "avg_len")])
     ratio = F.col("distinct") / F.col("rows")
     lname = F.lower(F.col("column"))
 
@@ -112,18 +107,13 @@ def column_roles(df: DataFrame) -> DataFrame:
 def best_columns(roles: DataFrame, df: DataFrame) -> DataFrame:
     """The best amount column (largest absolute sum) and best date column
     (most non-null values), one row each."""
-    amounts = [r["column"] for r in roles.where(F.col("role") == "amount").select("column").collect()]
-    dates = [r["column"] for r in roles.where(F.col("role") == "date").select("column").collect()]
-    parts = []
-    if amounts:
-        a = df.agg(*[F.sum(F.abs(F.col(c).cast("double"))).alias(c) for c in amounts])
-        parts.append(a.unpivot([], amounts, "column", "score").withColumn("role", F.lit("amount")))
-    if dates:
-        d = df.agg(*[F.count(c).cast("double").alias(c) for c in dates])
-        parts.append(d.unpivot([], dates, "column", "score").withColumn("role", F.lit("date")))
-    if not parts:
+    best = {r["column"]: r["role"] for r in roles.where(F.col("role").isin("amount", "date")).select("column", "role").collect()}
+    if not best:
         return df.sparkSession.createDataFrame([], "role string, column string, score double")
-    u = reduce(DataFrame.unionByName, parts)
+    one = df.agg(*[(F.sum(F.abs(F.col(c).cast("double"))) if r == "amount" else F.count(c).cast("double")).alias(c)
+                   for c, r in best.items()])
+    named = F.create_map(*[F.lit(x) for item in best.items() for x in item])
+    u = one.unpivot([], list(best), "column", "score").withColumn("role", named[F.col("column")])
     w = Window.partitionBy("role").orderBy(F.desc("score"), F.asc("column"))  # rows = columns
     return u.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("role", "column", "score")
 
@@ -134,6 +124,8 @@ def metric_dimension_ranking(df: DataFrame, max_dim_ratio: float = 0.5) -> DataF
     columns with distinct / rows <= 0.5, ranked by completeness then fewer values."""
     nums = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    # numbers in one aggregate, texts in one count of their values, and both from one table
+    df = written(df.select(*nums, *strs), "ranking")
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.sum(F.abs(F.col(c).cast("double"))).alias(f"t_{c}") for c in nums]
     aggs += [F.count(F.col(c)).alias(f"c_{c}") for c in nums + strs]

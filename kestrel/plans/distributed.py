@@ -247,17 +247,16 @@ def carry_last(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         "_pid", "_loc", "_here", "_before", "_c_pid", *["_k_" + b for b in by])
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, rows, nulls, distinct) for every column, one row each, zeros for an empty table.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(position, value as text, n): how often each value, null among them, stands in each of ``columns``.
 
-    The table is unpivoted into (column, value) and counted by both, a partial aggregate, so rows
+    The table is unpivoted into (position, value) and counted by both, a partial aggregate, so rows
     are read once and neither a column's values nor a frequent value meet in one task.  Values
     are told apart by their text (columns of arrays, maps and structs by their JSON text).
     """
     plain = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
-    columns = list(columns)
     items = []
-    for c in columns:
+    for i, c in enumerate(columns):
         kind, x = df.schema[c].dataType, F.col(f"`{c}`")
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             text = (x + F.lit(0.0).cast(kind)).cast("string")  # -0.0 is 0.0
@@ -265,15 +264,28 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             text = F.hex(x)
         else:
             text = x.cast("string") if isinstance(kind, plain) else F.when(x.isNotNull(), F.to_json(F.struct(x)))
-        items.append(F.struct(F.lit(c).alias("column"), text.alias("value")))
-    kinds = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    if not items:
+        items.append(F.struct(F.lit(i).alias("position"), text.alias("value")))
+    return df.select(F.explode(F.array(*items)).alias("kv")).groupBy("kv.position", "kv.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_counts(df: DataFrame, columns: Sequence[str], **more: Column) -> DataFrame:
+    """(column, rows, nulls, distinct) for every column, one row each, zeros for an empty table, and
+    ``more`` aggregates over the column's (value, n), all from one look at the table."""
+    columns = list(columns)
+    kinds = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column string")
+    if not columns:
         return kinds.selectExpr("column", "0L AS rows", "0L AS nulls", "0L AS distinct")
-    counts = df.select(F.explode(F.array(*items)).alias("kv")).groupBy("kv.column", "kv.value").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
-                                       F.count("value").alias("distinct"))
+    per = value_counts(df, columns).groupBy("position").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
+        F.count("value").alias("distinct"), *[a.alias(n) for n, a in more.items()])
     zero = F.lit(0).cast("long")
-    return kinds.join(per, "column", "left").select("column", *[F.coalesce(c, zero).alias(c) for c in ("rows", "nulls", "distinct")])
+    return kinds.join(per, "position", "left").select(
+        "column", *[F.coalesce(c, zero).alias(c) for c in ("rows", "nulls", "distinct")], *more)
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, rows, nulls, distinct) for every column, one row each, zeros for an empty table."""
+    return column_counts(df, columns)
 
 
 def distinct_scalars(df: DataFrame, columns: Sequence[str]) -> list[Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.operators import profile, quality
+from kestrel.plans.distributed import written
 from kestrel.plans.registry import query
 from kestrel.session import Tables
 
@@ -225,7 +226,7 @@ def j02_column_roles(spark, sf):
 @query("j02b_best_columns")
 def j02b_best_columns(spark, sf):
     from kestrel.plans.common import sales
-    s = sales(Tables(spark, sf))
+    s = written(sales(Tables(spark, sf)), "sales")
     return profile.best_columns(profile.column_roles(s), s)
 
 
