@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import scalars
+from kestrel.plans.distributed import written
 from kestrel.session import checkpoint_dir
 
 
@@ -44,6 +45,7 @@ def star_graph(df: DataFrame, invoice: str, customer: str, product: str, date: s
     amt = (scalars.parse_money(F.col(money_text))["amount"] if money_text else
            (F.col(amount).cast("double") if amount else F.lit(None).cast("double")))
     rows = df.select(inv.alias("inv"), cust.alias("cust"), prod.alias("prod"), day.alias("day"), amt.alias("amt"))
+    rows = written(rows, "star")  # each kind of node and edge reads it
     e = F.explode(F.array(
         F.struct(F.concat(F.lit("invoice:"), "inv").alias("src"), F.concat(F.lit("customer:"), "cust").alias("dst"),
                  F.lit("sold_to").alias("relation")),
@@ -94,10 +96,9 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     isolated-node share (left anti join on edge endpoints)."""
     n = nodes.agg(F.count(F.lit(1))).scalar()
     e = edges.agg(F.count(F.lit(1))).scalar()
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()  # from one look at the edges
     iso = nodes.join(ends, "id", "left_anti").agg(F.count(F.lit(1))).scalar()
-    one = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    return one.select(n.alias("nodes"), e.alias("edges"), (e / (n * (n - 1))).alias("density"),
+    return nodes.sparkSession.range(1).select(n.alias("nodes"), e.alias("edges"), (e / (n * (n - 1))).alias("density"),
                       (2.0 * e / n).alias("avg_degree"), (iso * 100.0 / n).alias("isolated_pct"))
 
 
@@ -284,7 +285,7 @@ def importance_walk(edges: DataFrame, ranks: DataFrame, start: str, steps: int =
 def subgraph(nodes: DataFrame, edges: DataFrame, types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """All nodes of the given types and all edges among them."""
     keep = nodes.where(F.col("type").isin(list(types)))
-    ids = keep.select("id").distinct()
+    ids = written(keep.select("id").distinct(), "ids")  # read for either end
     e = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return keep, e
