@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.windows import ranked
-from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar
+from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar, written
 
 SEED = 42
 
@@ -167,6 +167,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, folds: in
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
     base = df.withColumn("fold", (F.abs(F.xxhash64(F.lit(SEED), *[F.col(c) for c in df.columns if c != "is_test"]))
                                   % folds).cast("int"))
+    base = written(base, "folds")  # each fold reads it, what makes the features runs once
     cv = CrossValidator(estimator=Pipeline(stages=assembler(features) + [lr]), estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
                         foldCol="fold", parallelism=2, seed=SEED)
