@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from kestrel.functions import scalars
 from kestrel.operators import schema as sch
 from kestrel.operators.reports import _ranked_list, _tidy, _union
-from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar, top_k_per_group
+from kestrel.plans.distributed import exact_quantiles, global_rank, stats_scalar, top_k_per_group, written
 
 # fixed values: names of time columns, metrics, identifiers, metrics that are averaged, and domains in order
 TIME_NAMES = ("date", "time", "year", "month", "day", "created", "updated")
@@ -148,7 +148,7 @@ def unified_overview(df: DataFrame, roles: Roles | None = None, top: int = 5, po
         picked.append(to_time(kinds[r.time]).alias("_time"))
     if label:
         picked.append(F.col(f"`{label}`").cast("string").alias("_label"))
-    base = df.select(*picked) if picked else df
+    base = written(df.select(*picked), "overview") if picked else df  # read for each widget
     what = domain(df.columns)
 
     titles = []
