@@ -16,9 +16,11 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kestrel.functions.scalars import any_of
 from kestrel.plans.distributed import global_rank, written
@@ -186,25 +188,48 @@ def paragraph_chunks_doc(text: str | None, size: int = CHUNK_SIZE, overlap: int
     return res
 
 
-def _chunk_udf(fn, **kw):
-    @F.pandas_udf(CHUNK_SCHEMA)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fn(t, **kw))
-    return run
+_AT_ONCE = 1 << 20  # characters whose results a task holds
+
+
+def _flat(df: DataFrame, text: str, key: str, kind: T.ArrayType, fn) -> DataFrame:
+    """(key, fields of ``kind``): the structs that ``fn`` makes of each text, one row each.
+
+    A task holds the results of about ``_AT_ONCE`` characters, or of one text, not those of a whole
+    Arrow batch: its memory does not follow the number of texts, and no nested list is built."""
+    fields = kind.elementType.fields
+    out = T.StructType([df.schema[key], *fields])
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            rows, cols, size = [], [[] for _ in fields], 0
+            for i in range(batch.num_rows):
+                t = texts[i].as_py()
+                for found in fn(t):
+                    rows.append(i)
+                    for c, f in zip(cols, fields):
+                        c.append(found[f.name])
+                size += len(t or "")
+                if rows and size >= _AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *map(pa.array, cols, types)], names=out.names)
+                    rows, cols, size = [], [[] for _ in fields], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *map(pa.array, cols, types)], names=out.names)
+
+    return df.select(key, text).mapInArrow(run, out)
 
 
 def sentence_chunks(df: DataFrame, text: str, key: str, size: int = CHUNK_SIZE, min_size: int = MIN_CHUNK,
                     tables: bool = False) -> DataFrame:
     """One row per chunk (key, chunk_index, char_start, char_end,
-    chunk_type, text) from an Arrow UDF + ``explode``."""
-    u = _chunk_udf(chunk_document, size=size, min_size=min_size, tables=tables)
-    return df.select(key, F.explode(u(F.col(text))).alias("c")).select(key, "c.*")
+    chunk_type, text), made in Arrow batches of bounded size."""
+    return _flat(df, text, key, CHUNK_SCHEMA, lambda t: chunk_document(t, size=size, min_size=min_size, tables=tables))
 
 
 def paragraph_chunks(df: DataFrame, text: str, key: str, size: int = CHUNK_SIZE, overlap: int = 100) -> DataFrame:
     """Paragraph chunks with character overlap."""
-    u = _chunk_udf(paragraph_chunks_doc, size=size, overlap=overlap)
-    return df.select(key, F.explode(u(F.col(text))).alias("c")).select(key, "c.*")
+    return _flat(df, text, key, CHUNK_SCHEMA, lambda t: paragraph_chunks_doc(t, size=size, overlap=overlap))
 
 
 def chunk_stats(chunks: DataFrame, source: str) -> DataFrame:
@@ -659,6 +684,9 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))])
 
 
+_PLAIN_LINK = re.compile(r"https?://[a-z0-9.-]+/[A-Za-z0-9/_-]+")  # joined to any address it stays as it is
+
+
 def parse_page(html: str | None, url: str | None, max_text: int | None = None, max_tables: int | None = None,
                max_links: int | None = None) -> dict | None:
     """N9 for one page (stdlib parser): title, description, visible text
@@ -676,7 +704,7 @@ def parse_page(html: str | None, url: str | None, max_text: int | None = None, m
     links: dict[str, None] = {}  # in order, each once
     for h in p.links:
         try:
-            u = urljoin(url or "", h)
+            u = h if _PLAIN_LINK.fullmatch(h) else urljoin(url or "", h)
         except ValueError:  # no address: such as an unclosed bracket
             continue
         if u.startswith(("http://", "https://")):
@@ -748,12 +776,7 @@ def markdown_tables_doc(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(MD_SCHEMA)
-def _md_tables(s: pd.Series) -> pd.Series:
-    return s.map(markdown_tables_doc)
-
-
 def markdown_tables(df: DataFrame, text: str, key: str) -> DataFrame:
     """Long table of pipe-table cells per document."""
-    return df.select(key, F.explode(_md_tables(F.col(text))).alias("c")).select(key, "c.*")
+    return _flat(df, text, key, MD_SCHEMA, markdown_tables_doc)
 
