@@ -47,3 +47,87 @@ def test_tfidf_takes_the_terms_of_count_vectorizer(spark):
     from unittest import mock
     with mock.patch.object(CountVectorizer, "fit", side_effect=AssertionError("counts all terms of all rows")):
         X.tfidf(d, "text", vocab=20)
+
+
+def _looks(df, at="Range ("):
+    """How often the plan of ``df`` reads its source, subqueries included."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(at)
+
+
+def _sales(spark, n=400):
+    i = F.col("id")
+    return spark.range(n).select(
+        i.alias("invoice"), F.concat(F.lit("c"), (i % 9).cast("string")).alias("customer"), (i % 11).alias("product"),
+        F.when(i % 50 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")).cast("timestamp")).alias("date"),
+        F.when(i % 40 != 0, i * 1.5).alias("amount"), F.when(i % 3 != 0, F.lit("12.5")).otherwise(F.lit(None)).alias("paid"))
+
+
+def test_roles_and_best_columns_look_once(spark):
+    from kestrel.operators import profile
+    d = _sales(spark)
+    roles = profile.column_roles(d)
+    assert _looks(roles) == 1
+    got = {r.column: (r.role, r.column_type, r.distinct, r.num_share, r.date_share, r.avg_len) for r in roles.collect()}
+    assert got["amount"][:3] == ("amount", "numeric", 390) and got["customer"] == ("entity", "categorical", 9, 0.0, 0.0, 2.0)
+    assert got["paid"][1] == "numeric" and got["paid"][2:] == (1, 1.0, 0.0, 4.0) and got["date"][0] == "date"
+    best = profile.best_columns(roles, d)
+    assert _looks(best) == 1
+    assert {r.role: (r.column, r.score) for r in best.collect()} == {
+        "amount": ("amount", sum(i * 1.5 for i in range(400) if i % 40)), "date": ("date", 392.0)}
+
+
+def test_joined_rows_are_written_before_many_looks(spark):
+    from kestrel.operators import graph, kpi, reports
+    d = _sales(spark)
+    nodes, edges = graph.star_graph(d, "invoice", "customer", "product", "date", amount="amount")
+    stats = graph.graph_stats(nodes, edges)
+    assert _looks(nodes) + _looks(edges) == 0 and stats.first()["isolated_pct"] == 0
+    assert nodes.count() == 400 + 9 + 11 + nodes.where("type = 'date'").count()
+    assert _looks(reports.dashboard_stats(d, "date", "amount", "customer", "product")) == 0
+    assert _looks(reports.metrics_report(d, ["invoice"])) == 0
+    assert _looks(kpi.kpi_cards(d, "date", "amount", ["invoice"])) == 0
+
+
+def test_sales_join_moves_lines_once(spark, tmp_path):
+    from kestrel.plans.common import sales
+    from kestrel.session import Tables
+    spark.createDataFrame([(1, 10, 5, 1, 2.0, 100.0, 0.1, "A"), (1, 11, 5, 1, 1.0, 50.0, 0.0, "N"), (None, 1, 1, 1, 1.0, 1.0, 0.0, "N")],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "x"), (1, 7, "y"), (2, 8, "z")], "o_orderkey long, o_custkey long, o_orderpriority string").withColumn(
+        "o_orderdate", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "n", "s"), (None, "m", "s")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(
+        f"{tmp_path}/customer.parquet")
+    s = sales(Tables(spark, str(tmp_path)))
+    assert sorted((r.invoice, r.customer, r.product, r.priority, r.amount) for r in s.collect()) == [
+        (1, "n", 10, "x", 90.0), (1, "n", 10, "y", 90.0), (1, "n", 11, "x", 50.0), (1, "n", 11, "y", 50.0)]
+    joins = [ln for ln in s._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in ln]
+    assert "l_orderkey" in joins[0] and "c_custkey" in joins[1]  # the lines are in the outer join alone
+
+
+def test_chunks_are_yielded_in_small_batches(spark):
+    from unittest import mock
+
+    import pyarrow as pa
+    texts = [None, "", *["One sentence here. Another one there. " * 2000] * 60]
+    d = spark.createDataFrame(list(enumerate(texts[:4])), "k long, text string")
+    taken = {}
+    with mock.patch.object(type(d), "mapInArrow", lambda self, fn, schema: taken.update(fn=fn)):
+        X.sentence_chunks(d, "text", "k")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    out = list(taken["fn"](iter([batch])))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 4 << 20
+    want = [(i, c["chunk_index"], c["text"]) for i, t in enumerate(texts) for c in X.chunk_document(t)]
+    assert [x for b in out for x in zip(*(b.column(c).to_pylist() for c in ("k", "chunk_index", "text")))] == want
+    got = X.sentence_chunks(d, "text", "k").orderBy("k", "chunk_index").collect()
+    assert [(r.k, r.chunk_index, r.text) for r in got] == [w for w in want if w[0] < 4]
+
+
+def test_folds_read_written_features(spark):
+    from unittest import mock
+
+    from kestrel.operators import ml
+    d = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    with mock.patch.object(ml, "written", wraps=ml.written) as w:
+        assert ml.cross_validate(d, ["x"], "label").count() == 4
+    assert w.call_count == 1
