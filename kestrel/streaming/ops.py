@@ -153,54 +153,71 @@ def arrivals(events: DataFrame, arrival, files: int, ts: str | None = None, afte
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+ONCE_STATE = "keys array<string>, until array<long>, counts array<int>, waiting array<long>"
+#: keys as text and back, without loss
+_KEY_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _once_fn(quiet_us: int, refresh: bool):
-    """The state of a key: when its hold ends (0: none), and the times that wait for the
-    watermark, in order.  A time is decided once the watermark has passed it, so the
-    order in which rows come does not matter."""
+    """The state of a bucket of keys: per key (as text) when its hold ends (0: none) and how
+    many times wait for the watermark, then these times by key and in order.  A time is
+    decided once the watermark has passed it, so the order in which rows come does not
+    matter."""
+    from bisect import bisect_right
+
     import numpy as np
 
-    def decide(until: int, times):
-        out = []
+    def decide(until, who, times):
+        """``times`` by key and in order, ``who`` their key's place in ``until``: sent or not, and the end of the hold."""
+        first = np.diff(who, prepend=-1) != 0
         if refresh:  # every event holds the next: gaps decide, all at once
-            if len(times):
-                before = np.concatenate([[until], times[:-1] + quiet_us])
-                out = [(int(t), bool(t > b), int(t) + quiet_us) for t, b in zip(times, before)]
-                until = int(times[-1]) + quiet_us
-            return until, out
-        at = 0
-        while at < len(times):  # only a sent event holds; its holds are found by bisection
-            if times[at] <= until:
-                stop = int(np.searchsorted(times, until, "right"))
-                out += [(int(t), False, until) for t in times[at:stop]]
-                at = stop
-            else:
-                until = int(times[at]) + quiet_us
-                out.append((int(times[at]), True, until))
-                at += 1
-        return until, out
+            return times > np.where(first, until[who], np.roll(times, 1) + quiet_us), times + quiet_us
+        starts, all_times, sent, ends = np.flatnonzero(first).tolist(), times.tolist(), [], []
+        for at, stop in zip(starts, [*starts[1:], len(all_times)]):  # only a sent event holds; its holds are found by bisection
+            end = int(until[who[at]])
+            while at < stop:
+                go = all_times[at] > end
+                if go:
+                    end = all_times[at] + quiet_us
+                to = at + 1 if go else bisect_right(all_times, end, at, stop)
+                sent += [go] * (to - at)
+                ends += [end] * (to - at)
+                at = to
+        return np.array(sent, dtype=bool), np.array(ends, dtype="int64")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        until, waiting = state.get if state.exists else (0, [])
-        times = np.array(waiting, dtype="int64")
+        keys, until, counts, waiting = state.get if state.exists else ([], [], [], [])
         mark = state.getCurrentWatermarkMs() * 1000  # what is not after it came too late
-        if not state.hasTimedOut:
-            new = np.concatenate([p["_us"].to_numpy("int64") for p in pdfs])
-            times = np.sort(np.concatenate([times, new[new > mark] if mark > 0 else new]))
-        due = int(np.searchsorted(times, mark, "right"))
-        until, out = decide(until, times[:due])
-        rest = times[due:]
-        if not len(rest) and until <= mark:
-            state.remove()  # nothing waits and nothing is held: the key's state expires
+        new_keys, new_times = [np.array(keys, dtype=object)], [np.array(waiting, dtype="int64")]
+        for p in () if state.hasTimedOut else pdfs:
+            p = p[p["_us"] > mark] if mark > 0 else p
+            new_keys.append(p["_key"].to_numpy(object))
+            new_times.append(p["_us"].to_numpy("int64"))
+        codes, keys = pd.factorize(np.concatenate(new_keys))  # the keys of the state come first, in their order
+        who = np.concatenate([np.repeat(np.arange(len(counts)), np.array(counts, dtype="int64")), codes[len(counts):]])
+        times = np.concatenate(new_times)
+        until = np.concatenate([np.array(until, dtype="int64"), np.zeros(len(keys) - len(until), dtype="int64")])
+        order = np.lexsort((times, who))
+        who, times = who[order], times[order]
+        due = times <= mark
+        out_who, out_times = who[due], times[due]
+        sent, ends = decide(until, out_who, out_times)
+        until[out_who] = ends  # the last of a key stays
+        who, times = who[~due], times[~due]
+        waits = np.bincount(who, minlength=len(keys))
+        live = (waits > 0) | (until > mark)
+        if not live.any():
+            state.remove()  # nothing waits and nothing is held: the bucket's state expires
         else:
-            state.update((until, rest.tolist()))
-            wake = int(rest[0]) if len(rest) else until
+            state.update((keys[live].tolist(), until[live].tolist(), waits[live].tolist(), times.tolist()))
+            wake = int(np.concatenate([times, until[live & (waits == 0)]]).min())
             state.setTimeoutTimestamp(max(wake // 1000 + 1, mark // 1000 + 1))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=[*[f"k{i}" for i in range(len(key))], "us", "sent", "until"])
+        yield pd.DataFrame({"key": keys[out_who], "us": out_times, "sent": sent, "until": ends})
     return fn
 
 
 def once(events: DataFrame, keys: Sequence[str], ts: str = "ts", quiet: str = "1 hour", watermark: str = "1 hour",
-         refresh: bool = True) -> DataFrame:
+         refresh: bool = True, buckets: int = 1024) -> DataFrame:
     """Every event of a key with ``sent`` and the time until which it holds
     later ones back.
 
@@ -211,16 +228,22 @@ def once(events: DataFrame, keys: Sequence[str], ts: str = "ts", quiet: str = "1
     has passed them, so rows may come in any order within ``watermark``; later ones are
     dropped.  A key's state goes when its hold has ended and nothing waits: the state is
     bounded by the keys and events of the last ``quiet`` and ``watermark``.  Null times
-    have no place and are left out; null keys are a key."""
+    have no place and are left out; null keys are a key.
+
+    The keys are dealt to ``buckets`` by their hash, and Python is called once per bucket
+    and micro-batch, not once per key.  A bucket's state is read and written as a whole,
+    so very many keys in small micro-batches want more buckets.  A started stream keeps
+    its number."""
     quiet_us = int(pd.Timedelta(quiet).total_seconds() * 1_000_000)
-    kinds = {f.name: f.dataType for f in events.schema.fields}
+    kinds = T.StructType([T.StructField(f"k{i}", events.schema[k].dataType) for i, k in enumerate(keys)])
     at = events.select(*keys, F.col(ts).cast("timestamp").alias("_at")).where("_at IS NOT NULL").withWatermark("_at", watermark)
-    out = T.StructType([*[T.StructField(f"k{i}", kinds[k]) for i, k in enumerate(keys)], T.StructField("us", T.LongType()),
-                        T.StructField("sent", T.BooleanType()), T.StructField("until", T.LongType())])
-    rows = at.withColumn("_us", F.unix_micros("_at")).groupBy(*keys).applyInPandasWithState(
-        _once_fn(quiet_us, refresh), out, "until long, waiting array<long>", "append", "EventTimeTimeout")
-    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.timestamp_micros("us").alias(ts), "sent",
-                       F.timestamp_micros("until").alias("held_until"))
+    text = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), _KEY_TEXT)
+    rows = at.select("_at", F.unix_micros("_at").alias("_us"), text.alias("_key")).withColumn(
+        "_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))).groupBy("_bucket").applyInPandasWithState(
+        _once_fn(quiet_us, refresh), "key string, us long, sent boolean, until long", ONCE_STATE, "append", "EventTimeTimeout")
+    return rows.withColumn("_k", F.from_json("key", kinds, _KEY_TEXT)).select(
+        *[F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)], F.timestamp_micros("us").alias(ts), "sent",
+        F.timestamp_micros("until").alias("held_until"))
 
 
 def _counter_fn(key, pdfs: Iterator[pd.DataFrame], state):
