@@ -198,21 +198,36 @@ def top_neighbours(edges: DataFrame, ranks: DataFrame, node: str, n: int = 10) -
     return nb.join(ranks, "id").orderBy(F.desc("rank"), "id").limit(n)
 
 
+NEAR_ROWS = 200_000  # a frontier of up to so many rows goes to every task
+
+
 def bfs(edges: DataFrame, source: str, max_hops: int = 3, targets: Sequence[str] | None = None) -> DataFrame:
     """Breadth-first discovery tree from ``source`` up to ``max_hops``:
     (id, hops, parent, path).  The parent of a node is the smallest parent id
-    at its discovery hop.  With ``targets`` only those nodes are returned."""
+    at its discovery hop.  With ``targets`` only those nodes are returned.
+
+    A hop needs only the edges that leave its frontier, whose rows are counted.  Up to
+    ``NEAR_ROWS`` of them are broadcast in a semi join, which Spark moves below the unions and
+    aggregates that make the edges, so that no other edge is shuffled or written.  From the first
+    larger frontier on the edges are written as a table, once, and joined by shuffle."""
     spark = edges.sparkSession
-    e = _written(edges.select("src", "dst").distinct())
+    checkpoint_dir(spark)
+    e, table = edges.select("src", "dst"), None
     visited = spark.createDataFrame([(source, 0, None, [source])], "id string, hops int, parent string, path array<string>")
-    frontier = visited
+    frontier, n = visited, 1
     for h in range(1, max_hops + 1):
-        nxt = frontier.select(F.col("id").alias("src"), "path").join(e, "src").select(
-            F.col("dst").alias("id"), F.col("src").alias("parent"), "path")
+        ids = frontier.select(F.col("id").alias("src"))
+        if n <= NEAR_ROWS:
+            near = (e if table is None else table).join(F.broadcast(ids), "src", "left_semi")  # a counted bound
+        else:
+            table = written(e, "edges") if table is None else table
+            near = table.join(ids, "src", "left_semi")
+        nxt = near.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         nxt = nxt.join(visited.select("id"), "id", "left_anti")
-        nxt = nxt.groupBy("id").agg(F.min_by(F.struct("parent", "path"), "parent").alias("p")).select(
-            "id", F.lit(h).alias("hops"), F.col("p.parent").alias("parent"), F.concat("p.path", F.array("id")).alias("path"))
+        nxt = nxt.join(frontier.select(F.col("id").alias("parent"), "path"), "parent").select(
+            "id", F.lit(h).alias("hops"), "parent", F.concat("path", F.array("id")).alias("path"))
         nxt = nxt.checkpoint(eager=True)
+        n = nxt.count()
         visited = visited.unionByName(nxt)
         frontier = nxt
     if targets:

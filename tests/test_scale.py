@@ -131,3 +131,49 @@ def test_folds_read_written_features(spark):
     with mock.patch.object(ml, "written", wraps=ml.written) as w:
         assert ml.cross_validate(d, ["x"], "label").count() == 4
     assert w.call_count == 1
+
+
+def test_hops_touch_only_the_edges_that_leave_the_frontier(spark):
+    """Found nodes, parents and paths as a search by hand, on either way of joining; unless the frontier is large,
+    nothing but the found nodes is written, and the frontier meets the edges before they are aggregated."""
+    from pathlib import Path
+    from unittest import mock
+
+    from kestrel.operators import graph
+    rows = [(f"n{i % 97}", f"n{i * 7 % 5000}") for i in range(20000)] + [("s", "n1"), ("s", "n2"), ("s", "n1"), ("n2", None), (None, "n3"), ("s", "s")]
+    d = spark.createDataFrame(rows, "src string, dst string").repartition(3).withColumn("relation", F.lit("r"))
+    edges = graph.undirected(d.groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, last = [("s", 0, None, ["s"])], [("s", ["s"])]
+    for h in (1, 2, 3):
+        before, found = {w[0] for w in want} - {None}, {}
+        for p, path in sorted((x for x in last if x[0] is not None), key=lambda x: x[0]):
+            for b in near[p] - before:
+                found.setdefault(b, (p, path))
+        want += [(b, h, p, [*path, b]) for b, (p, path) in found.items()]
+        last = [(b, [*path, b]) for b, (p, path) in found.items()]
+    plans, real = [], type(edges).checkpoint
+
+    def kept(self, eager=True):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString().splitlines())
+        return real(self, eager)
+
+    size = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file())
+    at = size()
+    with mock.patch.object(type(edges), "checkpoint", kept):
+        got = graph.bfs(edges, "s", 2)
+    assert size() - at < 100_000  # the edges as rows are some 2 MB
+    for plan in plans:
+        semi = [i for i, x in enumerate(plan) if "LeftSemi" in x]
+        below = [x for i in semi for x in plan[i + 1:i + 4]]
+        assert len(semi) == 2 and any("Aggregate" in x for x in plan[:semi[0]]) and not any("Aggregate" in x for x in below)
+    order = lambda r: (r[1], r[0] or "")
+    assert sorted(map(tuple, got.collect()), key=order) == sorted((w for w in want if w[1] < 3), key=order)
+    for most in (0, 1, 50):  # larger frontiers are joined by shuffle, from a table of edges
+        with mock.patch.object(graph, "NEAR_ROWS", most):
+            assert sorted(map(tuple, graph.bfs(edges, "s", 3).collect()), key=order) == sorted(want, key=order)
+    assert sorted(r.id for r in graph.bfs(edges, "s", 3, ["n2", "n5", "none"]).collect()) == [w for w in ("n2", "n5") if w in {x[0] for x in want}]
